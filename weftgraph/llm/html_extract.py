@@ -29,6 +29,8 @@ CLOSES = {
 }
 SCOPES = frozenset("article aside section div ul ol dl table body main nav header footer form fieldset blockquote figure td th".split())
 
+CONTAINERS = frozenset("html body div section center table tbody tr td".split())
+
 # Parts of a page that are not its main text: by element, by role, and by words in class and id.
 ASIDE = frozenset("head nav aside footer form script style noscript template iframe textarea select button input object svg math canvas audio video map dialog menu datalist title xmp noembed noframes".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
@@ -37,6 +39,7 @@ ASIDE_WORDS = frozenset(
     "footer header masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "comment comments commentlist disqus respond reply replies discussion related recommended recommendations pagination pager widget widgets copyright legal disclaimer skip".split()
 )
+HEADER_WORDS = frozenset({"header"})  # within main text, a header is its own
 MAIN_WORDS = frozenset("article articlebody main maincontent content contents post postcontent postbody entry entrycontent story storybody body text".split())
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
@@ -157,12 +160,13 @@ def read_page(html: str | None) -> Slots:
         label, words, side = _names(attributes) if attributes.strip() else ("", set(), False)
         path = f"{above.path if above else ''}/{tag}{label}"
         inside = any(e.main == 2 for e in open_)
-        main = 2 if tag in ("article", "main") or "main" in words or "articlebody" in words else 1 if words & MAIN_WORDS else 0
+        main = 2 if tag in ("article", "main") or "main" in words or "articlebody" in words else 1 if words & MAIN_WORDS else 0 if tag in CONTAINERS else -1
+        words -= HEADER_WORDS if inside else set()
         is_aside = side or tag in ASIDE or bool(words & ASIDE_WORDS) and tag not in ("body", "html", "article", "main") or tag == "header" and not inside
         element = Element(tag, path, bool(above and above.aside) or is_aside, bool(above and above.link) or tag == "a", main)
         token = out.tokens.setdefault(path, [0, m.start() / size, 0, 0, 0])
         token[0] += 1
-        token[2] = 0 if element.aside else main
+        token[2] = -1 if element.aside else main
         if tag in VOID or attributes.endswith("/") and tag in ("svg", "math"):
             continue
         if tag in RAW:
@@ -182,15 +186,14 @@ def extract(page: Slots, main: str | None) -> str:
 
 
 def best_token(tokens: dict[str, list]) -> str | None:
-    """The outermost token that marks main text, if it holds any; else the innermost that holds most of the page's text
-    outside of links; None if there is no text."""
+    """The outermost token that marks main text, if it holds any; else the innermost container that holds most of the page's text; None if there is no such token."""
     total = max((t[3] for t in tokens.values()), default=0)
     if not total:
         return None
     for grade in (2, 1):
         if marked := [(-t[3] if grade == 1 else 0, p.count("/"), t[1], p) for p, t in tokens.items() if t[2] == grade and t[3] > t[4]]:
             return min(marked)[-1]
-    return max((p.count("/"), -t[1], p) for p, t in tokens.items() if t[3] >= 0.8 * total)[-1]
+    return max(((p.count("/"), -t[1], p) for p, t in tokens.items() if t[3] >= 0.8 * total and t[2] == 0), default=(None,))[-1]
 
 
 _SEEN = "host string, path string, pages long, vector long, place double, main int, chars long, linked long"
@@ -205,7 +208,7 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, page_hash, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             for path, (count, place, main, chars, linked) in read_page(html.as_py()).tokens.items():
                 mark = xxhash.xxh64_intdigest(f"{page_hash} {count}") >> 20
-                s = seen.setdefault((host, path), [0, 0, 0.0, 0, 0, 0])
+                s = seen.setdefault((host, path), [0, 0, 0.0, -1, 0, 0])
                 s[0] += 1
                 s[1] += mark
                 s[2] += place
@@ -224,7 +227,7 @@ def templates(pages: DataFrame, page: str = "page_id", url: str = "url", html: s
     each page, form an equivalence class. A class is valid if its tokens stand on at least `support` of the host's
     pages, the root's; their paths nest, so valid classes nest into one template. Its slots are what stands after
     each token; main is the token whose slots hold the main text: the outermost that marks an article, else
-    one named so with most text, else the innermost with four fifths of the host's text outside of links.
+    one named so with most text, else the innermost container with four fifths of the host's text.
     Only counts and sums per (host, token) are shuffled; no task holds a host's pages.
     """
     slim = pages.select(url_host(F.col(url)).alias("host"), F.xxhash64(page, url).alias("page"), F.col(html).alias("html"))
@@ -235,7 +238,7 @@ def templates(pages: DataFrame, page: str = "page_id", url: str = "url", html: s
     classes = Window.partitionBy("host", "vector", "pages")
     valid = tokens.join(whole, "host").where(F.col("pages") >= support * F.col("_pages")).withColumn("size", F.count("*").over(classes))
     depth = F.size(F.split("path", "/"))
-    grade = F.when((F.col("main") > 0) & (F.col("chars") > F.col("linked")), F.col("main")).when((F.col("chars") > 0) & (F.col("chars") >= 0.8 * F.col("_chars")), 0).otherwise(-1)
+    grade = F.when((F.col("main") > 0) & (F.col("chars") > F.col("linked")), F.col("main")).when((F.col("main") == 0) & (F.col("chars") > 0) & (F.col("chars") >= 0.8 * F.col("_chars")), 0).otherwise(-1)
     order = F.struct(grade.alias("grade"), F.when(grade == 2, -depth).when(grade == 1, F.col("chars")).otherwise(depth).alias("first"), (-F.col("place")).alias("place"), F.col("size"), F.col("path"))
     best = valid.groupBy("host").agg(F.max(order).alias("best"), F.max("_pages").alias("pages"), F.countDistinct("vector", "pages").alias("classes"), F.count("*").alias("tokens"))
     return best.select("host", F.when(F.col("best.grade") >= 0, F.col("best.path")).alias("main"), "pages", "classes", "tokens")
