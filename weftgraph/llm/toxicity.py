@@ -13,13 +13,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import saved
 
 _TERM = re.compile(r"\w+")
 
 
-def terms(text: str | None) -> list[str]:
-    return _TERM.findall((text or "").lower())
+#: Inflected words share stems: a word's first characters, as many as these, are terms as well, marked by a dash.
+STEMS = (4, 5)
+
+
+def term_counts(text: str | None) -> Counter[str]:
+    """Lower-cased words and their stems, each with its number."""
+    out = Counter(_TERM.findall((text or "").lower()))
+    for word, n in list(out.items()):
+        for size in STEMS:
+            if len(word) > size:
+                out[word[:size] + "-"] += n
+    return out
+
+
+def known_counts(text: str | None, vocabulary: dict[str, int]) -> dict[int, int]:
+    """term_counts() of the vocabulary's terms, by number; much as that, without counters for the others."""
+    out: dict[int, int] = {}
+    for word, n in Counter(_TERM.findall((text or "").lower())).items():
+        for term in (word, *[word[:size] + "-" for size in STEMS if len(word) > size]):
+            if (i := vocabulary.get(term)) is not None:
+                out[i] = out.get(i, 0) + n
+    return out
 
 
 class BlockMaxIndex:
@@ -117,7 +138,7 @@ def _count_terms(docs: DataFrame, schema: str, n_keep: int) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                counts = [Counter(terms(t.as_py())) for t in part.column(n_keep)]
+                counts = [term_counts(t.as_py()) for t in part.column(n_keep)]
                 rows = np.repeat(np.arange(part.num_rows), [len(c) for c in counts])
                 columns = [c.take(pa.array(rows)) for c in part.columns[:n_keep]]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([t for c in counts for t in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int64())], names=[*part.schema.names[:n_keep], "term", "n"])
@@ -125,12 +146,24 @@ def _count_terms(docs: DataFrame, schema: str, n_keep: int) -> DataFrame:
     return docs.mapInArrow(run, f"{schema}, term string, n long")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_terms: int = 1024, k: int = 15, least_chi2: float = 24.0, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def _apart(rows: list, distance: int = 11) -> list:
+    """Of near copies of one label, by fingerprints of 64 bits, the one with the smallest id. rows: at most fit()'s examples."""
+    rows = sorted(rows, key=lambda r: r.id)
+    prints, labels = np.array([r.fingerprint for r in rows], np.int64).view(np.uint64), np.array([r.y for r in rows])
+    keep = np.ones(len(rows), bool)
+    for i in range(len(rows)):
+        if keep[i]:
+            keep[i + 1 :] &= (np.bitwise_count(prints[i + 1 :] ^ prints[i]) > distance) | (labels[i + 1 :] != labels[i])
+    return [r for r, k in zip(rows, keep, strict=True) if k]
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_terms: int = 256, k: int = 15, least_chi2: float = 24.0, least_lift: float = 3.0, least_share: float = 0.01, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit on at most max_examples labelled documents of each class, taken in order of a hash of their key.
 
     A key with several labels counts as 1 if one of them is; null keys and labels are left out, as are labels
-    without a document. The vocabulary is the at most max_terms terms that stand out in class 1 by chi-square
-    over the examples. Document frequencies of these are counted over all documents.
+    without a document. The vocabulary is the at most max_terms terms that stand out in class 1 over the examples:
+    by chi-square, in least_share of that class's, and least_lift times as frequent as in class 0. Of examples that are
+    copies of each other, exact or near, one counts, lest a copied text's rare words stand out. Examples with like terms are neighbours in the index. Document frequencies of these are counted over all documents.
     """
     spark = docs.sparkSession
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("id")).agg(F.max(label).cast("int").alias("y"))
@@ -139,13 +172,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_terms:
     sample = [marked.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_examples) for y in (0, 1)]
     sample = saved(sample[0].unionByName(sample[1]), "sample")
     texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.max("text").alias("text"))
-    counted = saved(_count_terms(texts, "id long, y int", 2), "terms")
-    examples = sample.join(docs.select(F.col(key).alias("id")).distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").collect()
+    texts = saved(texts, "examples")
+    examples = _apart(texts.select("id", "y").join(simhash.fingerprints(texts, key="id"), "id").collect())
+    kept = spark.createDataFrame([(r.id,) for r in examples], "id long")
+    counted = saved(_count_terms(texts.join(F.broadcast(kept), "id").select("id", "y", "text"), "id long, y int", 2), "terms")
     n = Counter(r.y for r in examples)
     per = counted.groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
     n1, n0 = float(n[1]), float(n[0])
     chi2 = (n1 + n0) * (F.col("a") * n0 - F.col("b") * n1) ** 2 / F.lit(max(n1 * n0, 1.0)) / ((F.col("a") + F.col("b")) * F.greatest(F.lit(n1 + n0) - F.col("a") - F.col("b"), F.lit(0.5)))
-    chosen = per.withColumn("chi2", chi2).where((F.col("chi2") >= least_chi2) & (F.col("a") * n0 > F.col("b") * n1) & (F.col("a") >= 3)).orderBy(F.desc("chi2"), "term").limit(max_terms)
+    chosen = per.withColumn("chi2", chi2).where((F.col("chi2") >= least_chi2) & (F.col("a") * n0 >= least_lift * F.col("b") * n1) & (F.col("a") >= F.lit(max(3.0, least_share * n1)))).orderBy(F.desc("chi2"), "term").limit(max_terms)
     vocabulary = {r.term: i for i, r in enumerate(chosen.select("term").collect())}
 
     sent = spark.sparkContext.broadcast(vocabulary)
@@ -155,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_terms:
         for b in batches:
             rows += b.num_rows
             for t in b.column(0):
-                for i in {known[x] for x in terms(t.as_py()) if x in known}:
+                for i in known_counts(t.as_py(), known):
                     df[i] += 1
         yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(df))], pa.int32()), pa.array([rows, *df.tolist()], pa.int64())], names=["term", "n"])
 
@@ -167,6 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_terms:
     for r in counted.join(F.broadcast(wanted), "term").select("id", "t", "n").collect():
         found[r.id][r.t] = r.n
     weights = tuple(totals.get(y, 0) / n[y] if n[y] else 0.0 for y in (0, 1))
+    examples.sort(key=lambda r: (sorted(found[r.id].items()), r.id))
     rate = lambda rows: (sum(weights[1] for r in rows if r.y) + 0.5) / (sum(weights[r.y] for r in rows) + 1)
     model = Model(vocabulary, idf, [r.id for r in examples], [r.y for r in examples], None, weights, rate(examples), rate([r for r in examples if not found[r.id]]), k)
     model.index = BlockMaxIndex([model.vector(found[i]) if found[i] else {} for i in model.ids], len(vocabulary))
@@ -184,7 +220,7 @@ class Scorer:
 
     def __call__(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         m = self.model
-        counts = Counter(i for i in map(m.vocabulary.get, terms(text)) if i is not None)
+        counts = known_counts(text, m.vocabulary)
         at = tuple(sorted(counts.items()))
         if at not in self.known:
             if len(self.known) > self.memo:
