@@ -7,8 +7,9 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,34 +129,51 @@ def load(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).first()["content"])
 
 
+def _ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The slices flat[start : start + length], one after the other."""
+    out = []
+    for at in range(0, len(starts), 1 << 18):  # bounded for very long texts
+        n = lengths[at : at + (1 << 18)]
+        ends = np.cumsum(n)
+        out.append(flat[np.arange(ends[-1]) + np.repeat(starts[at : at + (1 << 18)] - ends + n, n)])
+    return np.concatenate(out) if out else flat[:0]
+
+
 class Codec:
     """A model on the tokenizers library. Words that recur are encoded once, as far as a bounded cache goes.
 
-    verify: hold what is encoded against the sentencepiece library: each word as it enters the cache, since both
-    libraries encode words apart, or whole texts where they don't. Texts and words that differ are kept in `differ`.
+    verify: hold what is encoded against the sentencepiece library: ids and the text read from them, of each word as
+    it enters the cache, since both libraries treat words apart, or of whole texts where they don't. What differs is
+    kept in `differ`.
     """
 
     def __init__(self, model: bytes, threads: int = 2, cached: int = 600_000, verify: bool = True):
         os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = str(threads), "true"
         from tokenizers import Tokenizer, normalizers
 
-        spec = parse_model(model)
+        self.spec = spec = parse_model(model)
         self.charsmap = normalizers.Precompiled(spec.charsmap) if spec.charsmap else None
-        self.whole, self.cached, self.words = build(spec), cached, {}
-        self.own, self.threads, self.differ = None, threads, set()
+        self.whole, self.cached, self.threads, self.own = build(spec), cached, threads, None
         if verify:
             import sentencepiece
 
             self.own = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.single = Tokenizer(self.whole.model) if separable(spec) and spec.dummy_prefix and not spec.charsmap else None
-        if self.single:
-            self.joined = Tokenizer(self.whole.model)
+        self.single = None
+        if separable(spec) and spec.dummy_prefix and not spec.charsmap:
+            self.single, self.joined = Tokenizer(self.whole.model), Tokenizer(self.whole.model)
             self.joined.pre_tokenizer = self.whole.pre_tokenizer
-        self.begins = [p.startswith(SPACE) for p, _, _ in spec.pieces]
-        self.plain = {i: p for i, (p, _, kind) in enumerate(spec.pieces) if kind == NORMAL}
-        self.strip = spec.dummy_prefix or spec.squeeze
-        self.spec = spec
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.begins = np.array([p.startswith(SPACE) for p, _, _ in spec.pieces])
+        surface = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() for p, _, kind in spec.pieces]
+        self.special = np.array([kind not in (NORMAL, BYTE) for _, _, kind in spec.pieces])
+        self.bytes = np.frombuffer(b"".join(surface), np.uint8)
+        self.length = np.array([len(x) for x in surface], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.differ = {}, set()
+        self.ids, self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def normalise(self, text: str) -> str:
         """As the whole tokenizer's normaliser has it, without its book-keeping of offsets."""
@@ -165,57 +183,82 @@ class Codec:
             text = re.sub(" +", " ", text).strip(" ")
         return (SPACE + text if text and self.spec.dummy_prefix else text).replace(" ", SPACE)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if self.single is None:
-            ids = [e.ids if t else [] for t, e in zip(texts, self.whole.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
-            if self.own:
-                self.differ = {t for t, a, b in zip(texts, ids, self.own.encode(texts, num_threads=self.threads), strict=True) if a != b}
-            return ids
-        if len(self.words) > self.cached:
-            self.words, self.differ = {}, set()
-        known = self.words
-        cut = [self.cut.findall(self.normalise(t)) for t in texts]
-        new = set().union(*cut).difference(known)
+    def _learn(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+
+    def _enter(self, new: list[str]) -> None:
+        """Encode words that aren't known yet, and verify them."""
         # Words with one marker go together, as one text: where a piece has a marker, the next word begins.
         plain = [w for w in new if len(w) > 1 and w[1] != SPACE]
-        new.difference_update(plain)
-        ids = self.joined.encode("".join(plain), add_special_tokens=False).ids
-        found = self._apart(ids, len(plain))
-        known.update(zip(plain, found, strict=True))
-        rest = list(new)
-        known.update(zip(rest, [tuple(e.ids) for e in self.single.encode_batch_fast(rest, add_special_tokens=False)], strict=True))
-        if self.own:
-            theirs = self.own.encode("".join(plain)[1:].replace(SPACE, " ")) if plain else []
-            if ids != theirs:
-                self.differ.update(w for w in plain if known[w] != tuple(self.own.encode(w[1:])))
-            lead = self.own.encode("a")
-            self.differ.update(w for w, t in zip(rest, self.own.encode(["a" + w.replace(SPACE, " ") for w in rest], num_threads=self.threads), strict=True) if [*lead, *known[w]] != t)
-        return [list(chain.from_iterable(map(known.__getitem__, words))) for words in cut]
-
-    def _apart(self, ids: list[int], n: int) -> list[tuple[int, ...]]:
-        starts = [i for i, x in enumerate(ids) if self.begins[x]]
-        if len(starts) != n:
-            raise AssertionError("words were not cut at their markers")
-        return [tuple(ids[i:j]) for i, j in zip(starts, [*starts[1:], len(ids)], strict=True)] if ids else []
-
-    def parity(self, texts: list[str], ids: list[list[int]], back: list[str]) -> list[bool]:
-        """Whether sentencepiece gives these ids for each text, and reads the same text from them."""
-        theirs = self.own.decode(ids, num_threads=self.threads)
-        if self.single is None:
-            return [t not in self.differ and a == b for t, a, b in zip(texts, back, theirs, strict=True)]
-        return [a == b and (not self.differ or self.differ.isdisjoint(self.cut.findall(self.normalise(t)))) for t, a, b in zip(texts, back, theirs, strict=True)]
+        rest = [w for w in new if not (len(w) > 1 and w[1] != SPACE)]
+        if plain:
+            text = "".join(plain)
+            found = self.joined.encode(text, add_special_tokens=False).ids
+            ids = np.array(found)
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) != len(plain):
+                raise AssertionError("words were not cut at their markers")
+            self._learn(plain, ids, np.diff(starts, append=len(ids)))
+            spoken = text[1:].replace(SPACE, " ")
+            if self.own and (found != self.own.encode(spoken) or self.own.decode(found) != spoken):
+                self.differ.update(w for w in plain if self._word(w) != self.own.encode(w[1:]) or self.own.decode(self._word(w)) != w[1:])
+        if rest:
+            found = [e.ids for e in self.single.encode_batch_fast(rest, add_special_tokens=False)]
+            self._learn(rest, np.array([x for ids in found for x in ids]), np.array([len(x) for x in found]))
+            if self.own:
+                lead = self.own.encode("a")
+                spoken = ["a" + w.replace(SPACE, " ") for w in rest]
+                theirs = self.own.encode(spoken, num_threads=self.threads)
+                self.differ.update(w for w, x, t, y in zip(rest, found, theirs, spoken, strict=True) if [*lead, *x] != t or self.own.decode(t) != y)
+
+    def _word(self, word: str) -> list[int]:
+        k = self.known[word]
+        return self.ids[self.at[k] : self.at[k] + self.size[k]].tolist()
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        """Byte and unknown pieces are left to the library's decoder; others stand for themselves."""
-        out, hard = [], []
-        for i, x in enumerate(ids):
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool | None]]:
+        """All ids one after the other, the place where each text's end, from 0, and each text's parity."""
+        if self.single is None:
+            found = [e.ids if t else [] for t, e in zip(texts, self.whole.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
+            same = [None] * len(texts)
+            if self.own:
+                back = self.whole.decode_batch(found, skip_special_tokens=False)
+                same = [x == y and a == b for x, y, a, b in zip(found, self.own.encode(texts, num_threads=self.threads), back, self.own.decode(found, num_threads=self.threads), strict=True)]
+            return np.array([x for ids in found for x in ids], np.int32), np.cumsum([0, *map(len, found)]), same
+        if len(self.known) > self.cached:
+            self._forget()
+        cut = [self.cut.findall(self.normalise(t)) for t in texts]
+        words = list(chain.from_iterable(cut))
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(at < 0).tolist()
+        if unknown:
+            self._enter(list(dict.fromkeys(words[i] for i in unknown)))
+            at[unknown] = [self.known[words[i]] for i in unknown]
+        sizes = self.size[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, cut)])]
+        same = [None if self.own is None else not self.differ or self.differ.isdisjoint(c) for c in cut]
+        return _ragged(self.ids, self.at[at], sizes), ends, same
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of ids as encode() gives them. Normal and byte pieces stand for themselves; texts with others, or with
+        bytes that aren't UTF-8, are left to the library."""
+        sizes = self.length[ids]
+        data = _ragged(self.bytes, self.start[ids], sizes).tobytes()
+        cuts = np.concatenate([[0], np.cumsum(sizes)])[ends].tolist()
+        special = np.concatenate([[0], np.cumsum(self.special[ids])])[ends]
+        hard = np.flatnonzero(np.diff(special)).tolist()
+        out = []
+        for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
             try:
-                t = "".join(map(self.plain.__getitem__, x)).replace(SPACE, " ")
-            except KeyError:
-                hard.append(i)
+                t = data[i:j].decode()
+            except UnicodeDecodeError:
+                hard.append(k)
                 t = ""
-            out.append(t[1:] if self.strip and t[:1] == " " else t)
-        for i, t in zip(hard, self.whole.decode_batch([ids[i] for i in hard], skip_special_tokens=False), strict=True):
+            out.append(t[1:] if (self.spec.dummy_prefix or self.spec.squeeze) and t[:1] == " " else t)
+        hard = sorted(set(hard))
+        for i, t in zip(hard, self.whole.decode_batch([ids[ends[i] : ends[i + 1]].tolist() for i in hard], skip_special_tokens=False), strict=True):
             out[i] = t
         return out
 
@@ -258,12 +301,11 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
         for b in batches:
             at = 0
             for part in _pieces([t.as_py() or "" for t in b.column(1)]):
-                ids = codec.encode(part)
-                back = codec.decode(ids)
-                same = codec.parity(part, ids, back) if verify else [None] * len(part)
+                ids, ends, same = codec.encode(part)
                 rows = b.slice(at, len(part))
                 at += len(part)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(back, pa.string()), pa.array(same, pa.bool_())], names=["id", "ids", "n_tokens", "decoded", "parity"])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([rows.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array(codec.decode(ids, ends), pa.string()), pa.array(same, pa.bool_())], names=["id", "ids", "n_tokens", "decoded", "parity"])
 
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     return slim.mapInArrow(run, "id long, ids array<int>, n_tokens long, decoded string, parity boolean").withColumnRenamed("id", key)
@@ -276,6 +318,8 @@ def decode(tokens: DataFrame, model: bytes, key: str = "doc_id", ids: str = "ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(base64.b64decode(sent.value), threads, False)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codec.decode([x.as_py() or [] for x in b.column(1)]), pa.string())], names=["id", "text"])
+            found = [x.as_py() or [] for x in b.column(1)]
+            texts = codec.decode(np.array([x for ids in found for x in ids], np.int64), np.cumsum([0, *map(len, found)]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
     return tokens.select(F.col(key).cast("long").alias("id"), F.col(ids)).mapInArrow(run, "id long, text string").withColumnRenamed("id", key)
