@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lower_ascii
+from .common import lower_ascii, saved
 
 RULES = T.StructType([T.StructField(c, T.StringType()) for c in ("host", "path", "verdict")])
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -56,7 +56,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     urls = pages.select(url_host(F.col(url)).alias("url_host"), url_path(F.col(url)).alias("url_path")).distinct()
     suffixes = F.expr(f"transform(sequence(1, least(size(split(url_host, '\\\\.', -1)), {max(deepest, 1)})), n -> array_join(reverse(slice(split(url_host, '\\\\.', -1), -n, n)), '.'))")
     keys = urls.select("url_host", "url_path", F.explode(suffixes).alias("rev"), F.xxhash64("url_host", "url_path").alias("salt")).join(hosts.select("rev"), "rev")
-    sweeps = keys.groupBy("rev").agg(F.ceil(F.count("*") / F.lit(rows_per_sweep)).cast("int").alias("sweeps"))
+    # A row per host with rules; as a table, its size tells Spark whether to send it whole.
+    sweeps = saved(keys.groupBy("rev").agg(F.ceil(F.count("*") / F.lit(rows_per_sweep)).cast("int").alias("sweeps")), "sweeps")
     keys = keys.join(sweeps, "rev").select("rev", F.expr("cast(pmod(salt, sweeps) as int)").alias("sweep"), F.encode("url_path", "UTF-8").alias("key"), F.lit(1).alias("kind"), "url_host", "url_path", F.lit(None).cast("string").alias("top"))
 
     opened = F.struct(F.encode("r_path", "UTF-8").alias("key"), F.lit(0).alias("kind"), F.col("r_path").alias("top"))
