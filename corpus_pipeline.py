@@ -15,8 +15,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that SimHash links, the one with the smallest doc_id stays."""
-    return simhash.keep_representatives(docs, simhash.near_duplicates(docs))
+    """Of each group of documents that SimHash links, by five words and a similarity of 0.8, the one with the smallest doc_id stays."""
+    return simhash.keep_representatives(docs, simhash.similar_documents(docs, words=5, similarity=0.8))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
