@@ -176,7 +176,8 @@ def keep_representatives(docs: DataFrame, classes: DataFrame, key: str = "doc_id
     """One row of each group: that whose key is the component's id. A key's repeated rows, copies of each other or
     not, keep one row. Rows without a key can't be named by a class, and stay."""
     kept = saved(classes.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("_rows")), "kept")
-    out = docs.join(kept.select(key), key, "left_semi")
+    # A row for each document kept: it grows with the corpus, so it is never sent whole.
+    out = docs.join(kept.select(key).hint("merge"), key, "left_semi")
     if kept.where("_rows > 1").limit(1).count():
         single = docs.join(kept.where("_rows = 1").select(key), key, "left_semi")
         out = single.unionByName(docs.join(kept.where("_rows > 1").select(key), key, "left_semi").dropDuplicates([key]))
