@@ -24,7 +24,7 @@ def _canonical(host: Column) -> Column:
     return F.array_join(F.reverse(F.split(host, r"\.", -1)), ".")
 
 
-def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url", rows_per_sweep: int = 20_000) -> DataFrame:
+def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url", rows_per_sweep: int = 2_000) -> DataFrame:
     """Judge each row of `pages` by the longest rule that fits its url; keeps all its columns and adds
     url_host, url_path, url_rule and url_verdict (columns of these names are replaced).
 
@@ -49,15 +49,17 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     prefixes = rules.select("rev", F.col("r_path").alias("above"), F.explode(F.expr("transform(sequence(0, length(r_path)), n -> substring(r_path, 1, n))")).alias("r_path")).where("r_path != above")
     below = prefixes.join(rules.select("rev", "r_path"), ["rev", "r_path"]).groupBy("rev", F.col("above").alias("r_path")).agg(F.max_by("r_path", F.length("r_path")).alias("below"))
     stacked = rules.join(below, ["rev", "r_path"], "left")
-    hosts = rules.groupBy("rev", "r_host").agg(F.size(F.split(F.first("r_host"), r"\.", -1)).alias("labels"))
+    hosts = rules.groupBy("rev", "r_host").agg(F.size(F.split(F.first("r_host"), r"\.", -1)).alias("labels"), F.count("*").alias("n_rules"))
     # Suffixes longer than any rule's host can't fit; this one number bounds the keys of a url.
     deepest = hosts.agg(F.max("labels")).first()[0] or 0
 
     urls = pages.select(url_host(F.col(url)).alias("url_host"), url_path(F.col(url)).alias("url_path")).distinct()
     suffixes = F.expr(f"transform(sequence(1, least(size(split(url_host, '\\\\.', -1)), {max(deepest, 1)})), n -> array_join(reverse(slice(split(url_host, '\\\\.', -1), -n, n)), '.'))")
-    keys = urls.select("url_host", "url_path", F.explode(suffixes).alias("rev"), F.xxhash64("url_host", "url_path").alias("salt")).join(hosts.select("rev"), "rev")
-    # A row per host with rules; as a table, its size tells Spark whether to send it whole.
-    sweeps = saved(keys.groupBy("rev").agg(F.ceil(F.count("*") / F.lit(rows_per_sweep)).cast("int").alias("sweeps")), "sweeps")
+    keys = urls.select("url_host", "url_path", F.explode(suffixes).alias("rev"), F.xxhash64("url_host", "url_path").alias("salt")).join(hosts.select("rev", "n_rules"), "rev")
+    # A row per host with rules; as a table, its size tells Spark whether to send it whole. A sweep has at least as many
+    # urls as rules, so that the rules' copies are never more than the urls.
+    sweeps = keys.groupBy("rev").agg(F.ceil(F.count("*") / F.greatest(F.max("n_rules"), F.lit(rows_per_sweep))).cast("int").alias("sweeps"))
+    sweeps = saved(sweeps, "sweeps")
     keys = keys.join(sweeps, "rev").select("rev", F.expr("cast(pmod(salt, sweeps) as int)").alias("sweep"), F.encode("url_path", "UTF-8").alias("key"), F.lit(1).alias("kind"), "url_host", "url_path", F.lit(None).cast("string").alias("top"))
 
     opened = F.struct(F.encode("r_path", "UTF-8").alias("key"), F.lit(0).alias("kind"), F.col("r_path").alias("top"))
