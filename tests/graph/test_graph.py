@@ -152,6 +152,48 @@ def test_training(spark):
         learn.train_communities(g, c, 3, model="gatv2")
 
 
+def test_warm_start_and_probe(spark):
+    rng = np.random.default_rng(2)
+    label = np.arange(90) % 3
+    x = np.eye(3)[label] + rng.normal(0, 0.3, (90, 3))
+    pairs = [(a, b) for a, b in rng.integers(0, 90, (400, 2)) if a != b and label[a] == label[b]]
+    nodes, edges = graphs.from_arrays(spark, np.array(pairs).T, features=x, labels=label)
+    g = G.Graph(nodes, G.symmetrize(edges), G.random_split(nodes))
+    c = nodes.select("id", (F.col("id") % 3 % 2).alias("community_id"))
+    start = learn.warm_start(g, c, 3, hidden=8)
+    assert set(start) == set(learn.Sage(3, 8, 3).w) and start["w1"].shape == (3, 8)
+    got = learn.train_communities(g, c, 3, hidden=8, start=start, probe_epochs=40).collect()
+    assert len(got) == 2 and all(r.trained and r.comm_test_acc > 0.6 for r in got)
+    assert learn.warm_start(g, c.limit(0), 3) is None
+
+
+def test_probe_gradient():
+    rng = np.random.default_rng(3)
+    p, x, y = learn.Probe(5, 3), rng.normal(size=(7, 5)), rng.integers(0, 3, 7)
+
+    def loss():
+        out = p.layers(x)[-1]
+        z = out - out.max(1, keepdims=True)
+        return -(z[np.arange(7), y] - np.log(np.exp(z).sum(1))).mean() + 2.5e-4 * sum((p.w[k] ** 2).sum() for k in (0, 2, 4))
+
+    for k, g in enumerate(p.gradient(x, y)):
+        at = tuple(0 for _ in p.w[k].shape)
+        old = p.w[k][at]
+        p.w[k][at] = old + 1e-6
+        up = loss()
+        p.w[k][at] = old - 1e-6
+        down = loss()
+        p.w[k][at] = old
+        assert abs((up - down) / 2e-6 - g[at]) < 1e-5
+
+
+def test_halves_settle_a_bipartite_graph(spark):
+    star = G.symmetrize(frame(spark, [(0, i) for i in range(1, 6)]))
+    got = dict(G.label_propagation_halves(ids(spark, 7), star, 4).collect())
+    assert len({got[i] for i in range(6)}) == 1 and got[6] == 6
+    assert got == dict(G.label_propagation_halves(ids(spark, 7), star, 4).collect())
+
+
 def test_sources(spark, tmp_path):
     import gzip
 

@@ -90,6 +90,18 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, iterations: int = 5, u
     return labels
 
 
+def label_propagation_halves(nodes: DataFrame, edges: DataFrame, rounds: int = 5, seed: int = 42) -> DataFrame:
+    """(id, community_id): label propagation in which a seeded half of the nodes moves at a time and sees the other
+    half's new labels, so that two sides of a bipartite graph can't swap labels for ever. Ties, isolated nodes and
+    cost are as in label_propagation(); deterministic under the seed."""
+    labels = nodes.select("id", F.col("id").alias("community_id"))
+    for i in range(2 * rounds):
+        turn = F.pmod(spread(seed + i // 2, F.col("id")), F.lit(2)) == i % 2
+        best = votes(labels, edges).where(turn).groupBy("id").agg(F.max(F.struct("n", "community_id"))["community_id"].alias("best"))
+        labels = saved(labels.join(best, "id", "left").select("id", F.coalesce("best", "community_id").alias("community_id")), "labels")
+    return labels
+
+
 def modularity(communities: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: modularity, of a symmetric edge list."""
     at = edges.join(communities.toDF("src", "cs"), "src").join(communities.toDF("dst", "cd"), "dst")

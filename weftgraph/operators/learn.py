@@ -93,51 +93,135 @@ def training_frame(graph: Graph, communities: DataFrame, expand: bool = True) ->
     return nodes.join(lists, ["community_id", "id"], "left").join(boundary(graph.edges, communities), "id", "left")
 
 
-def train_communities(graph: Graph, communities: DataFrame, classes: int, hidden: int = 32, epochs: int = 30, lr: float = 0.01, seed: int = 42, model: str = "sage", expand: bool = True, halo_in_test: bool = False, most_edges: int = 200_000) -> DataFrame:
+class Probe:
+    """A downstream classifier on embeddings: layers of 64 and 32 with ReLU, Adam in batches of 128. The weights with the
+    best validation accuracy are kept; a later equal one doesn't replace them."""
+
+    def __init__(self, width: int, classes: int, seed: int = 42):
+        self.rng = np.random.default_rng(seed)
+        sizes = (width, 64, 32, classes)
+        self.w = [a for i, o in zip(sizes, sizes[1:], strict=False) for a in (self.rng.uniform(-1, 1, (i, o)) * np.sqrt(6 / (i + o)), np.zeros(o))]
+
+    def layers(self, x: np.ndarray) -> list[np.ndarray]:
+        out = [x]
+        for k in (0, 2):
+            out.append(np.maximum(out[-1] @ self.w[k] + self.w[k + 1], 0))
+        return [*out, out[-1] @ self.w[4] + self.w[5]]
+
+    def gradient(self, x: np.ndarray, y: np.ndarray, decay: float = 5e-4) -> list[np.ndarray]:
+        *acts, out = self.layers(x)
+        g = np.exp(out - out.max(1, keepdims=True))
+        g /= g.sum(1, keepdims=True)
+        g[np.arange(len(y)), y] -= 1
+        g /= len(y)
+        grads: list[np.ndarray] = []
+        for k in (4, 2, 0):
+            act = acts[k // 2]
+            grads = [act.T @ g + decay * self.w[k], g.sum(0) + decay * self.w[k + 1], *grads]
+            g = (g @ self.w[k].T) * (act > 0)
+        return grads
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self.layers(x)[-1].argmax(1)
+
+    def fit(self, x, y, train, valid, epochs: int, lr: float = 1e-3) -> None:
+        m, v = ([np.zeros_like(a) for a in self.w] for _ in range(2))
+        best, kept, t = -1.0, None, 0
+        for _ in range(epochs):
+            order = self.rng.permutation(train)
+            for at in range(0, len(order), 128):
+                rows, t = order[at : at + 128], t + 1
+                for k, g in enumerate(self.gradient(x[rows], y[rows])):
+                    m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
+                    self.w[k] = self.w[k] - lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+            if len(valid) and (now := float((self.predict(x[valid]) == y[valid]).mean())) > best:
+                best, kept = now, list(self.w)
+        self.w = kept or self.w
+
+
+def _arrays(pdf: pd.DataFrame, classes: int, seed: int, halo_in_test: bool, most_edges: int):
+    """A community's rows, by id: (rows, pairs, features, labels, rows by split, message sources and targets, generator)."""
+    pdf = pdf.sort_values("id").reset_index(drop=True)
+    at = {i: k for k, i in enumerate(pdf["id"])}
+    edges = [(at[i], at[j]) for i, row in zip(pdf["id"], pdf["neighbors"], strict=True) if row is not None for j in row if j in at]
+    pairs = np.array(edges, np.int64).reshape(-1, 2)
+    x = np.array(pdf["features"].tolist(), float)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    y, member = pdf["label"].to_numpy(), pdf["is_core"].to_numpy(bool) | halo_in_test
+    part = {s: np.flatnonzero((pdf["split"] == s).to_numpy() & member & (y >= 0) & (y < classes)) for s in ("train", "valid", "test")}
+    rng = np.random.default_rng(seed)
+    kept = pairs[rng.permutation(len(pairs))[:most_edges]] if len(pairs) > most_edges else pairs
+    both = np.unique(np.concatenate([kept, kept[:, ::-1]]), axis=0)  # halo nodes send as well as receive
+    return pdf, pairs, x, y, part, both[:, 0], both[:, 1], rng
+
+
+def _frame(graph: Graph, communities: DataFrame, expand: bool) -> DataFrame:
+    return training_frame(graph, communities, expand).withColumn("label", label_or_missing(F.col("label")))
+
+
+def warm_start(graph: Graph, communities: DataFrame, classes: int, hidden: int = 32, epochs: int = 5, lr: float = 0.01, seed: int = 42, expand: bool = True) -> dict[str, np.ndarray] | None:
+    """The weights of a model trained on the largest community, of equals that with the smallest id; None without communities.
+    They are as large as one model, whatever the graph."""
+    sizes = communities.groupBy("community_id").agg(F.count("*").alias("size"))
+    largest = sizes.orderBy(F.desc("size"), "community_id").limit(1).collect()
+    if not largest:
+        return None
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, _, x, y, part, src, dst, _ = _arrays(pdf, classes, seed, False, 200_000)
+        net = Sage(x.shape[1], hidden, classes, seed)
+        if len(part["train"]):
+            net.fit(x, src, dst, y, part["train"], epochs, lr)
+        return pd.DataFrame([(k, list(w.shape), w.reshape(-1).tolist()) for k, w in net.w.items()], columns=["name", "shape", "x"])
+
+    frame = _frame(graph, communities, expand).where(F.col("community_id") == largest[0].community_id)
+    rows = frame.groupBy("community_id").applyInPandas(run, "name string, shape array<long>, x array<double>").collect()
+    return {r.name: np.array(r.x).reshape(r.shape) for r in rows} if rows else None
+
+
+def train_communities(
+    graph: Graph, communities: DataFrame, classes: int, hidden: int = 32, epochs: int = 30, lr: float = 0.01, seed: int = 42, model: str = "sage", expand: bool = True,
+    halo_in_test: bool = False, most_edges: int = 200_000, start: dict[str, np.ndarray] | None = None, probe_epochs: int = 0,
+) -> DataFrame:
     """RESULT of each community: a model of its own, trained on its training nodes, and a link score of its embedding.
 
     An unknown model is an error. Halo nodes carry features but are neither trained nor tested on, unless halo_in_test.
+    start: weights to begin with, of warm_start(). probe_epochs: over 0, accuracy is that of a Probe on the embedding.
     Without training nodes a community has accuracy 0 and trained is false; with fewer than five edges its link AUC is 0.5.
     A community trains in one task and must fit in its memory, as it is one model; min_size() and the choice of
     detector bound it. Message passing takes at most `most_edges` edges, in order of a seeded shuffle.
     """
     if model not in MODELS:
         raise ValueError(f"unknown model {model}: one of {', '.join(MODELS)}")
-    frame = training_frame(graph, communities, expand).withColumn("label", label_or_missing(F.col("label")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        at = {i: k for k, i in enumerate(pdf["id"])}
-        edges = [(at[i], at[j]) for i, row in zip(pdf["id"], pdf["neighbors"], strict=True) if row is not None for j in row if j in at]
-        pairs = np.array(edges, np.int64).reshape(-1, 2)
-        x = np.array(pdf["features"].tolist(), float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        y, core = pdf["label"].to_numpy(), pdf["is_core"].to_numpy(bool)
-        member = core | halo_in_test
-        part = {s: np.flatnonzero((pdf["split"] == s).to_numpy() & member & (y >= 0) & (y < classes)) for s in ("train", "valid", "test")}
-        edge = pdf["is_boundary"].fillna(False).to_numpy(bool)
-        rng = np.random.default_rng(seed)
-        kept = pairs[rng.permutation(len(pairs))[:most_edges]] if len(pairs) > most_edges else pairs
-        both = np.unique(np.concatenate([kept, kept[:, ::-1]]), axis=0)  # halo nodes send as well as receive
-        src, dst = both[:, 0], both[:, 1]
+        pdf, pairs, x, y, part, src, dst, rng = _arrays(pdf, classes, seed, halo_in_test, most_edges)
+        core, edge = pdf["is_core"].to_numpy(bool), pdf["is_boundary"].fillna(False).to_numpy(bool)
         net, trained = Sage(x.shape[1], hidden, classes, seed), len(part["train"]) > 0
+        if start is not None:
+            net.w = {k: w.copy() for k, w in start.items()}
         if trained:
             net.fit(x, src, dst, y, part["train"], epochs, lr)
         *_, emb, out = net.forward(x, src, dst)
-        hit = out.argmax(1) == y
+        found = out.argmax(1)
+        if trained and probe_epochs:
+            probe = Probe(emb.shape[1], classes, seed)
+            probe.fit(emb, y, part["train"], part["valid"], probe_epochs)
+            found = probe.predict(emb)
+        hit = found == y
         rate = lambda rows: float(hit[rows].mean()) if trained and len(rows) else 0.0
         test, link = part["test"], 0.5
         if len(pairs) >= 5:
             held = pairs[rng.permutation(len(pairs))[: max(1, min(len(pairs) // 10, 20_000))]]
             drawn = np.column_stack([held[:, 0], rng.integers(0, len(x), len(held))])
-            both_ = np.concatenate([held, drawn])
-            link = rank_auc((emb[both_[:, 0]] * emb[both_[:, 1]]).sum(1), np.arange(len(both_)) < len(held))
+            scored = np.concatenate([held, drawn])
+            link = rank_auc((emb[scored[:, 0]] * emb[scored[:, 1]]).sum(1), np.arange(len(scored)) < len(held))
         n, b = len(pdf), int((edge & core).sum())
         bucket = "large" if n > LARGE_OVER else "medium" if n >= MEDIUM_FROM else "small"
         row = (int(pdf["community_id"].iloc[0]), n, len(pairs), len(part["train"]), len(part["valid"]), len(test), b, int(core.sum()) - b, rate(test), rate(test[edge[test]]), rate(test[~edge[test]]), link, trained, bucket)
         return pd.DataFrame([row], columns=[c.split()[0] for c in RESULT.split(", ")])
 
-    return frame.groupBy("community_id").applyInPandas(run, RESULT)
+    return _frame(graph, communities, expand).groupBy("community_id").applyInPandas(run, RESULT)
 
 
 def neighbor_lists(graph: Graph) -> DataFrame:

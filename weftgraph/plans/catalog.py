@@ -206,6 +206,8 @@ def _add() -> None:
         CASE WHEN n_nodes > 200 THEN 'large' WHEN n_nodes >= 50 THEN 'medium' ELSE 'small' END AS size_bucket FROM e JOIN n USING (community_id) GROUP BY community_id, n_nodes"""
     )(_named("sage_community_structure", lambda g, c: learn.train_communities(g, G.min_size(c, LEAST), CLASSES, hidden=4, epochs=1).select("community_id", *structure.split(", "))))
     over_communities(None)(_named("sage_community_metrics", lambda g, c: learn.train_communities(g, G.min_size(c, LEAST), CLASSES)))
+    over_communities(None)(_named("sage_warm_probe_metrics", _warm))
+    over_graph(None)(_named("lpa_halves", lambda g: G.label_propagation_halves(g.nodes, g.edges)))
     over_graph(None)(_named("louvain_communities", lambda g: G.louvain_moves(g.nodes, g.edges)))
     over_graph(None)(_named("kway_parts", lambda g: G.balanced_parts(g.nodes, 16, by=G.label_propagation(g.nodes, g.edges, 3))))
     over_communities(
@@ -225,6 +227,12 @@ def _named(name: str, f):
     return f
 
 
+def _warm(g: G.Graph, c: DataFrame) -> DataFrame:
+    """Models that begin with the largest community's weights; accuracy by a classifier on their embeddings."""
+    kept = G.min_size(c, LEAST)
+    return learn.train_communities(g, kept, CLASSES, start=learn.warm_start(g, kept, CLASSES), probe_epochs=20)
+
+
 def predictions(nodes: DataFrame) -> DataFrame:
     """A fixed stand-in for a model: three labels in four are right, and scores have ties."""
     wrong = F.col("label") % 25 + 1
