@@ -331,7 +331,8 @@ def test_toxicity(spark, sf):
     ones = sum(t for _, t in ranked)
     above = sum(sum(1.0 if a < s else 0.5 if a == s else 0.0 for a, y in ranked if not y) for s, t in ranked if t)
     auc, accuracy = above / ones / (len(ranked) - ones), sum(r.predicted == r.toxic for r in rows) / len(rows)
-    # In this table, about one label of 1 in twelve marks a text with nothing toxic in it.
+    # Measured here: 76 of 97 held-out texts of label 1 found, 6 of 728 others rejected, AUC 0.945, accuracy 0.967. The bounds
+    # lie under these figures; first guesses of 0.95 and 0.97, made before any measurement, were not reached.
     assert ones > 50 and auc > 0.9 and accuracy > 0.95, (auc, accuracy)
     assert abs(sum(r.score for r in rows) / len(rows) - ones / len(rows)) < 0.03
 
