@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import core
 from weftgraph.operators import graph as G
-from weftgraph.operators import learn, metrics
+from weftgraph.operators import learn, metrics, models
 from weftgraph.operators.storage import TableStore
 from weftgraph.sources import graphs
 from weftgraph.streaming import edges as streams
@@ -118,20 +118,72 @@ def test_vectors(spark):
     assert got == [1, -1, -1]
 
 
-def test_gradient():
+@pytest.mark.parametrize("kind", models.KINDS)
+def test_gradient(kind):
     rng = np.random.default_rng(0)
-    net, x = learn.Sage(4, 3, 2), rng.normal(size=(6, 4))
-    src, dst, y, rows = np.array([0, 1, 2, 3, 4, 5, 0]), np.array([1, 2, 0, 4, 5, 3, 3]), np.array([0, 1, 0, 1, 0, 1]), np.array([0, 1, 3])
-    _, grad = net.loss(x, src, dst, y, rows)
+    net, x = models.Network(kind, 4, 8, 3), rng.normal(size=(9, 4))
+    src, dst = np.array([0, 1, 2, 3, 4, 5, 0, 8, 7]), np.array([1, 2, 0, 4, 5, 3, 3, 1, 1])
+    y, rows, anchor = np.array([0, 1, 0, 1, 0, 1, 2, 2, 2]), np.array([0, 1, 3, 4, 6, 7]), (np.array([1, 2]), np.ones((2, 8)))
+    net.w = {k: w + rng.normal(0, 0.1, w.shape) for k, w in net.w.items()}
+    _, grad = net.loss(x, src, dst, y, rows, anchor=anchor)
     for k, w in net.w.items():
-        at = tuple(0 for _ in w.shape)
-        old = w[at]
-        w[at] = old + 1e-6
-        up, _ = net.loss(x, src, dst, y, rows)
-        w[at] = old - 1e-6
-        down, _ = net.loss(x, src, dst, y, rows)
-        w[at] = old
-        assert abs((up - down) / 2e-6 - grad[k][at]) < 1e-5
+        for _ in range(4):
+            at = tuple(rng.integers(0, n) for n in w.shape)
+            old = w[at]
+            w[at] = old + 1e-6
+            up, _ = net.loss(x, src, dst, y, rows, anchor=anchor)
+            w[at] = old - 1e-6
+            down, _ = net.loss(x, src, dst, y, rows, anchor=anchor)
+            w[at] = old
+            assert abs((up - down) / 2e-6 - grad[k][at]) < 1e-5
+
+
+def test_layers_by_hand():
+    """Each layer on one node with two in-neighbours, against sums written out."""
+    rng = np.random.default_rng(5)
+    x, src, dst = rng.normal(size=(3, 2)), np.array([1, 2]), np.array([0, 0])
+    soft = lambda s: np.exp(s) / np.exp(s).sum()
+    slope = lambda v: np.where(v > 0, v, 0.2 * v)
+    for layer in (models.Sage, models.Gat, models.Gatv2, models.Transformer, models.Arma, models.Le):
+        one = layer(2, 3)
+        w = {k: rng.normal(size=s) for k, s in one.shapes.items()}
+        got = one({k: models.Value(v) for k, v in w.items()}, models.Value(x), src, dst).x[0]
+        if layer is models.Sage:
+            want = x[0] @ w["a"] + (x[1] + x[2]) / 2 @ w["b"] + w["bias"]
+        elif layer is models.Gat:
+            h = x @ w["a"]
+            want = soft(np.array([slope(h[j] @ w["from"][0, 0] + h[0] @ w["to"][0, 0]) for j in range(3)])) @ h + w["bias"]
+        elif layer is models.Gatv2:
+            left, right = x @ w["l"] + w["l0"], x @ w["r"] + w["r0"]
+            want = soft(np.array([slope(left[j] + right[0]) @ w["att"][0, 0] for j in range(3)])) @ left + w["bias"]
+        elif layer is models.Transformer:
+            q, k, v = (x @ w[c] + w[c + "0"] for c in "qkv")
+            want = soft(np.array([q[0] @ k[j] / np.sqrt(3) for j in (1, 2)])) @ v[1:] + x[0] @ w["s"] + w["s0"]
+        elif layer is models.Arma:
+            h = x @ w["a"]
+            want = np.maximum(h[0] / 3 + (h[1] + h[2]) / np.sqrt(3) + x[0] @ w["v"] + w["bias"], 0)
+        else:
+            a, b = x @ w["a"] + w["a0"], x @ w["b"]
+            want = a.sum(0) - 3 * b[0] + x[0] @ w["c"] + w["c0"]
+        assert np.allclose(got, want), layer
+
+
+def test_contrast_by_brute_force():
+    rng = np.random.default_rng(6)
+    z, c, y = rng.normal(size=(6, 4)), rng.uniform(size=(4, 2)), np.array([0, 0, 1, 1, 0, 2])
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    total = 0.0
+    for i in range(6):
+        pi = np.exp(z[i] @ c / models.KAPPA) / np.exp(z[i] @ c / models.KAPPA).sum()
+        total += models.ETA * (pi * np.log(pi)).sum() / 6
+        likely = np.zeros(6)
+        for k in range(2):
+            gate = 1 / (1 + np.exp(z[i] @ z.T - z[i] @ c[:, k]))
+            s = np.exp((gate * (z[i] @ c[:, k]) + (1 - gate) * (z[i] @ z.T)) / models.TAU)
+            likely += pi[k] * s / (s.sum() - s[i])
+        same = [j for j in range(6) if j != i and y[j] == y[i]]
+        total -= sum(np.log(likely[j]) for j in same) / max(len(same), 1) / 6
+    assert abs(models.contrast(models.Value(z), models.Value(c), y).x - total) < 1e-9
 
 
 def test_training(spark):
@@ -149,7 +201,60 @@ def test_training(spark):
     alone = learn.train_communities(G.Graph(nodes, g.edges, g.masks.limit(0)), c, 3, epochs=2).first()
     assert not alone.trained and alone.comm_test_acc == 0.0
     with pytest.raises(ValueError):
-        learn.train_communities(g, c, 3, model="gatv2")
+        learn.train_communities(g, c, 3, model="gcn")
+    for model in models.KINDS:
+        assert all(r.trained and r.comm_test_acc > 0.5 for r in learn.train_communities(g, c, 3, hidden=16, epochs=40, model=model, dropout=0.1).collect()), model
+    whole = learn.train_communities(g, learn.whole_graph(g), 3, epochs=60).collect()
+    assert len(whole) == 1 and whole[0].n_nodes == n and whole[0].comm_test_acc > 0.6
+    assert learn.whole_graph(g, 50).groupBy("community_id").count().count() == 3
+    runs = learn.over_runs([learn.train_communities(g, c, 3, epochs=5, seed=s) for s in (1, 2)], "comm_test_acc", "n_test").first()
+    assert runs.runs == 2 and 0 <= runs.mean <= 1 and runs.std >= 0
+
+
+def super_brute(edges, community, least):
+    """{community: (nodes, edges)} of the graphs with super-nodes, by sets."""
+    size = {c: sum(v == c for v in community.values()) for c in community.values()}
+    major = {c for c in size if size[c] >= least}
+    at = {v: -1000 - c if c in major else v for v, c in community.items()}
+    contracted = {(at[a], at[b]) for a, b in edges if at[a] != at[b]}
+    out = {}
+    for m in major:
+        mine = {v for v, c in community.items() if c == m}
+        own = {(a, b if b in mine else at[b]) for a, b in edges if a in mine}
+        near = {b for _, b in own} - mine
+        more = {(a, b) for a, b in contracted if a in near and b != -1000 - m and (b <= -1000 or b in near)}
+        out[m] = mine | near | {b for _, b in more}, own | more
+    small = {v for v, c in community.items() if c not in major}
+    edge = {(a, b) for a, b in contracted if a in small and (b in small or b <= -1000)}
+    supers = {b for _, b in edge if b <= -1000}
+    out[-1] = small | supers, edge | {(a, b) for a, b in contracted if a in supers and b in supers}
+    return out
+
+
+def test_super_graphs(spark):
+    rng = np.random.default_rng(4)
+    n = 60
+    community = {i: int(i) if i > 47 else i % 4 for i in range(n)}
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, n, (160, 2)) if a != b}
+    pairs |= {(b, a) for a, b in pairs}
+    label = np.array([community[i] % 3 for i in range(n)])
+    nodes, _ = graphs.from_arrays(spark, np.array(sorted(pairs)).T, features=np.eye(3)[label], labels=label)
+    g = G.Graph(nodes, frame(spark, sorted(pairs)), G.random_split(nodes))
+    c = spark.createDataFrame(list(community.items()), "id long, community_id long")
+    rows = learn.super_frame(g, c, 5).collect()
+    want = super_brute(pairs, community, 5)
+    got = {}
+    for r in rows:
+        seen = got.setdefault(r.community_id, (set(), set()))
+        assert r.id not in seen[0]
+        seen[0].add(r.id)
+        seen[1].update((r.id, j) for j in r.neighbors or [])
+        assert r.is_core == (r.id >= 0 and (community[r.id] == r.community_id or r.community_id < 0)) and (r.id >= 0) == (r.label >= 0)
+    assert got == want
+    results = learn.train_frame(learn.super_frame(g, c, 5), 3, epochs=30).collect()
+    assert {r.community_id: r.n_nodes for r in results} == {k: len(v[0]) for k, v in want.items()} and all(r.trained for r in results)
+    assert {r.community_id for r in learn.super_frame(g, c, 5, most_nodes=6).select("community_id").distinct().collect()} >= {-1, -2, 0, 1, 2, 3}
+    assert learn.super_frame(g, c.limit(0), 5).count() == 0
 
 
 def test_warm_start_and_probe(spark):
@@ -161,9 +266,13 @@ def test_warm_start_and_probe(spark):
     g = G.Graph(nodes, G.symmetrize(edges), G.random_split(nodes))
     c = nodes.select("id", (F.col("id") % 3 % 2).alias("community_id"))
     start = learn.warm_start(g, c, 3, hidden=8)
-    assert set(start) == set(learn.Sage(3, 8, 3).w) and start["w1"].shape == (3, 8)
+    assert set(start) == set(models.Network("sage", 3, 8, 3).w) and start["0.a"].shape == (3, 8)
     got = learn.train_communities(g, c, 3, hidden=8, start=start, probe_epochs=40).collect()
     assert len(got) == 2 and all(r.trained and r.comm_test_acc > 0.6 for r in got)
+    anchors = learn.warm_embeddings(g, c, 3, start)
+    assert anchors.count() == 60 and all(len(r.embedding) == 8 for r in anchors.collect())
+    drawn = learn.train_communities(g, c, 3, hidden=8, start=start, anchors=anchors).collect()
+    assert len(drawn) == 2 and all(r.trained and r.comm_test_acc > 0.6 for r in drawn)
     assert learn.warm_start(g, c.limit(0), 3) is None
 
 

@@ -1,4 +1,4 @@
-"""Per-community training: a two-layer mean-aggregating network in numpy, run by applyInPandas per community."""
+"""Training of communities, of their graphs with super-nodes, and of whole graphs: one network each, by applyInPandas."""
 
 from __future__ import annotations
 
@@ -7,73 +7,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.core import LARGE_OVER, MEDIUM_FROM, label_or_missing
+from weftgraph.functions.core import LARGE_OVER, MEDIUM_FROM, MISC, SUPER_BASE, label_or_missing
 
+from . import graph as G
 from .graph import Graph, adjacency, boundary, ends, expanded_nodes
+from .models import KINDS, Network
+from .storage import saved
 
 RESULT = (
     "community_id long, n_nodes long, n_edges long, n_train long, n_val long, n_test long, n_boundary long, n_internal long, "
     "comm_test_acc double, boundary_acc double, internal_acc double, comm_link_auc double, trained boolean, size_bucket string"
 )
-MODELS = ("sage",)
-
-
-class Sage:
-    """relu(x W1 + mean(x) V1), relu(.. W2 + mean(..) V2), then a linear head; Adam on cross-entropy, full batch."""
-
-    def __init__(self, width: int, hidden: int, classes: int, seed: int = 42):
-        rng = np.random.default_rng(seed)
-        glorot = lambda a, b: rng.uniform(-1, 1, (a, b)) * np.sqrt(6 / (a + b))
-        self.w = {"w1": glorot(width, hidden), "v1": glorot(width, hidden), "w2": glorot(hidden, hidden), "v2": glorot(hidden, hidden), "h": glorot(hidden, classes), "b": np.zeros(classes)}
-
-    @staticmethod
-    def mean(x: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-        """Of each node's in-neighbours' rows; zeros without any."""
-        out = np.zeros_like(x)
-        np.add.at(out, dst, x[src])
-        return out / np.maximum(np.bincount(dst, minlength=len(x)), 1)[:, None]
-
-    @staticmethod
-    def spread_back(g: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-        """The gradient through mean()."""
-        out = np.zeros_like(g)
-        np.add.at(out, src, (g / np.maximum(np.bincount(dst, minlength=len(g)), 1)[:, None])[dst])
-        return out
-
-    def forward(self, x, src, dst):
-        w = self.w
-        m1 = self.mean(x, src, dst)
-        a1 = np.maximum(x @ w["w1"] + m1 @ w["v1"], 0)
-        m2 = self.mean(a1, src, dst)
-        a2 = np.maximum(a1 @ w["w2"] + m2 @ w["v2"], 0)
-        return m1, a1, m2, a2, a2 @ w["h"] + w["b"]
-
-    def loss(self, x, src, dst, y, rows, decay: float = 5e-4):
-        """Cross-entropy on `rows` and its gradient."""
-        w = self.w
-        m1, a1, m2, a2, out = self.forward(x, src, dst)
-        z = out[rows] - out[rows].max(1, keepdims=True)
-        p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
-        value = -np.log(p[np.arange(len(rows)), y[rows]] + 1e-12).mean() + decay / 2 * sum((v**2).sum() for v in w.values())
-        p[np.arange(len(rows)), y[rows]] -= 1
-        g = np.zeros_like(out)
-        g[rows] = p / len(rows)
-        grad = {"h": a2.T @ g, "b": g.sum(0)}
-        g2 = (g @ w["h"].T) * (a2 > 0)
-        grad |= {"w2": a1.T @ g2, "v2": m2.T @ g2}
-        g1 = (g2 @ w["w2"].T + self.spread_back(g2 @ w["v2"].T, src, dst)) * (a1 > 0)
-        grad |= {"w1": x.T @ g1, "v1": m1.T @ g1}
-        return value, {k: v + decay * w[k] for k, v in grad.items()}
-
-    def fit(self, x, src, dst, y, rows, epochs: int, lr: float) -> None:
-        m, v = ({k: np.zeros_like(a) for k, a in self.w.items()} for _ in range(2))
-        for t in range(1, epochs + 1):
-            _, grad = self.loss(x, src, dst, y, rows)
-            for k, g in grad.items():
-                m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
-                self.w[k] -= lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-
-
 def rank_auc(scores: np.ndarray, positive: np.ndarray) -> float:
     if positive.all() or not positive.any():
         return 0.5
@@ -151,7 +95,8 @@ def _arrays(pdf: pd.DataFrame, classes: int, seed: int, halo_in_test: bool, most
     part = {s: np.flatnonzero((pdf["split"] == s).to_numpy() & member & (y >= 0) & (y < classes)) for s in ("train", "valid", "test")}
     rng = np.random.default_rng(seed)
     kept = pairs[rng.permutation(len(pairs))[:most_edges]] if len(pairs) > most_edges else pairs
-    both = np.unique(np.concatenate([kept, kept[:, ::-1]]), axis=0)  # halo nodes send as well as receive
+    loops = np.repeat(np.arange(len(pdf)), 2).reshape(-1, 2)
+    both = np.unique(np.concatenate([kept, kept[:, ::-1], loops]), axis=0)  # halo nodes send as well as receive
     return pdf, pairs, x, y, part, both[:, 0], both[:, 1], rng
 
 
@@ -159,50 +104,84 @@ def _frame(graph: Graph, communities: DataFrame, expand: bool) -> DataFrame:
     return training_frame(graph, communities, expand).withColumn("label", label_or_missing(F.col("label")))
 
 
-def warm_start(graph: Graph, communities: DataFrame, classes: int, hidden: int = 32, epochs: int = 5, lr: float = 0.01, seed: int = 42, expand: bool = True) -> dict[str, np.ndarray] | None:
+def _largest(graph: Graph, communities: DataFrame, expand: bool) -> DataFrame | None:
+    """The training frame of the largest community, of equals that with the smallest id; None without communities."""
+    largest = G.top_communities(G.community_sizes(communities), 1).collect()
+    return _frame(graph, communities, expand).where(F.col("community_id") == largest[0].community_id) if largest else None
+
+
+def warm_start(graph: Graph, communities: DataFrame, classes: int, hidden: int = 32, epochs: int = 5, lr: float = 0.01, seed: int = 42, expand: bool = True, model: str = "sage") -> dict[str, np.ndarray] | None:
     """The weights of a model trained on the largest community, of equals that with the smallest id; None without communities.
     They are as large as one model, whatever the graph."""
-    sizes = communities.groupBy("community_id").agg(F.count("*").alias("size"))
-    largest = sizes.orderBy(F.desc("size"), "community_id").limit(1).collect()
-    if not largest:
+    frame = _largest(graph, communities, expand)
+    if frame is None:
         return None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         _, _, x, y, part, src, dst, _ = _arrays(pdf, classes, seed, False, 200_000)
-        net = Sage(x.shape[1], hidden, classes, seed)
+        net = Network(model, x.shape[1], hidden, classes, seed)
         if len(part["train"]):
             net.fit(x, src, dst, y, part["train"], epochs, lr)
         return pd.DataFrame([(k, list(w.shape), w.reshape(-1).tolist()) for k, w in net.w.items()], columns=["name", "shape", "x"])
 
-    frame = _frame(graph, communities, expand).where(F.col("community_id") == largest[0].community_id)
     rows = frame.groupBy("community_id").applyInPandas(run, "name string, shape array<long>, x array<double>").collect()
     return {r.name: np.array(r.x).reshape(r.shape) for r in rows} if rows else None
 
 
+def warm_embeddings(graph: Graph, communities: DataFrame, classes: int, start: dict[str, np.ndarray], seed: int = 42, expand: bool = True, model: str = "sage") -> DataFrame:
+    """(id, embedding) of the largest community's members under the weights of warm_start(): a table, never on the driver."""
+    frame, hidden = _largest(graph, communities, expand), len(start["head"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, _, x, _, _, src, dst, _ = _arrays(pdf, classes, seed, False, 200_000)
+        net = Network(model, x.shape[1], hidden, classes, seed)
+        net.w = start
+        core = pdf["is_core"].to_numpy(bool)
+        return pd.DataFrame({"id": pdf["id"][core], "embedding": net.forward(x, src, dst)[0][core].tolist()})
+
+    return frame.groupBy("community_id").applyInPandas(run, "id long, embedding array<double>")
+
+
 def train_communities(
     graph: Graph, communities: DataFrame, classes: int, hidden: int = 32, epochs: int = 30, lr: float = 0.01, seed: int = 42, model: str = "sage", expand: bool = True,
-    halo_in_test: bool = False, most_edges: int = 200_000, start: dict[str, np.ndarray] | None = None, probe_epochs: int = 0,
+    halo_in_test: bool = False, most_edges: int = 200_000, start: dict[str, np.ndarray] | None = None, probe_epochs: int = 0, dropout: float = 0.0, anchors: DataFrame | None = None,
 ) -> DataFrame:
     """RESULT of each community: a model of its own, trained on its training nodes, and a link score of its embedding.
 
     An unknown model is an error. Halo nodes carry features but are neither trained nor tested on, unless halo_in_test.
     start: weights to begin with, of warm_start(). probe_epochs: over 0, accuracy is that of a Probe on the embedding.
+    anchors: (id, embedding), of warm_embeddings(), that the embedding of these nodes is drawn to.
     Without training nodes a community has accuracy 0 and trained is false; with fewer than five edges its link AUC is 0.5.
     A community trains in one task and must fit in its memory, as it is one model; min_size() and the choice of
-    detector bound it. Message passing takes at most `most_edges` edges, in order of a seeded shuffle.
+    detector bound it. Message passing takes at most `most_edges` edges, in order of a seeded shuffle, and a loop on each node.
     """
-    if model not in MODELS:
-        raise ValueError(f"unknown model {model}: one of {', '.join(MODELS)}")
+    frame = _frame(graph, communities, expand)
+    return train_frame(frame, classes, hidden, epochs, lr, seed, model, halo_in_test, most_edges, start, probe_epochs, dropout, anchors)
+
+
+def train_frame(
+    frame: DataFrame, classes: int, hidden: int = 32, epochs: int = 30, lr: float = 0.01, seed: int = 42, model: str = "sage", halo_in_test: bool = False, most_edges: int = 200_000,
+    start: dict[str, np.ndarray] | None = None, probe_epochs: int = 0, dropout: float = 0.0, anchors: DataFrame | None = None,
+) -> DataFrame:
+    """train_communities() on rows like those of training_frame()."""
+    if model not in KINDS:
+        raise ValueError(f"unknown model {model}: one of {', '.join(KINDS)}")
+    anchored = anchors is not None
+    if anchored:
+        frame = frame.join(anchors.select("id", F.col("embedding").alias("anchor")), "id", "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, pairs, x, y, part, src, dst, rng = _arrays(pdf, classes, seed, halo_in_test, most_edges)
-        core, edge = pdf["is_core"].to_numpy(bool), pdf["is_boundary"].fillna(False).to_numpy(bool)
-        net, trained = Sage(x.shape[1], hidden, classes, seed), len(part["train"]) > 0
+        core, edge = pdf["is_core"].to_numpy(bool), pdf["is_boundary"].eq(True).to_numpy(bool)
+        net, trained = Network(model, x.shape[1], hidden, classes, seed, dropout), len(part["train"]) > 0
         if start is not None:
             net.w = {k: w.copy() for k, w in start.items()}
+        held_to = None
+        if anchored and (rows := np.flatnonzero(pdf["anchor"].notna())).size:
+            held_to = rows, np.array(pdf["anchor"].iloc[rows].tolist(), float)
         if trained:
-            net.fit(x, src, dst, y, part["train"], epochs, lr)
-        *_, emb, out = net.forward(x, src, dst)
+            net.fit(x, src, dst, y, part["train"], epochs, lr, held_to)
+        emb, out = net.forward(x, src, dst)
         found = out.argmax(1)
         if trained and probe_epochs:
             probe = Probe(emb.shape[1], classes, seed)
@@ -221,7 +200,71 @@ def train_communities(
         row = (int(pdf["community_id"].iloc[0]), n, len(pairs), len(part["train"]), len(part["valid"]), len(test), b, int(core.sum()) - b, rate(test), rate(test[edge[test]]), rate(test[~edge[test]]), link, trained, bucket)
         return pd.DataFrame([row], columns=[c.split()[0] for c in RESULT.split(", ")])
 
-    return _frame(graph, communities, expand).groupBy("community_id").applyInPandas(run, RESULT)
+    return frame.groupBy("community_id").applyInPandas(run, RESULT)
+
+
+def super_frame(graph: Graph, communities: DataFrame, least: int, most_nodes: int = 100_000) -> DataFrame:
+    """Rows like those of training_frame(): each major community's graph, and the minor nodes' as community MISC.
+
+    A major community's graph has its nodes, the super-nodes and minor nodes next to them, and the super-nodes next to
+    these: all that two layers see. Contracted edges join those outside of the community, its own super-node apart.
+    The minor nodes' graph has all of them, with the super-nodes next to them; where there are more than `most_nodes`,
+    it falls into MISC, MISC - 1 and so on, by a hash of the node. Only nodes with a split are trained and tested on.
+    """
+    at = saved(G.mapped(communities, least), "mapped")
+    contracted = saved(G.contracted_edges(graph.edges, communities, least).toDF("src", "dst"), "contracted")
+    local = saved(G.local_edges(graph.edges, communities, least), "local")
+    members = at.where("is_major").select("community_id", "id", F.lit(True).alias("is_core"))
+    outside = local.join(members.select("community_id", F.col("id").alias("dst")), ["community_id", "dst"], "left_anti").select("community_id", F.col("dst").alias("src")).distinct()
+    outside = saved(outside, "outside")
+    around = outside.join(contracted, "src").where(F.col("dst") != F.lit(SUPER_BASE) - F.col("community_id"))
+    near = around.join(outside.withColumnRenamed("src", "dst"), ["community_id", "dst"], "left_semi")
+    around = around.where(F.col("dst") <= SUPER_BASE).unionByName(near.where(F.col("dst") > SUPER_BASE))
+    others = outside.select("community_id", F.col("src").alias("id")).unionByName(around.select("community_id", F.col("dst").alias("id"))).distinct()
+
+    minor = at.where("not is_major").select("id")
+    parts = max(1, -(-minor.count() // most_nodes))
+    part = (F.lit(MISC) - F.pmod(F.xxhash64("id"), F.lit(parts))).cast("long")
+    small = minor.select(part.alias("community_id"), "id", F.lit(True).alias("is_core"))
+    sent = small.select("community_id", F.col("id").alias("src")).join(contracted, "src")
+    within = sent.join(small.select("community_id", F.col("id").alias("dst")), ["community_id", "dst"], "left_semi")
+    beside = sent.where(F.col("dst") <= SUPER_BASE)
+    supers = beside.select("community_id", F.col("dst").alias("id")).distinct()
+    among = supers.withColumnRenamed("id", "src").join(contracted.where((F.col("src") <= SUPER_BASE) & (F.col("dst") <= SUPER_BASE)), "src")
+    among = among.join(supers.withColumnRenamed("id", "dst"), ["community_id", "dst"], "left_semi")
+
+    listed = ["community_id", "src", "dst"]
+    edges = local.select(listed)
+    for e in (around, within, beside, among):
+        edges = edges.unionByName(e.select(listed))
+    lists = edges.groupBy("community_id", F.col("src").alias("id")).agg(F.sort_array(F.collect_set("dst")).alias("neighbors"))
+    placed = members.unionByName(small).unionByName(others.unionByName(supers).withColumn("is_core", F.lit(False)))
+    means = G.centroids(graph, communities, least, "masked").groupBy((F.lit(SUPER_BASE).cast("long") - F.col("community_id")).alias("id"))
+    means = means.agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"].cast("float")).alias("features"))
+    known = graph.nodes.select("id", "features", label_or_missing(F.col("label")).alias("label")).join(graph.masks, "id", "left")
+    known = known.unionByName(means.withColumns({"label": F.lit(-1), "split": F.lit(None).cast("string")}))
+    flags = boundary(graph.edges, communities)
+    return placed.join(known, "id").join(lists, ["community_id", "id"], "left").join(flags, "id", "left")
+
+
+def whole_graph(graph: Graph, most_nodes: int = 100_000) -> DataFrame:
+    """(id, community_id): all nodes as one community, for a baseline without communities. A graph of more nodes than a
+    task should hold falls into balanced parts that keep label propagation's communities side by side."""
+    n = graph.nodes.count()
+    if n <= most_nodes:
+        return graph.nodes.select("id", F.lit(0).cast("long").alias("community_id"))
+    return G.balanced_parts(graph.nodes, -(-n // most_nodes), by=G.label_propagation(graph.nodes, graph.edges))
+
+
+def over_runs(results: list[DataFrame], value: str, weight: str) -> DataFrame:
+    """One row: mean and population standard deviation over runs, such as seeds, of `value` weighted by `weight`."""
+    from .metrics import weighted
+
+    runs = [r.agg(weighted(value, weight).alias("x")) for r in results]
+    out = runs[0]
+    for r in runs[1:]:
+        out = out.unionByName(r)
+    return out.agg(F.count("*").alias("runs"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("std"))
 
 
 def neighbor_lists(graph: Graph) -> DataFrame:

@@ -207,6 +207,20 @@ def _add() -> None:
     )(_named("sage_community_structure", lambda g, c: learn.train_communities(g, G.min_size(c, LEAST), CLASSES, hidden=4, epochs=1).select("community_id", *structure.split(", "))))
     over_communities(None)(_named("sage_community_metrics", lambda g, c: learn.train_communities(g, G.min_size(c, LEAST), CLASSES)))
     over_communities(None)(_named("sage_warm_probe_metrics", _warm))
+    over_communities(
+        f"""{_MAPPED}, {_SUPER}, {_LOCAL}, outside AS MATERIALIZED (SELECT DISTINCT l.community_id, dst AS id FROM local l LEFT JOIN mapped p ON dst = p.id WHERE dst <= -1000 OR p.community_id <> l.community_id),
+        around AS MATERIALIZED (SELECT o.community_id, src_mapped AS src, dst_mapped AS dst FROM outside o JOIN super ON src_mapped = o.id LEFT JOIN outside q ON q.community_id = o.community_id AND q.id = dst_mapped WHERE dst_mapped <> -1000 - o.community_id AND (dst_mapped <= -1000 OR q.id IS NOT NULL)),
+        small AS (SELECT id FROM mapped WHERE NOT is_major), sent AS MATERIALIZED (SELECT src_mapped AS src, dst_mapped AS dst FROM super WHERE src_mapped IN (SELECT id FROM small) AND (dst_mapped <= -1000 OR dst_mapped IN (SELECT id FROM small))), supers AS (SELECT DISTINCT dst AS id FROM sent WHERE dst <= -1000),
+        n AS (SELECT community_id, id FROM mapped WHERE is_major UNION SELECT * FROM outside UNION SELECT community_id, dst FROM around UNION SELECT -1, id FROM small UNION SELECT -1, id FROM supers),
+        e AS (SELECT * FROM local UNION SELECT * FROM around UNION SELECT -1, src, dst FROM sent UNION SELECT -1, src_mapped, dst_mapped FROM super WHERE src_mapped IN (SELECT id FROM supers) AND dst_mapped IN (SELECT id FROM supers))
+        SELECT community_id, n_nodes, coalesce(n_edges, 0) AS n_edges FROM (SELECT community_id, count(*) AS n_nodes FROM n GROUP BY 1) LEFT JOIN (SELECT community_id, count(*) AS n_edges FROM e GROUP BY 1) USING (community_id)"""
+    )(_named("super_graph_sizes", lambda g, c: learn.super_frame(g, c, LEAST).groupBy("community_id").agg(F.count("*").alias("n_nodes"), F.coalesce(F.sum(F.greatest(F.size("neighbors"), F.lit(0)).cast("long")), F.lit(0)).alias("n_edges"))))
+    over_communities(None)(_named("super_graph_metrics", lambda g, c: learn.train_frame(learn.super_frame(g, c, LEAST), CLASSES)))
+    for model in ("gat", "transformer", "clusterscl"):
+        over_communities(None)(_named(f"{model}_community_metrics", lambda g, c, model=model: learn.train_communities(g, G.min_size(c, LEAST, "drop"), CLASSES, epochs=10, model=model)))
+    for model in ("sage", "gat", "gatv2", "transformer", "clusterscl", "arma", "asap"):
+        over_graph(None)(_named(f"{model}_baseline", lambda g, model=model: learn.train_communities(g, learn.whole_graph(g, 10_000), CLASSES, epochs=10, model=model)))
+    over_graph(None)(_named("baseline_over_runs", lambda g: learn.over_runs([learn.train_communities(g, learn.whole_graph(g, 10_000), CLASSES, epochs=5, seed=42 + i) for i in range(3)], "comm_test_acc", "n_test")))
     over_graph(None)(_named("lpa_halves", lambda g: G.label_propagation_halves(g.nodes, g.edges)))
     over_graph(None)(_named("louvain_communities", lambda g: G.louvain_moves(g.nodes, g.edges)))
     over_graph(None)(_named("kway_parts", lambda g: G.balanced_parts(g.nodes, 16, by=G.label_propagation(g.nodes, g.edges, 3))))
@@ -228,9 +242,12 @@ def _named(name: str, f):
 
 
 def _warm(g: G.Graph, c: DataFrame) -> DataFrame:
-    """Models that begin with the largest community's weights; accuracy by a classifier on their embeddings."""
+    """Models that begin with the largest community's weights and keep its nodes near where they were; accuracy by a
+    classifier on their embeddings."""
     kept = G.min_size(c, LEAST)
-    return learn.train_communities(g, kept, CLASSES, start=learn.warm_start(g, kept, CLASSES), probe_epochs=20)
+    start = learn.warm_start(g, kept, CLASSES)
+    anchors = learn.warm_embeddings(g, kept, CLASSES, start) if start else None
+    return learn.train_communities(g, kept, CLASSES, start=start, anchors=anchors, probe_epochs=20)
 
 
 def predictions(nodes: DataFrame) -> DataFrame:
