@@ -139,10 +139,11 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
     Candidates come from ball hashing at distance 2 on `tables` independent fingerprints of 32 bits, of shingles of
     `coarse` words, in which an edit changes less; of copies with single words changed, similar by 0.8, each table
-    finds some four in ten, so eight find 98 of 100. Colliding pairs are verified by fingerprints of 64 * `longs` bits
-    of the shingles themselves, whose distance tells their angle, and so their similarity, to a few hundredths.
-    Each document on a variant is held against the next two. Null, empty and repeated rows as in near_duplicates();
-    a text shorter than a shingle is one.
+    finds some four in ten, so eight find 98 of 100. Fingerprints of 64 * `longs` bits of the shingles themselves tell
+    the angle of colliding pairs, and so their similarity, to a few hundredths. Pairs three deviations under the
+    similarity are no links, pairs three above are; of those between, the ones that would join two components are
+    counted shingle by shingle. Each document on a variant is held against the next two, in an order that differs by
+    table. Null, empty and repeated rows as in near_duplicates(); a text shorter than a shingle is one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,18 +161,46 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     blocks = F.array(*[F.shiftrightunsigned(F.element_at("near", 1 + t // 2), 32 * (t % 2)).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(t << 32)) for t in range(tables)])
     flips = F.array(*[F.lit(x).cast("long") for x in (0, *(1 << i for i in range(32)))])
     emitted = nodes.select("node", F.explode(blocks).alias("block")).select("node", F.explode(F.transform(flips, lambda m: F.col("block").bitwiseXOR(m))).alias("variant"))
-    meeting = Window.partitionBy("variant").orderBy("node")
+    meeting = Window.partitionBy("variant").orderBy(F.xxhash64("node", F.shiftright("variant", 32)), "node")
     beside = emitted.select(F.col("node").alias("b"), F.lag("node", 1).over(meeting).alias("one"), F.lag("node", 2).over(meeting).alias("two")).where("one is not null")
-    pairs = beside.select("b", F.explode(F.array("one", "two")).alias("a")).where("a is not null").distinct()
-    most = int(64 * longs * math.acos(2 * similarity / (1 + similarity)) / math.pi + 0.5 * math.sqrt(8 * longs))
+    pairs = beside.select("b", F.explode(F.array("one", "two")).alias("a")).where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    angle, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * longs
+    middle, slack = bits * angle, 3 * math.sqrt(bits * angle * (1 - angle))
     far = nodes.select("node", "far")
     both = pairs.join(far.toDF("a", "fa"), "a").join(far.toDF("b", "fb"), "b")
     apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    found = components(both.where(apart <= most).select("a", "b"))
+    near = saved(both.select("a", "b", apart.alias("apart")).where(F.col("apart") <= middle + slack), "near")
+    sure = saved(components(near.where(F.col("apart") < middle - slack).select("a", "b")), "sure")
+    open_ = near.where(F.col("apart") >= middle - slack).select("a", "b")
+    for c in ("a", "b"):
+        open_ = open_.join(sure.toDF(c, f"r{c}"), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+    open_ = saved(open_.where("ra != rb").select("a", "b"), "open")
+    alike = exactly_similar(open_, far, slim, words, similarity)
+    found = components(sure.toDF("a", "b").unionByName(alike))
     classes = nodes.join(found, "node", "left").select("near", "far", F.coalesce("root", "node").alias("component_id"))
     return prints.join(classes, ["near", "far"], "left").select(F.col("id").alias(key), "component_id")
 
 
+def exactly_similar(pairs: DataFrame, far: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of `similarity` or more. texts: (id, text), of which
+    a node's is the one with its long fingerprint, as an id may have several; far: (node, far)."""
+    wanted = far.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):  # a row at a time: a very long text's set is as large as the text
+                found = _WORDS.findall((b.column(1)[i].as_py() or "").encode("utf-8", "surrogatepass").translate(_UPPER))
+                hashes = _shingle_set(found, words)
+                if _long_print(hashes, len(b.column(2)[i])) == b.column(2)[i].as_py():
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([hashes.view(np.int64)], pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    rows = texts.join(wanted.withColumnRenamed("node", "id"), "id").select("id", "text", "far")
+    sets = saved(rows.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]), "shingles")
+    both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
+    shared = F.size(F.array_intersect("ha", "hb"))
+    return both.where(shared >= F.lit(similarity) * (F.size("ha") + F.size("hb") - shared)).select("a", "b")
+
+
 def keep_representatives(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row of each group: that whose key is the component's id. A key's repeated rows, copies of each other or
     not, keep one row. Rows without a key can't be named by a class, and stay."""
