@@ -368,3 +368,27 @@ def test_similar_documents(spark):
     assert sum(got[k] == i for k, i in near.items()) >= 0.95 * len(near)
     assert all(got[1000 + i] == 1000 + i for i in range(30))
     assert simhash.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_similar_documents_by_brute_force(spark):
+    """Copies of similarities around the bound: groups are those of the exact similarity."""
+    random.seed(9)
+    word = lambda: "".join(random.choices("abcdefghij", k=6))
+    texts = {}
+    for i in range(20):
+        base = [word() for _ in range(200)]
+        texts[10 * i] = base
+        for c in range(1, 5):
+            texts[10 * i + c] = list(base)
+            for k in random.sample(range(200), 2 * c):
+                texts[10 * i + c][k] = word()
+    sets = {k: {tuple(t[j : j + 5]) for j in range(196)} for k, t in texts.items()}
+    root = {k: k for k in texts}
+    pairs = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    for _ in range(10):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    rows = [(k, " ".join(t)) for k, t in texts.items()]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(root[k] <= v for k, v in got.items())  # nothing is joined that shouldn't be
+    assert sum(got[k] == root[k] for k in got) >= 0.95 * len(got)
