@@ -392,3 +392,40 @@ def test_similar_documents_by_brute_force(spark):
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(root[k] <= v for k, v in got.items())  # nothing is joined that shouldn't be
     assert sum(got[k] == root[k] for k in got) >= 0.95 * len(got)
+
+
+def _groups(texts, words=5, similarity=0.8):
+    """The smallest key that each text reaches by exact similarities."""
+    sets = {k: {tuple(t[j : j + words]) for j in range(max(1, len(t) - words + 1))} for k, t in texts.items()}
+    root = {k: k for k in texts}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 5 * similarity * len(sets[a] | sets[b]) - 1e-9]
+    for _ in range(len(texts)):
+        was = dict(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == was:
+            return root
+    return root
+
+
+def _similar(spark, texts, **options):
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in simhash.similar_documents(df, **options).collect()}
+
+
+@pytest.mark.parametrize("options", [{}, {"crowd": 2, "block": 16}])
+def test_similar_documents_in_a_crowd(spark, options):
+    """Texts with a long passage in common are not similar by it; the pairs among them that are, all are found."""
+    random.seed(10)
+    word = lambda: "".join(random.choices("abcdefghij", k=6))
+    passage, texts = [word() for _ in range(130)], {}
+    for i in range(200):
+        own = [word() for _ in range(70)]
+        texts[i] = passage + own
+        if i % 4 == 0:
+            texts[1000 + i] = passage + own[:50] + [word() for _ in range(20)]
+    want = _groups(texts)
+    assert sum(want[k] != k for k in want) == 50 and _similar(spark, texts, **options) == want
+    sets = [simhash._shingles(" ".join(t), 5) for t in texts.values()]
+    links = simhash.joining_links(list(texts), list(texts), [0] * len(texts), sets, 0.8)
+    assert {(a, b) for a, b in links} == {(i, 1000 + i) for i in range(0, 200, 4)}

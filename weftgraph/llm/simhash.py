@@ -110,95 +110,164 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, key: str
     return prints.join(classes, "fingerprint").select(key, "fingerprint", "component_id")
 
 
-_MIX = 0x9E3779B97F4A7C15
-
-
-def _long_print(hashes: np.ndarray, longs: int) -> list[int]:
-    """A SimHash of 64 * longs bits of a set of hashes: each long from the hashes mixed anew."""
-    out = []
-    for k in range(longs):
-        h = hashes + np.uint64(_MIX * (k + 1) & (1 << 64) - 1)
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            h = (h ^ h >> np.uint64(shift)) * np.uint64(factor)
-        h ^= h >> np.uint64(31)
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(h), 65536):
-            ones += np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0]))
-    return out
-
-
 def _shingle_set(found: list[bytes], words: int, seed: int = 42) -> np.ndarray:
     n = max(1, len(found) - words + 1) if found else 0
     return np.array(sorted({xxhash.xxh64_intdigest(b" ".join(found[i : i + words]), seed) for i in range(n)}), np.uint64)
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 8, coarse: int = 2, longs: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, component_id): documents whose sets of shingles of `words` words are similar, by Jaccard, are linked;
-    component_id is the smallest key that a document can reach. For similarities that a few bits can't span.
+def _shingles(text: str | None, words: int) -> np.ndarray:
+    return _shingle_set(_WORDS.findall((text or "").encode("utf-8", "surrogatepass").translate(_UPPER)), words)
 
-    Candidates come from ball hashing at distance 2 on `tables` independent fingerprints of 32 bits, of shingles of
-    `coarse` words, in which an edit changes less; of copies with single words changed, similar by 0.8, each table
-    finds some four in ten, so eight find 98 of 100. Fingerprints of 64 * `longs` bits of the shingles themselves tell
-    the angle of colliding pairs, and so their similarity, to a few hundredths. Pairs three deviations under the
-    similarity are no links, pairs three above are; of those between, the ones that would join two components are
-    counted shingle by shingle. Each document on a variant is held against the next two, in an order that differs by
-    table. Null, empty and repeated rows as in near_duplicates(); a text shorter than a shingle is one.
-    """
+
+def common_shingles(texts: DataFrame, words: int, sample: int = 4096, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the shingles that at least two of some `sample` different texts have; at most `most`. texts: (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near, far = [], []
-            for t in b.column(1):
-                found = _WORDS.findall((t.as_py() or "").encode("utf-8", "surrogatepass").translate(_UPPER))
-                near.append(_long_print(_shingle_set(found, coarse), -(-tables // 2)))
-                far.append(_long_print(_shingle_set(found, words), longs))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.int64()))], names=["id", "near", "far"])
-
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_shingles(t.as_py(), words).view(np.int64))], names=["shingle"])
+
+    step = max(1, -(-texts.count() // sample))
+    some = texts.select("text").where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).distinct()
+    counts = some.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(most).collect()
+    hashes, n = np.array([r.shingle for r in counts], np.int64).view(np.uint64), np.array([r.n for r in counts], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def _prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of a set in order of (count among common shingles, hash), so many that two sets of `similarity` share one."""
+    n = len(hashes) and len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    ranks = np.zeros(len(hashes), np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+        ranks = np.where(common[0][at] == hashes, common[1][at], 0)
+    return hashes[np.lexsort((hashes, ranks))[:n]]
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowd: int = 16, block: int = 128, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, component_id): documents whose sets of shingles of `words` words have a Jaccard similarity of `similarity` or more
+    are linked, all of them; component_id is the smallest key that a document can reach. For similarities that a few bits can't span.
+
+    Two sets that similar share one of their first 1 - `similarity` shingles in any order that holds for all sets; rare ones come
+    first, as told by a sample. Documents with the same set are one node. Nodes that share a first shingle meet there. Each is
+    counted against the next first; where that leaves several components on a shingle, all its pairs of different components
+    are counted: of up to `crowd` nodes as pairs, of more in blocks of `block` against each other, which hold the sets and
+    return links that join only. Every link is counted shingle by shingle. Null, empty and repeated rows as in near_duplicates();
+    a text shorter than a shingle is one.
+    """
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    prints = saved(slim.mapInArrow(run, "id long, near array<long>, far array<long>"), "long-prints")
-    nodes = saved(prints.groupBy("near", "far").agg(F.min("id").alias("node")).where("node is not null"), "nodes")
-    blocks = F.array(*[F.shiftrightunsigned(F.element_at("near", 1 + t // 2), 32 * (t % 2)).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(t << 32)) for t in range(tables)])
-    flips = F.array(*[F.lit(x).cast("long") for x in (0, *(1 << i for i in range(32)))])
-    emitted = nodes.select("node", F.explode(blocks).alias("block")).select("node", F.explode(F.transform(flips, lambda m: F.col("block").bitwiseXOR(m))).alias("variant"))
-    meeting = Window.partitionBy("variant").orderBy(F.xxhash64("node", F.shiftright("variant", 32)), "node")
-    beside = emitted.select(F.col("node").alias("b"), F.lag("node", 1).over(meeting).alias("one"), F.lag("node", 2).over(meeting).alias("two")).where("one is not null")
-    pairs = beside.select("b", F.explode(F.array("one", "two")).alias("a")).where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    angle, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * longs
-    middle, slack = bits * angle, 3 * math.sqrt(bits * angle * (1 - angle))
-    far = nodes.select("node", "far")
-    both = pairs.join(far.toDF("a", "fa"), "a").join(far.toDF("b", "fb"), "b")
-    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = saved(both.select("a", "b", apart.alias("apart")).where(F.col("apart") <= middle + slack), "near")
-    sure = saved(components(near.where(F.col("apart") < middle - slack).select("a", "b")), "sure")
-    open_ = near.where(F.col("apart") >= middle - slack).select("a", "b")
-    for c in ("a", "b"):
-        open_ = open_.join(sure.toDF(c, f"r{c}"), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
-    open_ = saved(open_.where("ra != rb").select("a", "b"), "open")
-    alike = exactly_similar(open_, far, slim, words, similarity)
-    found = components(sure.toDF("a", "b").unionByName(alike))
-    classes = nodes.join(found, "node", "left").select("near", "far", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(classes, ["near", "far"], "left").select(F.col("id").alias(key), "component_id")
-
-
-def exactly_similar(pairs: DataFrame, far: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of `similarity` or more. texts: (id, text), of which
-    a node's is the one with its long fingerprint, as an id may have several; far: (node, far)."""
-    wanted = far.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(slim, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                sets = [_shingles(t.as_py(), words) for t in part.column(1)]
+                whole = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
+                first = [_prefix(s, similarity, sent.value).view(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["id", "whole", "size", "first"])
+
+    prints = saved(slim.mapInArrow(run, "id long, whole binary, size int, first array<long>"), "prefixes")
+    nodes = saved(prints.groupBy("whole").agg(F.min("id").alias("node")).where("node is not null"), "nodes")
+    owners = prints.join(nodes.withColumnRenamed("node", "id"), ["whole", "id"]).dropDuplicates(["whole"])
+    posted = owners.select(F.explode("first").alias("shingle"), F.col("id").alias("node"), "size")
+    on = Window.partitionBy("shingle")
+    row = on.orderBy("size", "node")
+    posted = posted.select("*", F.count("*").over(on).alias("m"), F.row_number().over(row).alias("at"), F.lag("node").over(row).alias("last"), F.lag("size").over(row).alias("last_size"))
+    met = saved(posted.where("m > 1"), "met")
+    large = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    chain = met.where("last is not null").where(large("size", "last_size")).select(*pair("last", "node")).distinct()
+    links = saved(exactly_similar(saved(chain, "chain"), slim, nodes, words, similarity), "links")
+    sure = saved(components(links), "sure")
+
+    rooted = met.select("shingle", "node", "size", "m", "at").join(sure, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("shingle")
+    rest = saved(rooted.join(several, "shingle", "left_semi"), "rest")
+    few = rest.where(F.col("m") <= crowd).select("shingle", "node", "size", "root")
+    pairs = few.join(few.toDF("shingle", "node2", "size2", "root2"), "shingle").where("node < node2 and root != root2").where(large("size", "size2"))
+    open_ = pairs.select(*pair("node", "node2")).distinct().join(chain, ["a", "b"], "left_anti")
+    alike = exactly_similar(saved(open_, "open"), slim, nodes, words, similarity)
+    links = links.unionByName(alike).unionByName(crowded_links(rest.where(F.col("m") > crowd), slim, nodes, words, similarity, block))
+    found = components(links)
+    classes = nodes.join(found, "node", "left").select("whole", F.coalesce("root", "node").alias("component_id"))
+    return prints.join(classes, "whole", "left").select(F.col("id").alias(key), "component_id")
+
+
+def _sets(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, hashes) of the nodes wanted. texts: (id, text), of which a node's is the one with its set's digest, as an id may have several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):  # a row at a time: a very long text's set is as large as the text
-                found = _WORDS.findall((b.column(1)[i].as_py() or "").encode("utf-8", "surrogatepass").translate(_UPPER))
-                hashes = _shingle_set(found, words)
-                if _long_print(hashes, len(b.column(2)[i])) == b.column(2)[i].as_py():
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([hashes.view(np.int64)], pa.list_(pa.int64()))], names=["node", "hashes"])
+                hashes = _shingles(b.column(1)[i].as_py(), words)
+                if xxhash.xxh128_digest(hashes.tobytes()) == b.column(2)[i].as_py():
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([xxhash.xxh64_intdigest(b.column(2)[i].as_py()) >> 1]), pa.array([hashes.view(np.int64)], pa.list_(pa.int64()))], names=["node", "mark", "hashes"])
+
+    own = nodes.join(wanted.select("node").distinct(), "node", "left_semi").withColumnRenamed("node", "id")
+    rows = texts.join(own, "id").select("id", "text", "whole")
+    return saved(rows.mapInArrow(run, "node long, mark long, hashes array<long>").dropDuplicates(["node", "mark"]).drop("mark"), "shingles")
 
-    rows = texts.join(wanted.withColumnRenamed("node", "id"), "id").select("id", "text", "far")
-    sets = saved(rows.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]), "shingles")
+
+def exactly_similar(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of `similarity` or more."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts, nodes, words)
     both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
     shared = F.size(F.array_intersect("ha", "hb"))
-    return both.where(shared >= F.lit(similarity) * (F.size("ha") + F.size("hb") - shared)).select("a", "b")
+    return both.where(shared >= F.lit(similarity) * (F.size("ha") + F.size("hb") - shared) - 1e-9).select("a", "b")
+
+
+def joining_links(nodes: list[int], roots: list[int], sides: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links of similar sets that join different roots; where there are two sides, between these only."""
+    sizes = np.array([len(s) for s in sets])
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(place, minlength=len(values)) > 1
+    column, row = np.cumsum(often)[place] - 1, np.repeat(np.arange(len(sets)), sizes)
+    column, row = column[often[place]], row[often[place]]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(often.sum()), 4096):  # bounded for very long texts
+        lo, hi = np.searchsorted(column, (at, at + 4096))
+        dense = np.zeros((len(sets), 4096), np.float32)
+        dense[row[lo:hi], column[lo:hi] - at] = 1
+        shared += dense @ dense.T
+    alike = np.triu(shared >= similarity * (sizes[:, None] + sizes - shared) - 1e-6, 1)
+    if len(set(sides)) > 1:
+        alike &= np.array(sides)[:, None] != np.array(sides)
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere(alike).tolist():
+        x, y = top(roots[i]), top(roots[j])
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    return out
+
+
+def crowded_links(met: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, similarity: float, block: int) -> DataFrame:
+    """(a, b): links of similar nodes on one shingle that join their roots. met: (shingle, node, m, at, root). Each pair of
+    a shingle's blocks of `block` nodes is a group of its own, so that no task holds a shingle's nodes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("node", "root", "side")), range(table.num_rows), strict=True))
+        column = table.column("hashes").combine_chunks()
+        sets = [column[r[3]].values.to_numpy(zero_copy_only=False) for r in rows]
+        out = joining_links([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], sets, similarity)
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    dealt = met.withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("shingle", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "root")
+    sets = _sets(met.select("node"), texts, nodes, words)
+    return dealt.join(sets, "node").groupBy("shingle", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
 
 
 def keep_representatives(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> DataFrame:
