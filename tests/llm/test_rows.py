@@ -429,3 +429,17 @@ def test_similar_documents_in_a_crowd(spark, options):
     sets = [simhash._shingles(" ".join(t), 5) for t in texts.values()]
     links = simhash.joining_links(list(texts), list(texts), [0] * len(texts), sets, 0.8)
     assert {(a, b) for a, b in links} == {(i, 1000 + i) for i in range(0, 200, 4)}
+
+
+def test_similar_documents_with_one_edit(spark):
+    """Blocks added, cut off or replaced, at the bound and a little above it: every pair is found."""
+    random.seed(11)
+    word = lambda: "".join(random.choices("abcdefghij", k=6))
+    texts = {}
+    for i in range(60):
+        base = [word() for _ in range(204)]
+        n = random.randint(30, 50)
+        texts[10 * i] = base
+        texts[10 * i + 1] = [base + [word() for _ in range(n)], base[: 204 - n * 4 // 5], base[:80] + [word() for _ in range(n // 3)] + base[80 + n // 3 :]][i % 3]
+    want = _groups(texts)
+    assert sum(want[k] != k for k in want) == 60 and _similar(spark, texts) == want
