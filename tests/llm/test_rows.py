@@ -443,3 +443,15 @@ def test_similar_documents_with_one_edit(spark):
         texts[10 * i + 1] = [base + [word() for _ in range(n)], base[: 204 - n * 4 // 5], base[:80] + [word() for _ in range(n // 3)] + base[80 + n // 3 :]][i % 3]
     want = _groups(texts)
     assert sum(want[k] != k for k in want) == 60 and _similar(spark, texts) == want
+
+
+def test_similar_documents_of_few_words(spark):
+    """Sets of 4 and 5 shingles, similar by just 0.8, and of 3 and 4, which are not."""
+    random.seed(12)
+    word = lambda: "".join(random.choices("abcdefghij", k=6))
+    texts = {}
+    for i in range(100):
+        base = [word() for _ in range(8 if i % 2 else 7)]
+        texts[10 * i], texts[10 * i + 1] = base, [*base, word()]
+    want = _groups(texts)
+    assert sum(want[k] != k for k in want) == 50 and _similar(spark, texts) == want
