@@ -151,10 +151,10 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
     Two sets that similar share one of their first 1 - `similarity` shingles in any order that holds for all sets; rare ones come
     first, as told by a sample. Documents with the same set are one node. Nodes that share a first shingle meet there. Each is
-    counted against the next first; where that leaves several components on a shingle, all its pairs of different components
-    are counted: of up to `crowd` nodes as pairs, of more in blocks of `block` against each other, which hold the sets and
-    return links that join only. Every link is counted shingle by shingle. Null, empty and repeated rows as in near_duplicates();
-    a text shorter than a shingle is one.
+    first counted against a block on its two most crowded shingles; where that leaves several components on a shingle, all
+    its pairs of different components are counted: of up to `crowd` nodes as pairs, of more in blocks of `block` against each
+    other, which hold the sets and return links that join only. Every link is counted shingle by shingle. Null, empty and
+    repeated rows as in near_duplicates(); a text shorter than a shingle is one.
     """
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(slim, words))
@@ -172,24 +172,26 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     nodes = saved(prints.groupBy("whole").agg(F.min("id").alias("node")).where("node is not null"), "nodes")
     owners = prints.join(nodes.withColumnRenamed("node", "id"), ["whole", "id"]).dropDuplicates(["whole"])
     posted = owners.select(F.explode("first").alias("shingle"), F.col("id").alias("node"), "size")
-    on = Window.partitionBy("shingle")
-    row = on.orderBy("size", "node")
-    posted = posted.select("*", F.count("*").over(on).alias("m"), F.row_number().over(row).alias("at"), F.lag("node").over(row).alias("last"), F.lag("size").over(row).alias("last_size"))
-    met = saved(posted.where("m > 1"), "met")
+    met = saved(posted.withColumn("m", F.count("*").over(Window.partitionBy("shingle"))).where("m > 1"), "met")
     large = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
-    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    chain = met.where("last is not null").where(large("size", "last_size")).select(*pair("last", "node")).distinct()
-    links = saved(exactly_similar(saved(chain, "chain"), slim, nodes, words, similarity), "links")
+    most = met.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("m"), "shingle"))).where("at <= 2")
+    dealt = most.select("shingle", F.pmod(F.xxhash64("node", "shingle"), F.ceil(F.col("m") / block)).cast("int").alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side"), "node", F.col("node").alias("root"))
+    links = saved(block_links(dealt, slim, nodes, words, similarity), "links")
     sure = saved(components(links), "sure")
 
-    rooted = met.select("shingle", "node", "size", "m", "at").join(sure, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = rooted.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("shingle")
-    rest = saved(rooted.join(several, "shingle", "left_semi"), "rest")
+    rooted = saved(met.join(sure, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    giants = rooted.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("giant"), F.sum("n").alias("m")).where("giant.n < m")
+    rest = saved(rooted.drop("m").join(giants, "shingle"), "rest")
     few = rest.where(F.col("m") <= crowd).select("shingle", "node", "size", "root")
     pairs = few.join(few.toDF("shingle", "node2", "size2", "root2"), "shingle").where("node < node2 and root != root2").where(large("size", "size2"))
-    open_ = pairs.select(*pair("node", "node2")).distinct().join(chain, ["a", "b"], "left_anti")
-    alike = exactly_similar(saved(open_, "open"), slim, nodes, words, similarity)
-    links = links.unionByName(alike).unionByName(crowded_links(rest.where(F.col("m") > crowd), slim, nodes, words, similarity, block))
+    alike = exactly_similar(saved(pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), "open"), slim, nodes, words, similarity)
+    # The largest component's nodes on a shingle meet the others' blocks only.
+    is_giant = F.col("root") == F.col("giant.root")
+    others, blocks = F.ceil((F.col("m") - F.col("giant.n")) / block), F.ceil(F.col("giant.n") / block)
+    side = F.when(is_giant, others + F.pmod(F.xxhash64("node"), blocks)).otherwise(F.pmod(F.xxhash64("node"), others)).cast("int")
+    many = rest.where(F.col("m") > crowd).select("*", side.alias("side"), F.explode(F.sequence(F.lit(0), F.when(is_giant, others - 1).otherwise(others + blocks - 1).cast("int"))).alias("other"))
+    many = many.select("shingle", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "root")
+    links = links.unionByName(alike).unionByName(block_links(many, slim, nodes, words, similarity))
     found = components(links)
     classes = nodes.join(found, "node", "left").select("whole", F.coalesce("root", "node").alias("component_id"))
     return prints.join(classes, "whole", "left").select(F.col("id").alias(key), "component_id")
@@ -220,6 +222,8 @@ def exactly_similar(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words:
 
 def joining_links(nodes: list[int], roots: list[int], sides: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links of similar sets that join different roots; where there are two sides, between these only."""
+    if len(set(roots)) < 2 or not any(map(len, sets)):
+        return []
     sizes = np.array([len(s) for s in sets])
     values, place = np.unique(np.concatenate(sets), return_inverse=True)
     often = np.bincount(place, minlength=len(values)) > 1
@@ -252,9 +256,9 @@ def joining_links(nodes: list[int], roots: list[int], sides: list[int], sets: li
     return out
 
 
-def crowded_links(met: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, similarity: float, block: int) -> DataFrame:
-    """(a, b): links of similar nodes on one shingle that join their roots. met: (shingle, node, m, at, root). Each pair of
-    a shingle's blocks of `block` nodes is a group of its own, so that no task holds a shingle's nodes."""
+def block_links(dealt: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): links of similar nodes that join their roots. dealt: (shingle, lo, hi, side, node, root); each (shingle, lo, hi)
+    is a group of a block or two, so that no task holds a shingle's nodes."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("node", "root", "side")), range(table.num_rows), strict=True))
@@ -263,11 +267,7 @@ def crowded_links(met: DataFrame, texts: DataFrame, nodes: DataFrame, words: int
         out = joining_links([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], sets, similarity)
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    dealt = met.withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("shingle", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "root")
-    sets = _sets(met.select("node"), texts, nodes, words)
-    return dealt.join(sets, "node").groupBy("shingle", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+    return dealt.join(_sets(dealt.select("node"), texts, nodes, words), "node").groupBy("shingle", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
 
 
 def keep_representatives(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> DataFrame:
