@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from weftgraph.functions import core
 from weftgraph.operators import graph as G
 from weftgraph.operators import learn, metrics, models
 from weftgraph.operators.storage import TableStore
+from weftgraph.plans import catalog
 from weftgraph.sources import graphs
 from weftgraph.streaming import edges as streams
 
@@ -349,3 +351,17 @@ def test_stream(spark, tmp_path):
 
 def test_latex():
     assert metrics.latex([("a", 1)], ("x", "y")).count(r"\\") == 2
+
+
+def test_baselines_are_one_model(spark, monkeypatch):
+    """Over 10,000 nodes and 200,000 edges too: one row, of the whole graph, with all edges in message passing."""
+    n = 10_500
+    nodes, edges = graphs.from_arrays(spark, np.array([(i, (i + d) % n) for i in range(n) for d in range(1, 12)]).T, features=np.eye(2)[np.arange(n) % 2], labels=np.arange(n) % 2)
+    g, most, train = G.Graph(nodes, G.symmetrize(edges), G.random_split(nodes)), [], learn.train_communities
+    monkeypatch.setattr(catalog, "graph", lambda spark, sf: g)
+    monkeypatch.setattr(learn, "train_communities", lambda *a, **o: most.append(o.get("most_edges", 200_000)) or train(*a, **o))
+    rows = catalog.Q["sage_baseline"](spark, "").collect()
+    assert [(r.n_nodes, r.n_edges) for r in rows] == [(n, 2 * 11 * n)] and most == [None]
+    pdf = pd.DataFrame({"id": [0, 1, 2, 3], "neighbors": [[1, 2, 3], [2, 3], [3], []], "features": [[1.0, 0.0]] * 4, "label": [0] * 4, "is_core": [True] * 4, "split": ["train"] * 4})
+    sent = lambda most: len(learn._arrays(pdf, 2, 42, False, most)[5])
+    assert (sent(None), sent(2)) == (16, 8)

@@ -83,7 +83,7 @@ class Probe:
         self.w = kept or self.w
 
 
-def _arrays(pdf: pd.DataFrame, classes: int, seed: int, halo_in_test: bool, most_edges: int):
+def _arrays(pdf: pd.DataFrame, classes: int, seed: int, halo_in_test: bool, most_edges: int | None):
     """A community's rows, by id: (rows, pairs, features, labels, rows by split, message sources and targets, generator)."""
     pdf = pdf.sort_values("id").reset_index(drop=True)
     at = {i: k for k, i in enumerate(pdf["id"])}
@@ -94,7 +94,7 @@ def _arrays(pdf: pd.DataFrame, classes: int, seed: int, halo_in_test: bool, most
     y, member = pdf["label"].to_numpy(), pdf["is_core"].to_numpy(bool) | halo_in_test
     part = {s: np.flatnonzero((pdf["split"] == s).to_numpy() & member & (y >= 0) & (y < classes)) for s in ("train", "valid", "test")}
     rng = np.random.default_rng(seed)
-    kept = pairs[rng.permutation(len(pairs))[:most_edges]] if len(pairs) > most_edges else pairs
+    kept = pairs[rng.permutation(len(pairs))[:most_edges]] if most_edges is not None and len(pairs) > most_edges else pairs
     loops = np.repeat(np.arange(len(pdf)), 2).reshape(-1, 2)
     both = np.unique(np.concatenate([kept, kept[:, ::-1], loops]), axis=0)  # halo nodes send as well as receive
     return pdf, pairs, x, y, part, both[:, 0], both[:, 1], rng
@@ -144,7 +144,7 @@ def warm_embeddings(graph: Graph, communities: DataFrame, classes: int, start: d
 
 def train_communities(
     graph: Graph, communities: DataFrame, classes: int, hidden: int = 32, epochs: int = 30, lr: float = 0.01, seed: int = 42, model: str = "sage", expand: bool = True,
-    halo_in_test: bool = False, most_edges: int = 200_000, start: dict[str, np.ndarray] | None = None, probe_epochs: int = 0, dropout: float = 0.0, anchors: DataFrame | None = None,
+    halo_in_test: bool = False, most_edges: int | None = 200_000, start: dict[str, np.ndarray] | None = None, probe_epochs: int = 0, dropout: float = 0.0, anchors: DataFrame | None = None,
 ) -> DataFrame:
     """RESULT of each community: a model of its own, trained on its training nodes, and a link score of its embedding.
 
@@ -153,14 +153,14 @@ def train_communities(
     anchors: (id, embedding), of warm_embeddings(), that the embedding of these nodes is drawn to.
     Without training nodes a community has accuracy 0 and trained is false; with fewer than five edges its link AUC is 0.5.
     A community trains in one task and must fit in its memory, as it is one model; min_size() and the choice of
-    detector bound it. Message passing takes at most `most_edges` edges, in order of a seeded shuffle, and a loop on each node.
+    detector bound it. Message passing takes at most `most_edges` edges, None for all, in order of a seeded shuffle, and a loop on each node.
     """
     frame = _frame(graph, communities, expand)
     return train_frame(frame, classes, hidden, epochs, lr, seed, model, halo_in_test, most_edges, start, probe_epochs, dropout, anchors)
 
 
 def train_frame(
-    frame: DataFrame, classes: int, hidden: int = 32, epochs: int = 30, lr: float = 0.01, seed: int = 42, model: str = "sage", halo_in_test: bool = False, most_edges: int = 200_000,
+    frame: DataFrame, classes: int, hidden: int = 32, epochs: int = 30, lr: float = 0.01, seed: int = 42, model: str = "sage", halo_in_test: bool = False, most_edges: int | None = 200_000,
     start: dict[str, np.ndarray] | None = None, probe_epochs: int = 0, dropout: float = 0.0, anchors: DataFrame | None = None,
 ) -> DataFrame:
     """train_communities() on rows like those of training_frame()."""
@@ -247,15 +247,19 @@ def super_frame(graph: Graph, communities: DataFrame, least: int, most_nodes: in
     return placed.join(known, "id").join(lists, ["community_id", "id"], "left").join(flags, "id", "left")
 
 
-def whole_graph(graph: Graph, most_nodes: int = 100_000) -> DataFrame:
-    """(id, community_id): all nodes as one community, for a baseline without communities. A graph of more nodes than a
-    task should hold falls into balanced parts that keep label propagation's communities side by side."""
-    n = graph.nodes.count()
-    if n <= most_nodes:
+def whole_graph(graph: Graph, most_nodes: int | None = None) -> DataFrame:
+    """(id, community_id): all nodes as one community, whatever their number, for a baseline without communities. With most_nodes,
+    a graph of more falls into balanced parts that keep label propagation's communities side by side: a community run, no baseline."""
+    if most_nodes is None or (n := graph.nodes.count()) <= most_nodes:
         return graph.nodes.select("id", F.lit(0).cast("long").alias("community_id"))
     return G.balanced_parts(graph.nodes, -(-n // most_nodes), by=G.label_propagation(graph.nodes, graph.edges))
 
 
+def train_baseline(graph: Graph, classes: int, **options) -> DataFrame:
+    """train_communities() of the whole graph as one community with all its edges: one row, one model, in one task."""
+    return train_communities(graph, whole_graph(graph), classes, most_edges=None, **options)
+
+
 def over_runs(results: list[DataFrame], value: str, weight: str) -> DataFrame:
     """One row: mean and population standard deviation over runs, such as seeds, of `value` weighted by `weight`."""
     from .metrics import weighted
