@@ -174,9 +174,10 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     posted = owners.select(F.explode("first").alias("shingle"), F.col("id").alias("node"), "size")
     met = saved(posted.withColumn("m", F.count("*").over(Window.partitionBy("shingle"))).where("m > 1"), "met")
     large = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
+    sets = _sets(met.select("node"), slim, nodes, words)
     most = met.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("m"), "shingle"))).where("at <= 2")
     dealt = most.select("shingle", F.pmod(F.xxhash64("node", "shingle"), F.ceil(F.col("m") / block)).cast("int").alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side"), "node", F.col("node").alias("root"))
-    links = saved(block_links(dealt, slim, nodes, words, similarity), "links")
+    links = saved(block_links(dealt, sets, similarity), "links")
     sure = saved(components(links), "sure")
 
     rooted = saved(met.join(sure, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
@@ -184,37 +185,36 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     rest = saved(rooted.drop("m").join(giants, "shingle"), "rest")
     few = rest.where(F.col("m") <= crowd).select("shingle", "node", "size", "root")
     pairs = few.join(few.toDF("shingle", "node2", "size2", "root2"), "shingle").where("node < node2 and root != root2").where(large("size", "size2"))
-    alike = exactly_similar(saved(pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), "open"), slim, nodes, words, similarity)
+    alike = exactly_similar(saved(pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), "open"), sets, similarity)
     # The largest component's nodes on a shingle meet the others' blocks only.
     is_giant = F.col("root") == F.col("giant.root")
     others, blocks = F.ceil((F.col("m") - F.col("giant.n")) / block), F.ceil(F.col("giant.n") / block)
     side = F.when(is_giant, others + F.pmod(F.xxhash64("node"), blocks)).otherwise(F.pmod(F.xxhash64("node"), others)).cast("int")
     many = rest.where(F.col("m") > crowd).select("*", side.alias("side"), F.explode(F.sequence(F.lit(0), F.when(is_giant, others - 1).otherwise(others + blocks - 1).cast("int"))).alias("other"))
     many = many.select("shingle", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "root")
-    links = links.unionByName(alike).unionByName(block_links(many, slim, nodes, words, similarity))
+    links = links.unionByName(alike).unionByName(block_links(many, sets, similarity))
     found = components(links)
     classes = nodes.join(found, "node", "left").select("whole", F.coalesce("root", "node").alias("component_id"))
     return prints.join(classes, "whole", "left").select(F.col("id").alias(key), "component_id")
 
 
 def _sets(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, hashes) of the nodes wanted. texts: (id, text), of which a node's is the one with its set's digest, as an id may have several."""
+    """(node, hashes) of the nodes wanted, a row for each of a node's texts. texts: (id, text), of which a node's are those with its set's digest, as an id may have several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):  # a row at a time: a very long text's set is as large as the text
                 hashes = _shingles(b.column(1)[i].as_py(), words)
                 if xxhash.xxh128_digest(hashes.tobytes()) == b.column(2)[i].as_py():
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([xxhash.xxh64_intdigest(b.column(2)[i].as_py()) >> 1]), pa.array([hashes.view(np.int64)], pa.list_(pa.int64()))], names=["node", "mark", "hashes"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([hashes.view(np.int64)], pa.list_(pa.int64()))], names=["node", "hashes"])
 
     own = nodes.join(wanted.select("node").distinct(), "node", "left_semi").withColumnRenamed("node", "id")
     rows = texts.join(own, "id").select("id", "text", "whole")
-    return saved(rows.mapInArrow(run, "node long, mark long, hashes array<long>").dropDuplicates(["node", "mark"]).drop("mark"), "shingles")
+    return saved(rows.mapInArrow(run, "node long, hashes array<long>"), "shingles")
 
 
-def exactly_similar(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+def exactly_similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of `similarity` or more."""
-    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts, nodes, words)
     both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
     shared = F.size(F.array_intersect("ha", "hb"))
     return both.where(shared >= F.lit(similarity) * (F.size("ha") + F.size("hb") - shared) - 1e-9).select("a", "b")
@@ -256,7 +256,7 @@ def joining_links(nodes: list[int], roots: list[int], sides: list[int], sets: li
     return out
 
 
-def block_links(dealt: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+def block_links(dealt: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): links of similar nodes that join their roots. dealt: (shingle, lo, hi, side, node, root); each (shingle, lo, hi)
     is a group of a block or two, so that no task holds a shingle's nodes."""
 
@@ -267,7 +267,7 @@ def block_links(dealt: DataFrame, texts: DataFrame, nodes: DataFrame, words: int
         out = joining_links([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], sets, similarity)
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return dealt.join(_sets(dealt.select("node"), texts, nodes, words), "node").groupBy("shingle", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+    return dealt.join(sets, "node").groupBy("shingle", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
 
 
 def keep_representatives(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> DataFrame:
