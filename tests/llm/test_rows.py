@@ -455,3 +455,12 @@ def test_similar_documents_of_few_words(spark):
         texts[10 * i], texts[10 * i + 1] = base, [*base, word()]
     want = _groups(texts)
     assert sum(want[k] != k for k in want) == 50 and _similar(spark, texts) == want
+
+
+def test_pages_with_main_text_in_parts(spark):
+    """Articles and contents that differ in id or class are all kept, as is a last part in a container of its own."""
+    parts = ["<article id='a1'><p>one</p></article><article id='a2'><p>two</p></article>", "<div class='content' id='p1'><p>one one</p></div><div class='content' id='p2'><p>two</p></div>", f"<div class='k1'><p>{'one ' * 40}</p></div><div class='k2'><p>two</p></div>"]
+    rows = [(10 * k + i, f"http://h{k}.org/{i}", page(x, SIDE, TAIL)) for k, x in enumerate(parts) for i in range(4)]
+    want = {10 * k + i: w for k, w in enumerate(["one two", "one one two", "one " * 40 + "two"]) for i in range(4)}
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want

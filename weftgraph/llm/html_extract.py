@@ -179,21 +179,26 @@ def read_page(html: str | None) -> Slots:
 
 
 def extract(page: Slots, main: str | None) -> str:
-    """The text in the slots below the template's main token, in page order; of a page without it, that of the page's own."""
+    """The text in the slots below the template's main token, in page order; of a page without it, that of the page's own.
+    Where that token marks main text, the text below all of the page's tokens that mark it as clearly is kept."""
     if main is None or main not in page.tokens:
         main = best_token(page.tokens)
-    return " ".join(text for where, text in page.blocks if main is None or main in where)
+    if main is None:
+        return " ".join(text for _, text in page.blocks)
+    grade = page.tokens[main][2]
+    kept = {main} | {p for p, t in page.tokens.items() if grade > 0 and t[2] == grade and t[3] > t[4]}
+    return " ".join(text for where, text in page.blocks if not kept.isdisjoint(where))
 
 
 def best_token(tokens: dict[str, list]) -> str | None:
-    """The outermost token that marks main text, if it holds any; else the innermost container that holds most of the page's text; None if there is no such token."""
+    """The outermost token that marks main text, if it holds any; else the innermost container that holds all of the page's text; None if there is no such token."""
     total = max((t[3] for t in tokens.values()), default=0)
     if not total:
         return None
     for grade in (2, 1):
         if marked := [(-t[3] if grade == 1 else 0, p.count("/"), t[1], p) for p, t in tokens.items() if t[2] == grade and t[3] > t[4]]:
             return min(marked)[-1]
-    return max(((p.count("/"), -t[1], p) for p, t in tokens.items() if t[3] >= 0.8 * total and t[2] == 0), default=(None,))[-1]
+    return max(((p.count("/"), -t[1], p) for p, t in tokens.items() if t[3] >= total and t[2] == 0), default=(None,))[-1]
 
 
 _SEEN = "host string, path string, pages long, vector long, place double, main int, chars long, linked long"
@@ -227,7 +232,7 @@ def templates(pages: DataFrame, page: str = "page_id", url: str = "url", html: s
     each page, form an equivalence class. A class is valid if its tokens stand on at least `support` of the host's
     pages, the root's; their paths nest, so valid classes nest into one template. Its slots are what stands after
     each token; main is the token whose slots hold the main text: the outermost that marks an article, else
-    one named so with most text, else the innermost container with four fifths of the host's text.
+    one named so with most text, else the innermost container with all of the host's text.
     Only counts and sums per (host, token) are shuffled; no task holds a host's pages.
     """
     slim = pages.select(url_host(F.col(url)).alias("host"), F.xxhash64(page, url).alias("page"), F.col(html).alias("html"))
@@ -238,7 +243,7 @@ def templates(pages: DataFrame, page: str = "page_id", url: str = "url", html: s
     classes = Window.partitionBy("host", "vector", "pages")
     valid = tokens.join(whole, "host").where(F.col("pages") >= support * F.col("_pages")).withColumn("size", F.count("*").over(classes))
     depth = F.size(F.split("path", "/"))
-    grade = F.when((F.col("main") > 0) & (F.col("chars") > F.col("linked")), F.col("main")).when((F.col("main") == 0) & (F.col("chars") > 0) & (F.col("chars") >= 0.8 * F.col("_chars")), 0).otherwise(-1)
+    grade = F.when((F.col("main") > 0) & (F.col("chars") > F.col("linked")), F.col("main")).when((F.col("main") == 0) & (F.col("chars") > 0) & (F.col("chars") >= F.col("_chars")), 0).otherwise(-1)
     order = F.struct(grade.alias("grade"), F.when(grade == 2, -depth).when(grade == 1, F.col("chars")).otherwise(depth).alias("first"), (-F.col("place")).alias("place"), F.col("size"), F.col("path"))
     best = valid.groupBy("host").agg(F.max(order).alias("best"), F.max("_pages").alias("pages"), F.countDistinct("vector", "pages").alias("classes"), F.count("*").alias("tokens"))
     return best.select("host", F.when(F.col("best.grade") >= 0, F.col("best.path")).alias("main"), "pages", "classes", "tokens")
