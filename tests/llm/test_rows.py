@@ -7,11 +7,12 @@ import re
 import struct
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftgraph.llm import chat, html_extract, media, mixing, sharding, simhash, topk, toxicity, url_filter
+from weftgraph.llm import chat, common, html_extract, media, mixing, sharding, simhash, topk, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i}" for i in range(30_000))
@@ -427,8 +428,48 @@ def test_similar_documents_in_a_crowd(spark, options):
     want = _groups(texts)
     assert sum(want[k] != k for k in want) == 50 and _similar(spark, texts, **options) == want
     sets = [simhash._shingles(" ".join(t), 5) for t in texts.values()]
-    links = simhash.joining_links(list(texts), list(texts), [0] * len(texts), sets, 0.8)
-    assert {(a, b) for a, b in links} == {(i, 1000 + i) for i in range(0, 200, 4)}
+    found = simhash.pairs_in_block(list(texts), list(texts), [0] * len(texts), [simhash.sketch(x) for x in sets], np.array([len(x) for x in sets]), 0.8)
+    told = {(a, b): kind for a, b, _, kind in found}
+    assert {(i, 1000 + i) for i in range(0, 200, 4)} <= set(told) and all(want[b] == a for (a, b), kind in told.items() if kind == simhash.SURE)
+    assert len(told) < len(texts) ** 2 / 4  # those that share the passage only mostly go by their sketches
+
+
+def test_similar_documents_of_mixed_sizes(spark):
+    """Sets around the size up to which they are their own sketch; a group much like each other, a chain of edits, and strangers."""
+    random.seed(13)
+    word = lambda: "".join(random.choices("abcdefghij", k=6))
+    texts = {}
+    for i in range(40):
+        base = [word() for _ in range(random.randint(55, 85))]
+        texts[10 * i], texts[10 * i + 1] = base, base + [word() for _ in range(random.randint(0, 16))]
+    base = [word() for _ in range(150)]
+    for i in range(60):
+        texts[5000 + i] = base[: i * 2] + [word()] + base[i * 2 + 1 :]
+    chain = [word() for _ in range(400)]
+    for i in range(12):
+        texts[7000 + i] = chain
+        chain = chain[30:] + [word() for _ in range(30)]
+    want = _groups(texts)
+    assert sum(want[k] != k for k in want) > 80 and _similar(spark, texts) == want
+
+
+def test_sketches_follow_the_angle():
+    rng = np.random.default_rng(3)
+    n, apart = 400, []
+    for _ in range(60):
+        both, one, two = (rng.integers(0, 1 << 63, k).astype(np.uint64) for k in (n, n // 8, n // 8))
+        a, b = simhash.sketch(np.concatenate([both, one])), simhash.sketch(np.concatenate([both, two]))
+        apart.append(int(np.bitwise_count((a ^ b).view(np.uint64)).sum()))
+    assert abs(np.mean(apart) - math.acos(8 / 9) / math.pi * 512) < 4
+    assert max(apart) < 77.6 + 5 * 9.1
+
+
+def test_even_join_by_brute_force(spark):
+    rows = [(7, i) for i in range(3000)] + [(i, i) for i in range(1000)] + [(None, 1)]
+    left, right = common.saved(spark.createDataFrame(rows, "k long, x long"), "t"), spark.range(900).select(F.col("id").alias("k"), (F.col("id") * 2).alias("y"))
+    for how, dropped in (("inner", True), ("left", False)):
+        got = sorted(map(tuple, common.even_join(left, right, "k", how, 10).collect()), key=str)
+        assert got == sorted([(k, x, 2 * k if k is not None and k < 900 else None) for k, x in rows if not dropped or k is not None and k < 900], key=str)
 
 
 def test_similar_documents_with_one_edit(spark):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -13,10 +16,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs, tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset and Spark is local, as in tests, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='weft-')}"
+        atexit.register(shutil.rmtree, named.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
@@ -26,7 +32,25 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weft_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of saved() that nothing will read again."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._weft_path)
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def even_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", most: int = 1000) -> DataFrame:
+    """left joined with right, which has one row a key at most, where a key may hold any share of left's rows. Keys with over
+    1 / `most` of them are fewer than `most`, so right's rows of these are sent whole; of the rest none is crowded. left is
+    read three times: a table."""
+    total = left.agg((F.count("*") / F.lit(most)).alias("_bar"))
+    hot = left.groupBy(key).agg(F.count("*").alias("_n")).join(F.broadcast(total), F.col("_n") > F.col("_bar")).select(key)
+    crowded = left.join(F.broadcast(right.join(F.broadcast(hot), key)), key)
+    return crowded.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, how))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

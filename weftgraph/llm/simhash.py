@@ -9,10 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, discard, even_join, saved
 
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _WORDS = re.compile(WORD.encode())
@@ -80,7 +80,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = even_join(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
@@ -107,20 +107,49 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, key: str
     owners = owners.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     roots = owners.groupBy("root").agg(F.min("_least").alias("component_id"))
     classes = saved(owners.join(roots, "root").select("fingerprint", "component_id"), "classes")
-    return prints.join(classes, "fingerprint").select(key, "fingerprint", "component_id")
+    return even_join(prints, classes, "fingerprint").select(key, "fingerprint", "component_id")
 
 
-def _shingle_set(found: list[bytes], words: int, seed: int = 42) -> np.ndarray:
-    n = max(1, len(found) - words + 1) if found else 0
-    return np.array(sorted({xxhash.xxh64_intdigest(b" ".join(found[i : i + words]), seed) for i in range(n)}), np.uint64)
+# --- similarities that a few bits can't span ------------------------------------------------------------------------
+
+#: Sets of up to this many shingles are their own sketch; larger ones have 8 words of 64 bits.
+SMALL, SKETCH_WORDS = 64, 8
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Each 64-bit number stirred, so that all its bits depend on all."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
 
 
 def _shingles(text: str | None, words: int) -> np.ndarray:
-    return _shingle_set(_WORDS.findall((text or "").encode("utf-8", "surrogatepass").translate(_UPPER)), words)
+    """The set of hashes of a text's shingles, sorted; a text of fewer words is one shingle, one without words has none."""
+    found = _WORDS.findall((text or "").encode("utf-8", "surrogatepass").translate(_UPPER))
+    each = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+    size = min(words, len(found))
+    n = len(found) - size + 1 if found else 0
+    out = np.full(n, size, np.uint64)
+    for i in range(size):
+        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + each[i : i + n])
+    return np.unique(out)
 
 
-def common_shingles(texts: DataFrame, words: int, sample: int = 4096, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the shingles that at least two of some `sample` different texts have; at most `most`. texts: (id, text)."""
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of a set of hashes in 8 words of 64 bits: a bit is 1 if set in over half of as many hashes drawn from each."""
+    ones = np.zeros(64 * SKETCH_WORDS, np.int64)
+    step = np.arange(SKETCH_WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), 16 * 255):  # bounded for very long texts
+        drawn = _mixed(hashes[at : at + 16 * 255, None] + step)
+        lanes = np.unpackbits(drawn.view(np.uint8).reshape(len(drawn), -1), axis=1, bitorder="little").view(np.uint64)
+        sums = np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0)  # 255 bits at most fit a lane of 8
+        ones += sums.view(np.uint8).reshape(len(sums), -1).sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)
+
+
+def common_shingles(texts: DataFrame, words: int, sample: int = 4096, most: int = 200_000) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes, sorted, and counts of the shingles that at least two of some `sample` different texts have, at most `most`; and of
+    how many texts each of these stands for one. texts: (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,114 +161,187 @@ def common_shingles(texts: DataFrame, words: int, sample: int = 4096, most: int
     counts = some.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(most).collect()
     hashes, n = np.array([r.shingle for r in counts], np.int64).view(np.uint64), np.array([r.n for r in counts], np.int64)
     order = np.argsort(hashes)
-    return hashes[order], n[order]
+    return hashes[order], n[order], step
 
 
-def _prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def _prefix(hashes: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
     """The first of a set in order of (count among common shingles, hash), so many that two sets of `similarity` share one."""
     n = len(hashes) and len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
     ranks = np.zeros(len(hashes), np.int64)
     if len(common[0]):
         at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
         ranks = np.where(common[0][at] == hashes, common[1][at], 0)
-    return hashes[np.lexsort((hashes, ranks))[:n]]
+    return hashes[np.argsort(ranks, kind="stable")[:n]]  # hashes are sorted
+
+
+#: What a pair's sketches tell: similar; not told, to be counted; (null) not similar.
+SURE, OPEN = 1, 0
+
+
+def _spread(sizes: Column, others: Column, similarity: float) -> tuple[Column, Column]:
+    """Of two large sets whose similarity is just `similarity`: the bits in which their sketches differ, and their deviation."""
+    bits = 64 * SKETCH_WORDS
+    cosine = F.least(F.lit(similarity / (1 + similarity)) * (sizes + others) / F.sqrt(sizes.cast("double") * others), F.lit(1.0))
+    middle = F.acos(cosine) / F.lit(math.pi) * bits
+    return middle, F.sqrt(middle * (1 - middle / bits)) + 1
+
+
+def told(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, d, told): of the pairs (a, b) of nodes, those that may be similar. Two small sets are counted. Of two large ones the
+    sketches differ in d bits: 3.5 deviations under what the similarity makes it, the pair is SURE (a pair just under `similarity` is
+    taken for one once in 4,000); over 5 beyond it, it goes (once in 3 million of those just at it); else, and for a small and a large set, it is OPEN."""
+    side = lambda s: sketches.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    both = even_join(pairs, side("a"), "a").join(side("b"), "b")
+    a, b = F.col("size_a"), F.col("size_b")
+    both = both.where(F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9)
+    shared = F.size(F.array_intersect("sketch_a", "sketch_b"))
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    middle, deviation = _spread(a, b, similarity)
+    small, large = (a <= SMALL) & (b <= SMALL), (a > SMALL) & (b > SMALL)
+    d = F.when(large, apart).otherwise(0)
+    verdict = F.when(small, F.when(shared >= F.lit(similarity) * (a + b - shared) - 1e-9, SURE)).when(large, F.when(F.col("d") <= middle - 3.5 * deviation, SURE).when(F.col("d") <= middle + 5 * deviation, OPEN)).otherwise(OPEN)
+    return both.withColumn("d", d).withColumn("told", verdict).where("told is not null").select("a", "b", "d", "told")
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowd: int = 16, block: int = 128, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, component_id): documents whose sets of shingles of `words` words have a Jaccard similarity of `similarity` or more
-    are linked, all of them; component_id is the smallest key that a document can reach. For similarities that a few bits can't span.
-
-    Two sets that similar share one of their first 1 - `similarity` shingles in any order that holds for all sets; rare ones come
-    first, as told by a sample. Documents with the same set are one node. Nodes that share a first shingle meet there. Each is
-    first counted against a block on its two most crowded shingles; where that leaves several components on a shingle, all
-    its pairs of different components are counted: of up to `crowd` nodes as pairs, of more in blocks of `block` against each
-    other, which hold the sets and return links that join only. Every link is counted shingle by shingle. Null, empty and
-    repeated rows as in near_duplicates(); a text shorter than a shingle is one.
+    are linked; component_id is the smallest key that a document can reach.
+
+    Documents with the same set are one node, known by 64 bits of the set's digest. Nodes have a fingerprint of 64 bits, sought by ball
+    hashing as in near_duplicates(), and a sketch of 512 bits that tells most pairs. At a similarity of 0.8 fingerprints differ
+    in 10 bits or so, and a ball of 5 has 8 million variants, so ball hashing only joins large groups of close copies; all other
+    pairs come from an exact filter: sets as similar as that share one of their first 1 - `similarity` shingles in any order that holds
+    for all, here rare ones first, as told by a sample. Nodes that share such a shingle meet there. Each is held
+    against the first one there; then, where a shingle's nodes still are of several components, all its pairs of different components are,
+    up to `crowd` nodes as pairs, more in blocks of `block` against each other. Pairs that sketches don't tell, and that still
+    join components, are counted shingle by shingle. No pair is left out. Null, empty and repeated rows as in near_duplicates(), but a row
+    without a key joins no others; a text shorter than a shingle is one.
     """
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(slim, words))
+    spark, common = docs.sparkSession, common_shingles(slim, words)
+    sent = spark.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task's copies post their shingles once, as far as a bounded memory goes
         for b in batches:
             for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                sets = [_shingles(t.as_py(), words) for t in part.column(1)]
-                whole = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
-                first = [_prefix(s, similarity, sent.value).view(np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["id", "whole", "size", "first"])
-
-    prints = saved(slim.mapInArrow(run, "id long, whole binary, size int, first array<long>"), "prefixes")
-    nodes = saved(prints.groupBy("whole").agg(F.min("id").alias("node")).where("node is not null"), "nodes")
-    owners = prints.join(nodes.withColumnRenamed("node", "id"), ["whole", "id"]).dropDuplicates(["whole"])
-    posted = owners.select(F.explode("first").alias("shingle"), F.col("id").alias("node"), "size")
-    met = saved(posted.withColumn("m", F.count("*").over(Window.partitionBy("shingle"))).where("m > 1"), "met")
-    large = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
-    sets = _sets(met.select("node"), slim, nodes, words)
-    most = met.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("m"), "shingle"))).where("at <= 2")
-    dealt = most.select("shingle", F.pmod(F.xxhash64("node", "shingle"), F.ceil(F.col("m") / block)).cast("int").alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side"), "node", F.col("node").alias("root"))
-    links = saved(block_links(dealt, sets, similarity), "links")
-    sure = saved(components(links), "sure")
-
-    rooted = saved(met.join(sure, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+                part, rows = b.slice(at, 64), []
+                for t in part.column(1):
+                    hashes = _shingles(t.as_py(), words)
+                    node = xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
+                    wide = sketch(hashes)
+                    first = None if node in seen else _prefix(hashes, similarity, sent.value).view(np.int64)
+                    seen.add(node)
+                    rows.append((node, len(hashes), int(wide[0]), wide if len(hashes) > SMALL else hashes.view(np.int64), first))
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=["id", "node", "size", "print", "sketch", "first"])
+
+    prints = saved(slim.mapInArrow(run, "id long, node long, size int, print long, sketch array<long>, first array<long>"), "prefixes")
+    members = saved(prints.select("id", "node"), "members")
+    nodes = saved(prints.groupBy("node").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("print").alias("print"), F.first("sketch").alias("sketch")).where("least is not null"), "nodes")
+
+    # A shingle that the sample shows with over 4,096 nodes is dealt to parts of some 4,096; the sample's table is bounded.
+    parts = [(int(h), int(-(-c * common[2] // 4096))) for h, c in zip(common[0].view(np.int64), common[1]) if c * common[2] > 4096]
+    crowded = spark.createDataFrame(parts, "shingle long, parts int")
+    posted = prints.where("first is not null").select(F.explode("first").alias("shingle"), "node").join(F.broadcast(crowded), "shingle", "left")
+    posted = posted.select("shingle", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")) + 1, F.lit(0)).cast("int").alias("part"), "node")
+    there = Window.partitionBy("shingle", "part")
+    met = posted.withColumns({"first": F.min("node").over(there), "last": F.max("node").over(there)}).where("part > 0 or first != last").select("shingle", "part", "node", "first")
+    met = saved(met.distinct(), "met")
+    discard(prints)
+
+    stars = met.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    heads = met.where("part > 0").select("shingle", "first").distinct()
+    heads = heads.join(heads.groupBy("shingle").agg(F.min("first").alias("a")), "shingle").select("a", F.col("first").alias("b"))
+    owners = nodes.groupBy("print").agg(F.min("node").alias("a"))
+    same = even_join(nodes.select("print", F.col("node").alias("b")), owners, "print").select("a", "b")
+    balls = ball_links(nodes.select(F.col("print").alias("fingerprint"))).join(owners.toDF("a", "x"), "a").join(owners.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = saved(stars.unionByName(heads).unionByName(same).unionByName(balls).where("a != b").distinct(), "pairs")
+    checked = saved(told(pairs, nodes, similarity), "told")
+    sure = saved(components(checked.where(F.col("told") == SURE)), "sure")
+
+    rooted = saved(met.select("shingle", "node").distinct().join(sure, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     giants = rooted.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("giant"), F.sum("n").alias("m")).where("giant.n < m")
-    rest = saved(rooted.drop("m").join(giants, "shingle"), "rest")
-    few = rest.where(F.col("m") <= crowd).select("shingle", "node", "size", "root")
-    pairs = few.join(few.toDF("shingle", "node2", "size2", "root2"), "shingle").where("node < node2 and root != root2").where(large("size", "size2"))
-    alike = exactly_similar(saved(pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), "open"), sets, similarity)
+    rest = saved(even_join(rooted, giants, "shingle"), "rest")
+    few = rest.where(F.col("m") <= crowd).select("shingle", "node", "root")
+    few = few.join(few.toDF("shingle", "node2", "root2"), "shingle").where("node < node2 and root != root2").select(F.col("node").alias("a"), F.col("node2").alias("b"))
+    few = told(saved(few.distinct().join(pairs, ["a", "b"], "left_anti"), "few"), nodes, similarity)
     # The largest component's nodes on a shingle meet the others' blocks only.
     is_giant = F.col("root") == F.col("giant.root")
     others, blocks = F.ceil((F.col("m") - F.col("giant.n")) / block), F.ceil(F.col("giant.n") / block)
     side = F.when(is_giant, others + F.pmod(F.xxhash64("node"), blocks)).otherwise(F.pmod(F.xxhash64("node"), others)).cast("int")
     many = rest.where(F.col("m") > crowd).select("*", side.alias("side"), F.explode(F.sequence(F.lit(0), F.when(is_giant, others - 1).otherwise(others + blocks - 1).cast("int"))).alias("other"))
     many = many.select("shingle", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "root")
-    links = links.unionByName(alike).unionByName(block_links(many, sets, similarity))
-    found = components(links)
-    classes = nodes.join(found, "node", "left").select("whole", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(classes, "whole", "left").select(F.col("id").alias(key), "component_id")
-
-
-def _sets(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, hashes) of the nodes wanted, a row for each of a node's texts. texts: (id, text), of which a node's are those with its set's digest, as an id may have several."""
+    many = many.join(nodes.select("node", "size", "sketch"), "node").groupBy("shingle", "lo", "hi").applyInArrow(_block_pairs(similarity), "a long, b long, d int, told int").distinct()
+
+    checked = saved(checked.unionByName(few).unionByName(many), "told")
+    links = checked.where(F.col("told") == SURE).select("a", "b")
+    for nearest in (True, False):  # first one pair for each node, the closest; what then still joins components is counted, all of it
+        roots = saved(components(links), "roots")
+        open_ = _crossing(checked.where(F.col("told") == OPEN), roots)
+        open_ = open_.groupBy("a").agg(F.min(F.struct("d", "b"))["b"].alias("b")) if nearest else open_.join(counted, ["a", "b"], "left_anti")
+        counted = open_ = saved(open_.select("a", "b").distinct(), "open")
+        if not open_.limit(1).count():
+            break
+        links = links.unionByName(saved(exactly_similar(open_, slim, members, nodes, words, similarity), "links"))
+    else:
+        roots = saved(components(links), "roots")
+    at = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = at.join(at.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    return even_join(members, named, "node", "left").select(F.col("id").alias(key), "component_id")
+
+
+def _crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends have different roots. roots: (node, root) of the nodes that have another root than themselves, at least."""
+    at = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+    return at.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).drop("ra", "rb")
+
+
+def exactly_similar(pairs: DataFrame, texts: DataFrame, members: DataFrame, nodes: DataFrame, words: int, similarity: float, most: int = 100_000) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of `similarity` or more. texts: (id, text). The ids
+    of the nodes wanted are sent to the texts if they are `most` at most; else both are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):  # a row at a time: a very long text's set is as large as the text
                 hashes = _shingles(b.column(1)[i].as_py(), words)
-                if xxhash.xxh128_digest(hashes.tobytes()) == b.column(2)[i].as_py():
+                if xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63) == b.column(0)[i].as_py():  # an id may have several texts
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([hashes.view(np.int64)], pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    own = nodes.join(wanted.select("node").distinct(), "node", "left_semi").withColumnRenamed("node", "id")
-    rows = texts.join(own, "id").select("id", "text", "whole")
-    return saved(rows.mapInArrow(run, "node long, hashes array<long>"), "shingles")
-
-
-def exactly_similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of `similarity` or more."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = saved(nodes.select("node", F.col("least").alias("id")).join(wanted, "node", "left_semi"), "wanted")
+    rows = texts.join(F.broadcast(wanted) if wanted.count() <= most else wanted, "id").select("node", "text")
+    sets = saved(rows.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]), "shingles")
     both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
     shared = F.size(F.array_intersect("ha", "hb"))
     return both.where(shared >= F.lit(similarity) * (F.size("ha") + F.size("hb") - shared) - 1e-9).select("a", "b")
 
 
-def joining_links(nodes: list[int], roots: list[int], sides: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links of similar sets that join different roots; where there are two sides, between these only."""
-    if len(set(roots)) < 2 or not any(map(len, sets)):
-        return []
-    sizes = np.array([len(s) for s in sets])
-    values, place = np.unique(np.concatenate(sets), return_inverse=True)
-    often = np.bincount(place, minlength=len(values)) > 1
-    column, row = np.cumsum(often)[place] - 1, np.repeat(np.arange(len(sets)), sizes)
-    column, row = column[often[place]], row[often[place]]
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
-    shared = np.zeros((len(sets), len(sets)), np.float32)
-    for at in range(0, int(often.sum()), 4096):  # bounded for very long texts
-        lo, hi = np.searchsorted(column, (at, at + 4096))
-        dense = np.zeros((len(sets), 4096), np.float32)
-        dense[row[lo:hi], column[lo:hi] - at] = 1
-        shared += dense @ dense.T
-    alike = np.triu(shared >= similarity * (sizes[:, None] + sizes - shared) - 1e-6, 1)
+def pairs_in_block(nodes: list[int], roots: list[int], sides: list[int], sets: list[np.ndarray], sizes: np.ndarray, similarity: float) -> list[tuple[int, int, int, int]]:
+    """told() of the pairs of different roots in a block, where there are two sides of one side each. Of SURE pairs only as many as join the roots; then the OPEN ones that still do."""
+    n, small = len(nodes), sizes <= SMALL
+    apart, verdict = np.zeros((n, n), np.int32), np.full((n, n), OPEN)
+    if len(at := np.flatnonzero(~small)):
+        wide = np.array([sets[i] for i in at]).view(np.uint64)
+        for i, k in enumerate(at):
+            apart[k, at] = np.bitwise_count(wide ^ wide[i]).sum(1)
+        s = sizes[at].astype(float)
+        cosine = np.minimum(similarity / (1 + similarity) * (s[:, None] + s) / np.sqrt(s[:, None] * s), 1)
+        middle = np.arccos(cosine) / math.pi * 64 * SKETCH_WORDS
+        deviation = np.sqrt(middle * (1 - middle / (64 * SKETCH_WORDS))) + 1
+        d = apart[np.ix_(at, at)]
+        verdict[np.ix_(at, at)] = np.where(d <= middle - 3.5 * deviation, SURE, np.where(d <= middle + 5 * deviation, OPEN, -1))
+    if len(at := np.flatnonzero(small)):
+        values, place = np.unique(np.concatenate([sets[i] for i in at]), return_inverse=True)
+        dense = np.zeros((len(at), len(values)), np.float32)
+        dense[np.repeat(np.arange(len(at)), sizes[at]), place] = 1
+        shared = dense @ dense.T
+        verdict[np.ix_(at, at)] = np.where(shared >= similarity * (sizes[at][:, None] + sizes[at] - shared) - 1e-6, SURE, -1)
+    verdict[np.minimum(sizes[:, None], sizes) < similarity * np.maximum(sizes[:, None], sizes) - 1e-9] = -1
     if len(set(sides)) > 1:
-        alike &= np.array(sides)[:, None] != np.array(sides)
+        verdict[np.array(sides)[:, None] == np.array(sides)] = -1
     up: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -248,35 +350,36 @@ def joining_links(nodes: list[int], roots: list[int], sides: list[int], sets: li
         return x
 
     out = []
-    for i, j in np.argwhere(alike).tolist():
-        x, y = top(roots[i]), top(roots[j])
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    for kind in (SURE, OPEN):
+        for i, j in np.argwhere(np.triu(verdict == kind, 1)).tolist():
+            if (x := top(roots[i])) != (y := top(roots[j])):
+                out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j]), int(apart[i, j]), kind))
+                if kind == SURE:
+                    up[max(x, y)] = min(x, y)
     return out
 
 
-def block_links(dealt: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links of similar nodes that join their roots. dealt: (shingle, lo, hi, side, node, root); each (shingle, lo, hi)
-    is a group of a block or two, so that no task holds a shingle's nodes."""
-
+def _block_pairs(similarity: float):
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("node", "root", "side")), range(table.num_rows), strict=True))
-        column = table.column("hashes").combine_chunks()
-        sets = [column[r[3]].values.to_numpy(zero_copy_only=False) for r in rows]
-        out = joining_links([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], sets, similarity)
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+        lists, sizes = table.column("sketch").combine_chunks(), table.column("size").to_numpy()
+        sets = [lists[r[3]].values.to_numpy(zero_copy_only=False) for r in rows]
+        out = pairs_in_block([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], sets, np.array([sizes[r[3]] for r in rows]), similarity)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(zip(("a", "b", "d", "told"), kinds, strict=True))})
 
-    return dealt.join(sets, "node").groupBy("shingle", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+    return run
 
 
-def keep_representatives(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row of each group: that whose key is the component's id. A key's repeated rows, copies of each other or
-    not, keep one row. Rows without a key can't be named by a class, and stay."""
+def keep_representatives(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group: that whose key is the component's id. Of a key's repeated rows those with another text stay too, of
+    equal ones the first by a hash of all columns. Rows without a key can't be named by a class, and stay."""
     kept = saved(classes.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("_rows")), "kept")
     # A row for each document kept: it grows with the corpus, so it is never sent whole.
     out = docs.join(kept.select(key).hint("merge"), key, "left_semi")
     if kept.where("_rows > 1").limit(1).count():
         single = docs.join(kept.where("_rows = 1").select(key), key, "left_semi")
-        out = single.unionByName(docs.join(kept.where("_rows > 1").select(key), key, "left_semi").dropDuplicates([key]))
+        first = Window.partitionBy(key, text).orderBy(F.xxhash64(*docs.columns))
+        repeated = docs.join(kept.where("_rows > 1").select(key), key, "left_semi").withColumn("_place", F.row_number().over(first)).where("_place = 1")
+        out = single.unionByName(repeated.drop("_place"))
     return out.unionByName(docs.where(F.col(key).isNull()))
