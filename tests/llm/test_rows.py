@@ -377,16 +377,64 @@ def test_block_max_is_exact():
     rng = random.Random(7)
     vectors = []
     for _ in range(500):
-        v = {t: rng.random() for t in rng.sample(range(30), rng.randint(1, 6))}
+        v = {t: rng.random() for t in sorted(rng.sample(range(30), rng.randint(1, 6)))}
         n = math.sqrt(sum(x * x for x in v.values()))
         vectors.append({t: x / n for t, x in v.items()})
-    index = toxicity.BlockMaxIndex(vectors, 30, block=16)
-    for q in vectors[:60]:
+    vectors.sort(key=lambda v: max(v, key=v.get))
+    arrays = [(np.array(list(v)), np.array(list(v.values()))) for v in vectors]
+    index = toxicity.BlockMaxIndex(arrays, 30, block=16)
+    for q, (terms, weights) in zip(vectors[::8], arrays[::8]):
         scores = [(round(sum(q[t] * v.get(t, 0) for t in q), 9), i) for i, v in enumerate(vectors)]
         want = sorted((x for x in scores if x[0] > 0), key=lambda x: (-x[0], x[1]))[:7]
-        got = index.nearest(q, 7)
-        assert [g[1] for g in got] == [w[1] for w in want] and all(abs(g[0] - w[0]) < 1e-8 for g, w in zip(got, want))
-    assert index.visited < 60 * index.n_blocks
+        similar, ids = index.nearest(terms, weights, 7)
+        assert ids.tolist() == [w[1] for w in want] and all(abs(g - w[0]) < 1e-8 for g, w in zip(similar, want))
+    assert index.visited < 0.8 * len(vectors[::8]) * index.n_blocks
+
+
+def test_toxicity_by_brute_force(spark):
+    """Document frequencies, relevance, cosine, votes and calibration, each written out."""
+    rng = random.Random(22)
+    words = ["alpha", "beta", "gammatone", "deltas", "rotten", "rottenly", "of", "the"]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 12))) + f" own{i}" * (i % 3)) for i in range(120)]
+    labels = [(i, int("rotten" in t and rng.random() < 0.9)) for i, t in docs if i % 2]
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), k=5)
+    counts = {i: toxicity.term_counts(t) for i, t in docs}
+    assert counts[0] == {w: n for w, n in counts[0].items()} and toxicity.term_counts("Rottenly") == {"rottenly": 1, "rott-": 1, "rotte-": 1}
+    label = dict(labels)
+    ids = model.ids.tolist()
+    n = [sum(label[i] == v for i in ids) for v in (0, 1)]
+    total = [sum(v == y for _, v in labels) for y in (0, 1)]
+
+    def weight(t):
+        ones, zeros = (sum(t in counts[i] for i in ids if label[i] == v) for v in (1, 0))
+        idf = math.log((1 + len(docs)) / (1 + sum(t in c for c in counts.values()))) + 1
+        return idf * math.log2(2 + max(ones - 1, 0) / max(zeros * n[1] / n[0], 1))
+
+    known = {t for i in ids for t in counts[i]}
+    weights = {t: weight(t) for t in known}
+
+    def vector(i):
+        v = {t: weights[t] * (1 + math.log(c)) for t, c in counts[i].items() if t in known}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    rate = (total[1] + 0.5) / (sum(total) + 1)
+
+    def vote(i, without=None):
+        v = vector(i)
+        near = sorted((-round(sum(x * e.get(t, 0) for t, x in v.items()), 9), k) for k, e in enumerate(map(vector, ids)) if ids[k] != without)
+        votes, whole, used = rate, 1.0, []
+        for s, k in [x for x in near if x[0] < 0][:5]:
+            w = total[label[ids[k]]] / n[label[ids[k]]] / (1.1 - min(-s, 1))
+            votes, whole = votes + w * label[ids[k]], whole + w
+            used.append(ids[k])
+        return votes / whole, used
+
+    knots = toxicity._isotonic(np.array([vote(i, i)[0] for i in ids]), np.array([label[i] for i in ids]), np.array([total[label[i]] / n[label[i]] for i in ids]))
+    assert np.allclose(model.knots, knots)
+    for r in toxicity.score(spark.createDataFrame(docs, "doc_id long, text string"), model).collect():
+        want, used = vote(r.doc_id)
+        assert abs(r.score - np.interp(want, *knots)) < 1e-6 and [e.doc_id for e in r.evidence] == used
 
 
 def test_toxicity(spark, sf):
@@ -399,9 +447,8 @@ def test_toxicity(spark, sf):
     ones = sum(t for _, t in ranked)
     above = sum(sum(1.0 if a < s else 0.5 if a == s else 0.0 for a, y in ranked if not y) for s, t in ranked if t)
     auc, accuracy = above / ones / (len(ranked) - ones), sum(r.predicted == r.toxic for r in rows) / len(rows)
-    # Measured here: 76 of 97 held-out texts of label 1 found, 6 of 728 others rejected, AUC 0.945, accuracy 0.967. The bounds
-    # lie under these figures; first guesses of 0.95 and 0.97, made before any measurement, were not reached.
-    assert ones > 50 and auc > 0.9 and accuracy > 0.95, (auc, accuracy)
+    # Measured once, with settings chosen on folds of the other rows: 90 of 97 held-out texts of label 1 found, 1 of 728 others rejected, AUC 0.989.
+    assert ones > 50 and auc > 0.95 and accuracy > 0.97, (auc, accuracy)
     assert abs(sum(r.score for r in rows) / len(rows) - ones / len(rows)) < 0.03
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -10,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,88 +33,105 @@ def term_counts(text: str | None) -> Counter[str]:
     return out
 
 
-def known_counts(text: str | None, vocabulary: dict[str, int]) -> dict[int, int]:
-    """term_counts() of the vocabulary's terms, by number; much as that, without counters for the others."""
-    out: dict[int, int] = {}
-    for word, n in Counter(_TERM.findall((text or "").lower())).items():
-        for term in (word, *[word[:size] + "-" for size in STEMS if len(word) > size]):
-            if (i := vocabulary.get(term)) is not None:
-                out[i] = out.get(i, 0) + n
-    return out
+class Reader:
+    """term_counts() of the vocabulary's terms, by number. A word's terms are looked up once, as far as a bounded memo goes."""
+
+    def __init__(self, vocabulary: dict[str, int], memo: int = 200_000):
+        self.vocabulary, self.memo, self.known = vocabulary, memo, {}
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the terms, rising, and how often each occurs."""
+        at, n = [], []
+        for word, count in Counter(_TERM.findall((text or "").lower())).items():
+            if (terms := self.known.get(word)) is None:
+                if len(self.known) >= self.memo:
+                    self.known.clear()
+                found = (self.vocabulary.get(t) for t in (word, *[word[:size] + "-" for size in STEMS if len(word) > size]))
+                terms = self.known[word] = tuple(t for t in found if t is not None)
+            at += terms
+            n += [count] * len(terms)
+        terms, place = np.unique(np.array(at, np.int64), return_inverse=True)
+        return terms, np.bincount(place, n, len(terms)).astype(np.int64)
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers from each start to its end, one range after the other."""
+    n = ends - starts
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 class BlockMaxIndex:
-    """Exact k nearest of unit vectors by cosine. Postings lie by term and block of examples, with the
-    largest weight of each term in each block. A block whose bound is under the k-th similarity is passed over."""
-
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = 64):
-        self.size, self.block, self.n_blocks = len(vectors), block, max(1, -(-len(vectors) // block))
-        self.largest = np.zeros((n_terms, self.n_blocks))
-        self.postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                lists.setdefault((t, i // block), []).append((i % block, w))
-        for (t, b), posting in lists.items():
-            at, weights = map(np.array, zip(*posting, strict=True))
-            self.postings[t, b] = at, weights
-            self.largest[t, b] = weights.max()
-        self.visited = 0
-
-    def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """(similarity, example) of the k most similar examples with a similarity over 0; ties by the smaller example."""
-        known = list(query)
-        bounds = np.array([query[t] for t in known]) @ self.largest[known]
-        best: list[tuple[float, int]] = []
-        for b in np.lexsort((np.arange(self.n_blocks), -bounds)):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-9:
-                break
-            self.visited += 1
-            scores = np.zeros(self.block)
-            for t in known:
-                if (p := self.postings.get((t, int(b)))) is not None:
-                    scores[p[0]] += query[t] * p[1]
-            best += [(round(float(scores[i]), 9), int(b) * self.block + int(i)) for i in np.flatnonzero(scores > 0)]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+    """Exact k nearest of unit vectors by cosine. Postings lie by term and block of examples, with the largest weight of each term
+    in each block. Blocks are read in order of their bound, the sum of these weights; one whose bound is under the k-th similarity ends the search."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 128):
+        self.size, self.n_blocks, self.visited = len(vectors), max(1, -(-len(vectors) // block)), 0
+        terms = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)])
+        weights = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        order = np.lexsort((example, terms))
+        terms, self.example, self.weight = terms[order], example[order].astype(np.int32), weights[order]
+        lists = terms * self.n_blocks + self.example // block
+        first = np.flatnonzero(np.diff(lists, prepend=-1))
+        self.block, self.starts = lists[first] % self.n_blocks, np.append(first, len(lists))
+        self.largest = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.of_term = np.searchsorted(lists[first] // self.n_blocks, np.arange(n_terms + 1))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Similarities and numbers of the k most similar examples with a similarity over 0; ties by the smaller number."""
+        starts, ends = self.of_term[terms], self.of_term[terms + 1]
+        lists, query = _ranges(starts, ends), np.repeat(weights, ends - starts)
+        bounds = np.bincount(self.block[lists], query * self.largest[lists], self.n_blocks)
+        blocks = np.lexsort((np.arange(self.n_blocks), -bounds))
+        best, ids, at, step = np.zeros(0), np.zeros(0, np.int64), 0, 2
+        while at < len(blocks) and (bound := bounds[blocks[at]]) > 0 and not (len(best) == k and bound < best[-1] - 1e-9):
+            wave = np.zeros(self.n_blocks, bool)
+            wave[blocks[at : at + step]] = True
+            self.visited += int(wave.sum())
+            mine = wave[self.block[lists]]
+            here = lists[mine]
+            postings = _ranges(self.starts[here], self.starts[here + 1])
+            scores = np.bincount(self.example[postings], np.repeat(query[mine], self.starts[here + 1] - self.starts[here]) * self.weight[postings], self.size)
+            new = np.flatnonzero(scores > (best[-1] - 1e-9 if len(best) == k else 0))
+            best, ids = np.concatenate([best, np.round(scores[new], 9)]), np.concatenate([ids, new])
+            keep = np.lexsort((ids, -best))[:k]
+            best, ids, at, step = best[keep], ids[keep], at + step, step * 4
+        return best, ids
 
 
 @dataclass
 class Model:
-    """Fitted by fit(); small: its size is bounded by fit()'s max_examples and max_terms."""
+    """Fitted by fit(); its size is bounded by the terms of fit()'s max_examples texts."""
 
     vocabulary: dict[str, int]
-    idf: list[float]
-    ids: list[int]
-    labels: list[int]
+    weight: np.ndarray  # of each term: its idf and relevance
+    ids: np.ndarray
+    labels: np.ndarray
     index: BlockMaxIndex
-    weights: tuple[float, float]
+    weights: np.ndarray  # of each label: how many labelled documents an example stands for
     rate: float
-    none: float
     k: int
     knots: tuple[list[float], list[float]] = ((0.0, 1.0), (0.0, 1.0))
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()}
-
-    def vote(self, counts: dict[int, int], without: int = -1) -> tuple[float, list[tuple[float, int]]]:
-        """Neighbours vote with weights 1 / (distance + 0.1), and the rate of label 1 with the weight of one at distance 0.9."""
-        if not counts:
-            return self.none, []
-        near = [x for x in self.index.nearest(self.vector(counts), self.k + (without >= 0)) if x[1] != without][: self.k]
-        votes, total = self.rate, 1.0
-        for similarity, i in near:
-            w = self.weights[self.labels[i]] / (1.1 - min(similarity, 1.0))
-            votes += w * self.labels[i]
-            total += w
-        return votes / total, near
+    def vote(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        """Neighbours vote with weights 1 / (distance + 0.1), and the rate of label 1 with the weight of one at distance 0.9. A text without known terms has no neighbours."""
+        if not len(terms):
+            return self.rate, np.zeros(0), np.zeros(0, np.int64)
+        similar, near = self.index.nearest(terms, unit(self.weight[terms], counts), self.k + (without >= 0))
+        similar, near = similar[near != without][: self.k], near[near != without][: self.k]
+        w = self.weights[self.labels[near]] / (1.1 - np.minimum(similar, 1.0))
+        return float((self.rate + (w * self.labels[near]).sum()) / (1 + w.sum())), similar, near
 
     def calibrated(self, vote: float) -> float:
         return float(np.interp(vote, *self.knots))
 
 
+def unit(weights: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A text's TF-IDF vector of length 1: the terms' weights times 1 + ln of their counts."""
+    v = weights * (1 + np.log(counts))
+    return v / max(np.sqrt((v * v).sum()), 1e-300)
+
+
 def _isotonic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[list[float], list[float]]:
     """Knots of a rising calibration: pooled adjacent violators, each pool's rate drawn to 1/2 by one row's weight."""
     pools: list[list[float]] = []
@@ -131,19 +148,17 @@ def _isotonic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tup
     return [*x, 1.0], [*y, 1.0]
 
 
-def _count_terms(docs: DataFrame, schema: str, n_keep: int) -> DataFrame:
-    """(kept columns, term, n): the text is the column after the kept ones."""
+def _count_terms(texts: DataFrame) -> pa.Table:
+    """(id, y, terms, counts) of each example, by id. texts: (id, y, text), fit()'s examples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                counts = [term_counts(t.as_py()) for t in part.column(n_keep)]
-                rows = np.repeat(np.arange(part.num_rows), [len(c) for c in counts])
-                columns = [c.take(pa.array(rows)) for c in part.columns[:n_keep]]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([t for c in counts for t in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int64())], names=[*part.schema.names[:n_keep], "term", "n"])
+            for i in range(b.num_rows):
+                counts = term_counts(b.column(2)[i].as_py())
+                lists = [pa.array([list(counts)], pa.list_(pa.string())), pa.array([list(counts.values())], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), *lists], names=["id", "y", "terms", "counts"])
 
-    return docs.mapInArrow(run, f"{schema}, term string, n long")
+    return texts.mapInArrow(run, "id long, y int, terms array<string>, counts array<long>").toArrow().sort_by("id").combine_chunks()
 
 
 def _apart(rows: list, distance: int = 11) -> list:
@@ -157,13 +172,13 @@ def _apart(rows: list, distance: int = 11) -> list:
     return [r for r, k in zip(rows, keep, strict=True) if k]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_terms: int = 256, k: int = 15, least_chi2: float = 24.0, least_lift: float = 3.0, least_share: float = 0.01, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 2048, k: int = 15, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit on at most max_examples labelled documents of each class, taken in order of a hash of their key.
 
-    A key with several labels counts as 1 if one of them is; null keys and labels are left out, as are labels
-    without a document. The vocabulary is the at most max_terms terms that stand out in class 1 over the examples:
-    by chi-square, in least_share of that class's, and least_lift times as frequent as in class 0. Of examples that are
-    copies of each other, exact or near, one counts, lest a copied text's rare words stand out. Examples with like terms are neighbours in the index. Document frequencies of these are counted over all documents.
+    A key with several labels counts as 1 if one of them is; null keys and labels are left out, as are labels without a document. Of
+    examples that are copies of each other, exact or near, one counts, lest a copied text's rare words stand out. The vocabulary is
+    all terms of the examples, words and stems. A term's weight is its idf, ln((1 + documents) / (1 + those with it)) + 1, counted over all documents, times its
+    relevance, log2(2 + (examples of label 1 with it - 1) / (examples of label 0 with it, of as many as of label 1, 1 at least)): 1 for a term that tells nothing.
     """
     spark = docs.sparkSession
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("id")).agg(F.max(label).cast("int").alias("y"))
@@ -173,60 +188,62 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_terms:
     sample = saved(sample[0].unionByName(sample[1]), "sample")
     texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.max("text").alias("text"))
     texts = saved(texts, "examples")
-    examples = _apart(texts.select("id", "y").join(simhash.fingerprints(texts, key="id"), "id").collect())
-    kept = spark.createDataFrame([(r.id,) for r in examples], "id long")
-    counted = saved(_count_terms(texts.join(F.broadcast(kept), "id").select("id", "y", "text"), "id long, y int", 2), "terms")
-    n = Counter(r.y for r in examples)
-    per = counted.groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
-    n1, n0 = float(n[1]), float(n[0])
-    chi2 = (n1 + n0) * (F.col("a") * n0 - F.col("b") * n1) ** 2 / F.lit(max(n1 * n0, 1.0)) / ((F.col("a") + F.col("b")) * F.greatest(F.lit(n1 + n0) - F.col("a") - F.col("b"), F.lit(0.5)))
-    chosen = per.withColumn("chi2", chi2).where((F.col("chi2") >= least_chi2) & (F.col("a") * n0 >= least_lift * F.col("b") * n1) & (F.col("a") >= F.lit(max(3.0, least_share * n1)))).orderBy(F.desc("chi2"), "term").limit(max_terms)
-    vocabulary = {r.term: i for i, r in enumerate(chosen.select("term").collect())}
-
+    kept = {r.id for r in _apart(texts.select("id", "y").join(simhash.fingerprints(texts, key="id"), "id").collect())}
+    counted = _count_terms(texts)
+    counted = counted.filter(pa.array([i in kept for i in counted.column("id").to_pylist()], pa.bool_())).combine_chunks()
+    y = counted.column("y").to_numpy().astype(np.int64)
+    sizes = np.array([len(x) for x in counted.column("terms")], np.int64)
+    words = counted.column("terms").combine_chunks().flatten().dictionary_encode() if len(y) else pa.array([], pa.string()).dictionary_encode()
+    numbers, counts = words.indices.to_numpy().astype(np.int64), counted.column("counts").combine_chunks().flatten().to_numpy() if len(y) else np.zeros(0, np.int64)
+    vocabulary = {t: i for i, t in enumerate(words.dictionary.to_pylist())}
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, rows, known = np.zeros(len(sent.value), np.int64), 0, sent.value
+        df, rows, reader = np.zeros(len(sent.value), np.int64), 0, Reader(sent.value)
         for b in batches:
             rows += b.num_rows
             for t in b.column(0):
-                for i in known_counts(t.as_py(), known):
-                    df[i] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(df))], pa.int32()), pa.array([rows, *df.tolist()], pa.int64())], names=["term", "n"])
-
-    df = dict(docs.select(text).mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n")).collect())
-    idf = [math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(vocabulary))]
-
-    found: dict[int, dict[int, int]] = {r.id: {} for r in examples}
-    wanted = spark.createDataFrame(list(vocabulary.items()), "term string, t int")
-    for r in counted.join(F.broadcast(wanted), "term").select("id", "t", "n").collect():
-        found[r.id][r.t] = r.n
-    weights = tuple(totals.get(y, 0) / n[y] if n[y] else 0.0 for y in (0, 1))
-    examples.sort(key=lambda r: (sorted(found[r.id].items()), r.id))
-    rate = lambda rows: (sum(weights[1] for r in rows if r.y) + 0.5) / (sum(weights[r.y] for r in rows) + 1)
-    model = Model(vocabulary, idf, [r.id for r in examples], [r.y for r in examples], None, weights, rate(examples), rate([r for r in examples if not found[r.id]]), k)
-    model.index = BlockMaxIndex([model.vector(found[i]) if found[i] else {} for i in model.ids], len(vocabulary))
-    if examples:
-        votes = np.array([model.vote(found[r.id], i)[0] for i, r in enumerate(examples)])
-        model.knots = _isotonic(votes, np.array([r.y for r in examples]), np.array([weights[r.y] for r in examples]))
+                df[reader(t.as_py())[0]] += 1
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, some), pa.int32()), pa.array(np.append(rows, df[some]), pa.int64())], names=["term", "n"])
+
+    found = docs.select(text).mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df, rows = np.zeros(len(vocabulary) + 1, np.int64), found.column("term").to_numpy()
+    df[rows] = found.column("n").to_numpy()  # the last, -1, is the number of documents
+    sent.unpersist()
+
+    n = np.bincount(y, minlength=2)
+    label_of = np.repeat(y, sizes)
+    ones, zeros = np.bincount(numbers[label_of == 1], minlength=len(vocabulary)), np.bincount(numbers[label_of == 0], minlength=len(vocabulary))
+    weight = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * np.log2(2 + np.maximum(ones - 1, 0) / np.maximum(zeros * n[1] / max(n[0], 1), 1))
+    parts = [np.argsort(x) + o for x, o in zip(np.split(numbers, np.cumsum(sizes)[:-1]), np.cumsum(sizes) - sizes, strict=True)] if len(y) else []
+    # Examples of one label with the same weightiest term lie side by side, so that blocks hold like examples.
+    heaviest = [int(numbers[p[np.argmax(weight[numbers[p]])]]) if len(p) else -1 for p in parts]
+    ids = counted.column("id").to_numpy() if len(y) else np.zeros(0, np.int64)
+    order = np.lexsort((ids, heaviest, y)) if len(y) else []
+    rows = [(numbers[parts[i]], counts[parts[i]]) for i in order]
+    weights = np.array([totals.get(v, 0) / n[v] if n[v] else 0.0 for v in (0, 1)])
+    index = BlockMaxIndex([(t, unit(weight[t], c)) for t, c in rows], len(vocabulary))
+    rate = float((weights[1] * n[1] + 0.5) / (weights @ n + 1))
+    model = Model(vocabulary, weight, ids[order], y[order], index, weights, rate, k)
+    if len(y):
+        model.knots = _isotonic(np.array([model.vote(t, c, i)[0] for i, (t, c) in enumerate(rows)]), model.labels, weights[model.labels])
     return model
 
 
 class Scorer:
-    """A model's scores of texts; texts with the same known terms are scored once, as far as a bounded memo goes."""
+    """A model's scores of texts; copies are scored once, as far as a bounded memo goes."""
 
-    def __init__(self, model: Model, memo: int = 50_000):
-        self.model, self.memo, self.known = model, memo, {}
+    def __init__(self, model: Model, memo: int = 20_000):
+        self.model, self.memo, self.known, self.reader = model, memo, {}, Reader(model.vocabulary)
 
     def __call__(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        m = self.model
-        counts = known_counts(text, m.vocabulary)
-        at = tuple(sorted(counts.items()))
+        m, at = self.model, xxhash.xxh128_digest((text or "").encode("utf-8", "surrogatepass"))
         if at not in self.known:
             if len(self.known) > self.memo:
                 self.known.clear()
-            vote, near = m.vote(counts)
-            self.known[at] = m.calibrated(vote), [(m.ids[i], m.labels[i], s) for s, i in near]
+            vote, similar, near = m.vote(*self.reader(text))
+            self.known[at] = m.calibrated(vote), list(zip(m.ids[near].tolist(), m.labels[near].tolist(), similar.tolist(), strict=True))
         return self.known[at]
 
 
