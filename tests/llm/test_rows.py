@@ -91,13 +91,27 @@ def test_urls_by_brute_force(spark):
     paths = ["", "/", "/en", "/en/", "/en/a", "/en/ab/c", "/en/b?x=/es/", "/es/#f", "/x", "/é?", "/\U0010ffff"]
     urls = [None, "", "no scheme/en/", "://", "http://", "a://b://com/en/"] + [f"http://{random.choice(hosts)}{random.choice(paths)}" for _ in range(600)]
     pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)], "page_id long, url string, rule string, key int")
-    got = {r.page_id: (r.url_host, r.url_path, r.url_rule, r.url_verdict) for r in url_filter.url_filter(pages, spark.createDataFrame([*rules, (None, "/", "block"), rules[0]], url_filter.RULES), rows_per_sweep=7).collect()}
+    got = {r.page_id: (r.url_host, r.url_path, r.url_rule, r.url_verdict) for r in url_filter.url_filter(pages, spark.createDataFrame([*rules, (None, "/", "block"), rules[0]], url_filter.RULES), ranges=7).collect()}
     assert got == {i: url_brute(u, rules) for i, u in enumerate(urls)}
     none = url_filter.url_filter(pages, spark.createDataFrame([], url_filter.RULES), default="block")
     assert {r.url_verdict for r in none.collect()} == {"block"} and none.count() == len(urls)
     assert url_filter.url_filter(pages.limit(0), spark.createDataFrame(rules, url_filter.RULES)).count() == 0
 
 
+def test_urls_of_nested_hosts_and_long_paths(spark):
+    random.seed(6)
+    labels, parts = ["a", "b", "com", "x-y"], ["/", "/a", "/a/b", "/é/", "/" + "p" * 2000]
+    host = lambda n: ".".join(random.choices(labels, k=n))
+    path = lambda n: "".join(random.choices(parts, k=n))
+    rules = list({(h, p): (h, p, random.choice(["allow", "block"])) for h, p in ((host(random.randint(1, 5)), path(random.randint(0, 3))) for _ in range(120))}.values())
+    urls = [f"https://{host(random.randint(1, 6))}{path(random.randint(0, 4))}" for _ in range(500)] + ["https://com/"] * 300 + ["none"] * 300
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.url_host, r.url_path, r.url_rule, r.url_verdict) for r in url_filter.url_filter(pages, spark.createDataFrame(rules, url_filter.RULES), ranges=11).collect()}
+    for i, u in enumerate(urls):
+        want = url_brute(u, rules)
+        assert got[i][:2] == want[:2] and got[i][3] == want[3] and (got[i][2] is None) == (want[2] is None) and len(got[i][2] or "") == len(want[2] or "")
+
+
 def fingerprint_brute(text, words=3):
     w = re.findall(r"[^\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
     shingles = [" ".join(w[i : i + words]) for i in range(len(w) - words + 1)] or ([" ".join(w)] if w else [])
@@ -579,7 +593,7 @@ def test_sketches_follow_the_angle():
 
 
 def test_even_join_by_brute_force(spark):
-    rows = [(7, i) for i in range(3000)] + [(i, i) for i in range(1000)] + [(None, 1)]
+    rows = [(7, i) for i in range(3000)] + [(950, i) for i in range(3000)] + [(i, i) for i in range(1000)] + [(None, 1)] * 2000
     left, right = common.saved(spark.createDataFrame(rows, "k long, x long"), "t"), spark.range(900).select(F.col("id").alias("k"), (F.col("id") * 2).alias("y"))
     for how, dropped in (("inner", True), ("left", False)):
         got = sorted(map(tuple, common.even_join(left, right, "k", how, 10).collect()), key=str)

@@ -49,8 +49,12 @@ def even_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", m
     read three times: a table."""
     total = left.agg((F.count("*") / F.lit(most)).alias("_bar"))
     hot = left.groupBy(key).agg(F.count("*").alias("_n")).join(F.broadcast(total), F.col("_n") > F.col("_bar")).select(key)
-    crowded = left.join(F.broadcast(right.join(F.broadcast(hot), key)), key)
-    return crowded.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, how))
+    hot = F.broadcast(hot.where(F.col(key).isNotNull()))
+    crowded = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, how)
+    out = crowded.unionByName(left.where(F.col(key).isNotNull()).join(hot, key, "left_anti").join(right, key, how))
+    if how == "left":  # rows without a key find none
+        out = out.unionByName(left.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(t).alias(c) for c, t in right.dtypes if c != key]))
+    return out
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lower_ascii, saved
+from .common import even_join, lower_ascii, saved
 
 RULES = T.StructType([T.StructField(c, T.StringType()) for c in ("host", "path", "verdict")])
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -24,7 +24,41 @@ def _canonical(host: Column) -> Column:
     return F.array_join(F.reverse(F.split(host, r"\.", -1)), ".")
 
 
-def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url", rows_per_sweep: int = 2_000) -> DataFrame:
+def _below(inner: DataFrame, keys: list[str], length: str, prefix: Column) -> DataFrame:
+    """(keys, below): the longest other rule whose `length` part of the last key is a prefix of a rule's own, if there is one. Only lengths
+    that the rules have are tried. `prefix` is the last key cut to `_n`."""
+    *group, last = keys
+    lengths = inner.groupBy(*group).agg(F.collect_set(length).alias("_lengths"))
+    tried = (inner.join(lengths, group) if group else inner.crossJoin(F.broadcast(lengths))).select(*keys, length, F.explode("_lengths").alias("_n")).where(F.col("_n") < F.col(length))
+    tried = tried.select(*group, F.col(last).alias("_own"), prefix.alias(last))
+    return tried.join(inner.select(*keys, length), keys).groupBy(*group, F.col("_own").alias(last)).agg(F.max_by(last, length).alias("below"))
+
+
+def _events(rules: DataFrame, group: list[str], start: Column, top: str) -> DataFrame:
+    """(group, key, kind, top): each rule's interval as two events, from its key to that key and byte FF, each with what it leaves on
+    top of the stack: the rule itself, or the one below it (\"\\0\" for none)."""
+    opened = F.struct(start.alias("key"), F.lit(0).alias("kind"), F.col(top).alias("top"))
+    closed = F.struct(F.concat(start, F.lit(bytes([255]))).alias("key"), F.lit(2).alias("kind"), F.coalesce("below", F.lit(NONE)).alias("top"))
+    return rules.select(*group, F.explode(F.array(opened, closed)).alias("e")).select(*group, "e.*")
+
+
+def _sweep(rows: DataFrame, order: list[str], ranges: int | None) -> DataFrame:
+    """rows with `top` filled from the last one before, in `order`. Rows are dealt to ranges of that order and swept in each; the
+    rule that lies on top at a range's border is carried over from the ranges before, which are as few as partitions."""
+    dealt = rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)
+    dealt = saved(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    ends = dealt.groupBy("_range").agg(F.max(F.when(F.col("top").isNotNull(), F.struct(*order, "top")))["top"].alias("_end"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.broadcast(ends.select("_range", F.last("_end", ignorenulls=True).over(before).alias("_carried")))
+    here = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    swept = dealt.withColumn("top", F.last("top", ignorenulls=True).over(here)).join(carried, "_range")
+    return swept.withColumn("top", F.coalesce("top", "_carried")).drop("_range", "_carried")
+
+
+NONE = "\0"
+
+
+def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url", ranges: int | None = None) -> DataFrame:
     """Judge each row of `pages` by the longest rule that fits its url; keeps all its columns and adds
     url_host, url_path, url_rule and url_verdict (columns of these names are replaced).
 
@@ -34,44 +68,38 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     left out. A null url, or one without `://`, has empty host and path and the default verdict, as
     has a url without a rule. Empty tables give an empty result, or all defaults.
 
-    Method: a url has one key for each suffix of its host that some rule names: reversed host, then
-    path. There, a rule is the interval from its own key to that key followed by byte FF, and the
-    intervals nest. The sweep runs in key order; the open rules form a stack, kept as links from each
-    rule to the one below it, so what an event leaves on top is known from the rules alone and a
-    url's rule is the last top seen before it. Sweeps are split: by host, and a host with many urls
-    into as many sweeps as its count asks for, each with all events of that host's rules.
+    Method: a prefix is an interval, from its key to that key followed by byte FF, and such intervals nest. A rule is one
+    interval of reversed hosts, which end with a dot, and within these one of paths; as a rule's path holds for all subdomains, it is
+    no single interval of host and path together. So there are two sorted sweeps of the same kind. The first runs over reversed hosts: the stack
+    of open rules' hosts tells which hosts' rules may fit. The second runs over keys of such a host, reversed, and the url's path: its top is
+    the host's longest rule that fits. What an event leaves on top is known from the rules alone; a url takes the last top before it, which
+    is carried over the borders of the ranges that rows are dealt to (`ranges`, Spark's number of shuffle partitions where none is given).
     """
     rules = rules.dropna(subset=["host", "path", "verdict"])
     rules = rules.groupBy(lower_ascii(F.col("host")).alias("r_host"), F.col("path").alias("r_path")).agg(F.max("verdict").alias("r_verdict"))
-    rules = rules.select("r_host", _canonical(F.col("r_host")).alias("rev"), "r_path", "r_verdict")
-
-    # The stack's links: below a rule lies the longest other rule of its host whose path is a prefix of its own.
-    prefixes = rules.select("rev", F.col("r_path").alias("above"), F.explode(F.expr("transform(sequence(0, length(r_path)), n -> substring(r_path, 1, n))")).alias("r_path")).where("r_path != above")
-    below = prefixes.join(rules.select("rev", "r_path"), ["rev", "r_path"]).groupBy("rev", F.col("above").alias("r_path")).agg(F.max_by("r_path", F.length("r_path")).alias("below"))
-    stacked = rules.join(below, ["rev", "r_path"], "left")
-    hosts = rules.groupBy("rev", "r_host").agg(F.size(F.split(F.first("r_host"), r"\.", -1)).alias("labels"), F.count("*").alias("n_rules"))
-    # Suffixes longer than any rule's host can't fit; this one number bounds the keys of a url.
-    deepest = hosts.agg(F.max("labels")).first()[0] or 0
-
-    urls = pages.select(url_host(F.col(url)).alias("url_host"), url_path(F.col(url)).alias("url_path")).distinct()
-    suffixes = F.expr(f"transform(sequence(1, least(size(split(url_host, '\\\\.', -1)), {max(deepest, 1)})), n -> array_join(reverse(slice(split(url_host, '\\\\.', -1), -n, n)), '.'))")
-    keys = urls.select("url_host", "url_path", F.explode(suffixes).alias("rev"), F.xxhash64("url_host", "url_path").alias("salt")).join(hosts.select("rev", "n_rules"), "rev")
-    # A row per host with rules; as a table, its size tells Spark whether to send it whole. A sweep has at least as many
-    # urls as rules, so that the rules' copies are never more than the urls.
-    sweeps = keys.groupBy("rev").agg(F.ceil(F.count("*") / F.greatest(F.max("n_rules"), F.lit(rows_per_sweep))).cast("int").alias("sweeps"))
-    sweeps = saved(sweeps, "sweeps")
-    keys = keys.join(sweeps, "rev").select("rev", F.expr("cast(pmod(salt, sweeps) as int)").alias("sweep"), F.encode("url_path", "UTF-8").alias("key"), F.lit(1).alias("kind"), "url_host", "url_path", F.lit(None).cast("string").alias("top"))
-
-    opened = F.struct(F.encode("r_path", "UTF-8").alias("key"), F.lit(0).alias("kind"), F.col("r_path").alias("top"))
-    closed = F.struct(F.concat(F.encode("r_path", "UTF-8"), F.lit(bytes([255]))).alias("key"), F.lit(2).alias("kind"), F.coalesce("below", F.lit("\0none")).alias("top"))
-    each = stacked.join(sweeps, "rev").withColumn("sweep", F.explode(F.expr("sequence(0, sweeps - 1)")))
-    events = each.select("rev", "sweep", F.explode(F.array(opened, closed)).alias("e"))
+    rules = rules.select("r_host", F.concat(_canonical(F.col("r_host")), F.lit(".")).alias("rev"), "r_path", "r_verdict")
+    hosts = rules.select("rev").distinct().withColumn("labels", F.size(F.split("rev", r"\.", -1)))
+    cut = F.concat(F.array_join(F.slice(F.split("rev", r"\.", -1), F.lit(1), F.col("_n") - 1), "."), F.lit("."))
+    under = hosts.join(_below(hosts, ["rev"], "labels", cut), "rev", "left")
+    # A host's stack: itself and the rules' hosts that are its prefixes.
+    shorter = hosts.select("rev", F.explode(F.sequence(F.lit(2), F.col("labels"))).alias("_n")).select(F.col("rev").alias("top"), cut.alias("rev")).join(hosts.select("rev"), "rev", "left_semi")
+    stacks = shorter.groupBy("top").agg(F.collect_set("rev").alias("stack"))
+
+    seen = pages.select(url_host(F.col(url)).alias("url_host"), url_path(F.col(url)).alias("url_path"))
+    urls = saved(seen.distinct(), "urls")
     none = F.lit(None).cast("string")
-    events = events.select("rev", "sweep", "e.key", "e.kind", none.alias("url_host"), none.alias("url_path"), "e.top")
-
-    # Of two intervals that end on the same key none exists: an end is its rule's key and byte FF.
-    sweep = Window.partitionBy("rev", "sweep").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    fits = keys.unionByName(events).withColumn("r_path", F.last("top", ignorenulls=True).over(sweep)).where("kind = 1 and r_path is not null and r_path != '\\0none'")
+    named = urls.select("url_host").distinct().select(F.encode(F.concat(_canonical(F.col("url_host")), F.lit(".")), "UTF-8").alias("key"), F.lit(1).alias("kind"), none.alias("top"), "url_host")
+    events = _events(under, [], F.encode("rev", "UTF-8"), "rev").withColumn("url_host", none)
+    within = _sweep(named.unionByName(events), ["key", "kind"], ranges).where(F.col("kind") == 1).where(F.col("top") != NONE).select("url_host", "top")
+    within = even_join(saved(within, "hosts"), stacks, "top").select("url_host", "stack")
+
+    paths = rules.withColumn("_length", F.length("r_path"))
+    below = _below(paths.select("rev", "r_path", "_length"), ["rev", "r_path"], "_length", F.expr("substring(r_path, 1, _n)"))
+    events = _events(rules.join(below, ["rev", "r_path"], "left"), ["rev"], F.encode("r_path", "UTF-8"), "r_path").withColumns({"url_host": none, "url_path": none})
+    keys = even_join(urls, within, "url_host").select(F.explode("stack").alias("rev"), F.encode("url_path", "UTF-8").alias("key"), F.lit(1).alias("kind"), none.alias("top"), "url_host", "url_path")
+    # Of urls with one key the host decides, so that a range may end among them.
+    fits = _sweep(keys.unionByName(events), ["rev", "key", "kind", "url_host"], ranges).where(F.col("kind") == 1).where(F.col("top") != NONE).withColumnRenamed("top", "r_path")
     found = fits.join(rules, ["rev", "r_path"]).groupBy("url_host", "url_path").agg(F.max(F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))).alias("best"))
-    out = pages.drop("url_host", "url_path", "url_rule", "url_verdict").withColumns({"url_host": url_host(F.col(url)), "url_path": url_path(F.col(url))})
-    return out.join(found.select("url_host", "url_path", F.col("best.rule").alias("url_rule"), F.col("best.verdict").alias("url_verdict")), ["url_host", "url_path"], "left").withColumn("url_verdict", F.coalesce("url_verdict", F.lit(default)))
+    found = found.select(F.struct("url_host", "url_path").alias("_url"), F.col("best.rule").alias("url_rule"), F.col("best.verdict").alias("url_verdict"))
+    out = pages.drop("url_host", "url_path", "url_rule", "url_verdict").withColumns({"url_host": url_host(F.col(url)), "url_path": url_path(F.col(url))}).withColumn("_url", F.struct("url_host", "url_path"))
+    return even_join(out, saved(found, "verdicts"), "_url", "left").drop("_url").withColumn("url_verdict", F.coalesce("url_verdict", F.lit(default)))
