@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -391,16 +392,18 @@ def test_block_max_is_exact():
     rng = random.Random(7)
     vectors = []
     for _ in range(500):
-        v = {t: rng.random() for t in sorted(rng.sample(range(30), rng.randint(1, 6)))}
+        v = {t: rng.random() for t in sorted({int(30 * rng.random() ** 2) for _ in range(rng.randint(1, 6))})}
         n = math.sqrt(sum(x * x for x in v.values()))
         vectors.append({t: x / n for t, x in v.items()})
     vectors.sort(key=lambda v: max(v, key=v.get))
     arrays = [(np.array(list(v)), np.array(list(v.values()))) for v in vectors]
     index = toxicity.BlockMaxIndex(arrays, 30, block=16)
-    for q, (terms, weights) in zip(vectors[::8], arrays[::8]):
+    asked = [*arrays[::8], (np.zeros(0, np.int64), np.zeros(0))]
+    found = index.nearest(np.concatenate([t for t, _ in asked]), np.concatenate([w for _, w in asked]), np.cumsum([0, *(len(t) for t, _ in asked)]), 7)
+    assert len(found[-1][0]) == 0 and 0 < len(index.table) < 30
+    for q, (similar, ids) in zip(vectors[::8], found):
         scores = [(round(sum(q[t] * v.get(t, 0) for t in q), 9), i) for i, v in enumerate(vectors)]
         want = sorted((x for x in scores if x[0] > 0), key=lambda x: (-x[0], x[1]))[:7]
-        similar, ids = index.nearest(terms, weights, 7)
         assert ids.tolist() == [w[1] for w in want] and all(abs(g - w[0]) < 1e-8 for g, w in zip(similar, want))
     assert index.visited < 0.8 * len(vectors[::8]) * index.n_blocks
 
@@ -413,7 +416,14 @@ def test_toxicity_by_brute_force(spark):
     labels = [(i, int("rotten" in t and rng.random() < 0.9)) for i, t in docs if i % 2]
     model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), k=5)
     counts = {i: toxicity.term_counts(t) for i, t in docs}
-    assert counts[0] == {w: n for w, n in counts[0].items()} and toxicity.term_counts("Rottenly") == {"rottenly": 1, "rott-": 1, "rotte-": 1}
+    assert toxicity.term_counts("Rottenly, (\u00c9COLE) x_1 x_1") == {"rottenly": 1, "rott-": 1, "rotte-": 1, "école": 1, "écol-": 1, "x_1": 2} and toxicity.term_counts(None) == {}
+    texts = pa.array([t for _, t in docs] + [None, "", "zeta " * 3000], pa.string())
+    known = sorted({t for c in counts.values() for t in c} - {"deltas"})
+    terms, n, starts = toxicity.read_terms(texts, pa.array(known))
+    for i, (_, t) in enumerate(docs):
+        at = slice(starts[i], starts[i + 1])
+        assert {known[x]: c for x, c in zip(terms[at], n[at])} == {x: c for x, c in counts[docs[i][0]].items() if x != "deltas"}
+    assert starts[-1] == starts[-4] and list(toxicity.slices(texts, 50, 400))[-1][1] == len(texts)
     label = dict(labels)
     ids = model.ids.tolist()
     n = [sum(label[i] == v for i in ids) for v in (0, 1)]

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,42 +15,52 @@ from pyspark.sql import functions as F
 from . import simhash
 from .common import saved
 
-_TERM = re.compile(r"\w+")
+_GAP = r"[^\p{L}\p{N}_]+"
 
 
 #: Inflected words share stems: a word's first characters, as many as these, are terms as well, marked by a dash.
 STEMS = (4, 5)
 
 
-def term_counts(text: str | None) -> Counter[str]:
-    """Lower-cased words and their stems, each with its number."""
-    out = Counter(_TERM.findall((text or "").lower()))
-    for word, n in list(out.items()):
-        for size in STEMS:
-            if len(word) > size:
-                out[word[:size] + "-"] += n
-    return out
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of all words of the texts, lower-cased, in turn: the text, and the number of the word; and the different words, then their
+    stems of each size, null where there is none."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), _GAP)
+    words = lists.flatten().dictionary_encode()
+    different = words.dictionary
+    stems = [pc.if_else(pc.greater(pc.utf8_length(different), n), pc.binary_join_element_wise(pc.utf8_slice_codeunits(different, 0, n), "-", ""), pa.scalar(None, different.type)) for n in STEMS]
+    of = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    return of, words.indices.to_numpy(), pa.concat_arrays([pc.if_else(pc.equal(different, ""), pa.scalar(None, different.type), different), *stems])
+
 
+def read_terms(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vocabulary's terms in each text: their numbers, rising, how often each occurs, and where each text's begin and the last one's end."""
+    of, word, terms = _words(texts)
+    known = pc.fill_null(pc.index_in(terms, value_set=vocabulary), -1).to_numpy().astype(np.int64).reshape(1 + len(STEMS), -1)
+    found = known[:, word]
+    at, counts = np.unique((of * np.int64(len(vocabulary)) + found)[found >= 0], return_counts=True)
+    return at % max(len(vocabulary), 1), counts, np.searchsorted(at, np.arange(len(texts) + 1) * np.int64(len(vocabulary)))
 
-class Reader:
-    """term_counts() of the vocabulary's terms, by number. A word's terms are looked up once, as far as a bounded memo goes."""
 
-    def __init__(self, vocabulary: dict[str, int], memo: int = 200_000):
-        self.vocabulary, self.memo, self.known = vocabulary, memo, {}
+def slices(texts: pa.Array, rows: int = 1024, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts, of up to so many and about so many bytes, or of one text."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)), 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size))))
+        yield at, to
+        at = to
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the terms, rising, and how often each occurs."""
-        at, n = [], []
-        for word, count in Counter(_TERM.findall((text or "").lower())).items():
-            if (terms := self.known.get(word)) is None:
-                if len(self.known) >= self.memo:
-                    self.known.clear()
-                found = (self.vocabulary.get(t) for t in (word, *[word[:size] + "-" for size in STEMS if len(word) > size]))
-                terms = self.known[word] = tuple(t for t in found if t is not None)
-            at += terms
-            n += [count] * len(terms)
-        terms, place = np.unique(np.array(at, np.int64), return_inverse=True)
-        return terms, np.bincount(place, n, len(terms)).astype(np.int64)
+
+def term_counts(text: str | None) -> dict[str, int]:
+    """Lower-cased words and their stems, each with its number."""
+    _, word, terms = _words(pa.array([text], pa.string()))
+    out, names, n = {}, terms.to_pylist(), len(terms) // (1 + len(STEMS))
+    for w, c in zip(*(x.tolist() for x in np.unique(word, return_counts=True)), strict=True):
+        for t in names[w::n]:
+            if t is not None:
+                out[t] = out.get(t, 0) + c
+    return out
 
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -61,49 +70,78 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Exact k nearest of unit vectors by cosine. Postings lie by term and block of examples, with the largest weight of each term
-    in each block. Blocks are read in order of their bound, the sum of these weights; one whose bound is under the k-th similarity ends the search."""
+    """Exact k nearest of unit vectors by cosine, for a batch of texts at a time. Postings lie by term and block of examples, with the
+    largest weight of each term in each block; those of terms that over 1 / 16 of the examples have lie as a table. A block's bound
+    for a text is the sum of these weights. A text's block of the highest bound is read first, then all others whose bound isn't under its k-th similarity."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 128):
-        self.size, self.n_blocks, self.visited = len(vectors), max(1, -(-len(vectors) // block)), 0
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 256):
+        self.size, self.block, self.n_blocks, self.visited = len(vectors), block, max(1, -(-len(vectors) // block)), 0
         terms = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)])
         weights = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
         example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
         order = np.lexsort((example, terms))
-        terms, self.example, self.weight = terms[order], example[order].astype(np.int32), weights[order]
-        lists = terms * self.n_blocks + self.example // block
-        first = np.flatnonzero(np.diff(lists, prepend=-1))
-        self.block, self.starts = lists[first] % self.n_blocks, np.append(first, len(lists))
-        self.largest = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.of_term = np.searchsorted(lists[first] // self.n_blocks, np.arange(n_terms + 1))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Similarities and numbers of the k most similar examples with a similarity over 0; ties by the smaller number."""
-        starts, ends = self.of_term[terms], self.of_term[terms + 1]
-        lists, query = _ranges(starts, ends), np.repeat(weights, ends - starts)
-        bounds = np.bincount(self.block[lists], query * self.largest[lists], self.n_blocks)
-        blocks = np.lexsort((np.arange(self.n_blocks), -bounds))
-        best, ids, at, step = np.zeros(0), np.zeros(0, np.int64), 0, 2
-        while at < len(blocks) and (bound := bounds[blocks[at]]) > 0 and not (len(best) == k and bound < best[-1] - 1e-9):
-            wave = np.zeros(self.n_blocks, bool)
-            wave[blocks[at : at + step]] = True
-            self.visited += int(wave.sum())
-            mine = wave[self.block[lists]]
-            here = lists[mine]
-            postings = _ranges(self.starts[here], self.starts[here + 1])
-            scores = np.bincount(self.example[postings], np.repeat(query[mine], self.starts[here + 1] - self.starts[here]) * self.weight[postings], self.size)
-            new = np.flatnonzero(scores > (best[-1] - 1e-9 if len(best) == k else 0))
-            best, ids = np.concatenate([best, np.round(scores[new], 9)]), np.concatenate([ids, new])
-            keep = np.lexsort((ids, -best))[:k]
-            best, ids, at, step = best[keep], ids[keep], at + step, step * 4
-        return best, ids
+        terms, example, weights = terms[order], example[order], weights[order]
+        lists = terms * self.n_blocks + example // block
+        self.largest = np.zeros((n_terms, self.n_blocks))
+        if len(first := np.flatnonzero(np.diff(lists, prepend=-1))):
+            self.largest.reshape(-1)[lists[first]] = np.maximum.reduceat(weights, first)
+        common = np.bincount(terms, minlength=n_terms) * 16 > self.size
+        self.row = np.where(common, np.cumsum(common) - 1, -1).astype(np.int32)
+        self.table = np.zeros((int(common.sum()), self.size))
+        many = common[terms]
+        self.table[self.row[terms[many]], example[many]] = weights[many]
+        self.example, self.weight = example[~many].astype(np.int32), weights[~many]
+        self.starts = np.searchsorted(lists[~many], np.arange(n_terms * self.n_blocks + 1)).astype(np.int32)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, starts: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text, similarities and numbers of the k most similar examples with a similarity over 0; ties by the smaller
+        number. Text i has the terms from starts[i] to starts[i + 1]."""
+        n = len(starts) - 1
+        text = np.repeat(np.arange(n), np.diff(starts))
+        bounds = np.zeros((n, self.n_blocks))
+        if len(some := np.flatnonzero(np.diff(starts))):
+            bounds[some] = np.add.reduceat(weights[:, None] * self.largest[terms], starts[some], axis=0)
+        row = self.row[terms]
+        query = np.zeros((n, len(self.table)))
+        query[text[row >= 0], row[row >= 0]] = weights[row >= 0]
+        text, terms, weights = text[row < 0], terms[row < 0], weights[row < 0]
+        scores = np.zeros((n, self.size))
+
+        def read(b: int, mine: np.ndarray) -> None:
+            at, first, last = np.flatnonzero(mine), b * self.block, min((b + 1) * self.block, self.size)
+            if not len(at) or first >= last:
+                return
+            self.visited += len(at)
+            place = np.cumsum(mine) - 1
+            here = np.flatnonzero(mine[text])
+            begin, end = self.starts[terms[here] * self.n_blocks + b], self.starts[terms[here] * self.n_blocks + b + 1]
+            postings = _ranges(begin.astype(np.int64), end.astype(np.int64))
+            flat = np.repeat(place[text[here]] * (last - first), end - begin) + (self.example[postings] - first)
+            rare = np.bincount(flat, np.repeat(weights[here], end - begin) * self.weight[postings], len(at) * (last - first))
+            scores[at, first:last] = query[at] @ self.table[:, first:last] + rare.reshape(len(at), -1)
+
+        best = bounds.argmax(1)
+        for b in range(self.n_blocks):
+            read(b, (best == b) & (bounds[:, b] > 0))
+        floor = np.partition(scores, -k, axis=1)[:, -k] if self.size >= k else np.zeros(n)
+        for b in range(self.n_blocks):
+            read(b, (best != b) & (bounds[:, b] > 0) & (bounds[:, b] >= floor - 1e-9))
+        floor = np.partition(scores, -k, axis=1)[:, -k] - 1e-9 if self.size >= k else np.zeros(n)
+        out = []
+        for i in range(n):
+            ids = np.flatnonzero((scores[i] > 0) & (scores[i] >= floor[i]))
+            similar = np.round(scores[i, ids], 9)
+            keep = np.lexsort((ids, -similar))[:k]
+            keep = keep[similar[keep] > 0]
+            out.append((similar[keep], ids[keep]))
+        return out
 
 
 @dataclass
 class Model:
     """Fitted by fit(); its size is bounded by the terms of fit()'s max_examples texts."""
 
-    vocabulary: dict[str, int]
+    vocabulary: pa.Array
     weight: np.ndarray  # of each term: its idf and relevance
     ids: np.ndarray
     labels: np.ndarray
@@ -113,14 +151,17 @@ class Model:
     k: int
     knots: tuple[list[float], list[float]] = ((0.0, 1.0), (0.0, 1.0))
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """Neighbours vote with weights 1 / (distance + 0.1), and the rate of label 1 with the weight of one at distance 0.9. A text without known terms has no neighbours."""
-        if not len(terms):
-            return self.rate, np.zeros(0), np.zeros(0, np.int64)
-        similar, near = self.index.nearest(terms, unit(self.weight[terms], counts), self.k + (without >= 0))
-        similar, near = similar[near != without][: self.k], near[near != without][: self.k]
-        w = self.weights[self.labels[near]] / (1.1 - np.minimum(similar, 1.0))
-        return float((self.rate + (w * self.labels[near]).sum()) / (1 + w.sum())), similar, near
+    def votes(self, terms: np.ndarray, counts: np.ndarray, starts: np.ndarray, without: np.ndarray | None = None) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """For each text its vote, and its neighbours' similarities and numbers; without: an example for each text that is none of them. Neighbours vote with
+        weights 1 / (distance + 0.1), and the rate of label 1 with the weight of one at distance 0.9. A text without known terms has no neighbours."""
+        weights = self.weight[terms] * (1 + np.log(counts))
+        length = np.sqrt(np.bincount(np.repeat(np.arange(len(starts) - 1), np.diff(starts)), weights * weights, len(starts) - 1))
+        weights = weights / np.repeat(np.maximum(length, 1e-300), np.diff(starts))
+        for i, (similar, near) in enumerate(self.index.nearest(terms, weights, starts, self.k + (without is not None))):
+            if without is not None:
+                similar, near = similar[near != without[i]][: self.k], near[near != without[i]][: self.k]
+            w = self.weights[self.labels[near]] / (1.1 - np.minimum(similar, 1.0))
+            yield float((self.rate + (w * self.labels[near]).sum()) / (1 + w.sum())), similar, near
 
     def calibrated(self, vote: float) -> float:
         return float(np.interp(vote, *self.knots))
@@ -154,7 +195,7 @@ def _count_terms(texts: DataFrame) -> pa.Table:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                counts = term_counts(b.column(2)[i].as_py())
+                counts = dict(sorted(term_counts(b.column(2)[i].as_py()).items()))
                 lists = [pa.array([list(counts)], pa.list_(pa.string())), pa.array([list(counts.values())], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), *lists], names=["id", "y", "terms", "counts"])
 
@@ -172,7 +213,7 @@ def _apart(rows: list, distance: int = 11) -> list:
     return [r for r, k in zip(rows, keep, strict=True) if k]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 2048, k: int = 15, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 1024, k: int = 15, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit on at most max_examples labelled documents of each class, taken in order of a hash of their key.
 
     A key with several labels counts as 1 if one of them is; null keys and labels are left out, as are labels without a document. Of
@@ -195,15 +236,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 2048, k: int = 1
     sizes = np.array([len(x) for x in counted.column("terms")], np.int64)
     words = counted.column("terms").combine_chunks().flatten().dictionary_encode() if len(y) else pa.array([], pa.string()).dictionary_encode()
     numbers, counts = words.indices.to_numpy().astype(np.int64), counted.column("counts").combine_chunks().flatten().to_numpy() if len(y) else np.zeros(0, np.int64)
-    vocabulary = {t: i for i, t in enumerate(words.dictionary.to_pylist())}
+    vocabulary = words.dictionary
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, rows, reader = np.zeros(len(sent.value), np.int64), 0, Reader(sent.value)
+        df, rows = np.zeros(len(sent.value), np.int64), 0
         for b in batches:
             rows += b.num_rows
-            for t in b.column(0):
-                df[reader(t.as_py())[0]] += 1
+            for at, to in slices(b.column(0)):
+                df += np.bincount(read_terms(b.column(0).slice(at, to - at), sent.value)[0], minlength=len(df))
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, some), pa.int32()), pa.array(np.append(rows, df[some]), pa.int64())], names=["term", "n"])
 
@@ -227,7 +268,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 2048, k: int = 1
     rate = float((weights[1] * n[1] + 0.5) / (weights @ n + 1))
     model = Model(vocabulary, weight, ids[order], y[order], index, weights, rate, k)
     if len(y):
-        model.knots = _isotonic(np.array([model.vote(t, c, i)[0] for i, (t, c) in enumerate(rows)]), model.labels, weights[model.labels])
+        told: list[float] = []
+        for at in range(0, len(rows), 512):
+            part = rows[at : at + 512]
+            starts = np.cumsum([0, *(len(t) for t, _ in part)])
+            told += [v for v, _, _ in model.votes(np.concatenate([t for t, _ in part]), np.concatenate([c for _, c in part]), starts, np.arange(at, at + len(part)))]
+        model.knots = _isotonic(np.array(told), model.labels, weights[model.labels])
     return model
 
 
@@ -235,16 +281,20 @@ class Scorer:
     """A model's scores of texts; copies are scored once, as far as a bounded memo goes."""
 
     def __init__(self, model: Model, memo: int = 20_000):
-        self.model, self.memo, self.known, self.reader = model, memo, {}, Reader(model.vocabulary)
+        self.model, self.memo, self.known = model, memo, {}
 
-    def __call__(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        m, at = self.model, xxhash.xxh128_digest((text or "").encode("utf-8", "surrogatepass"))
-        if at not in self.known:
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[float, list[tuple[int, int, float]]]]:
+        m = self.model
+        for first, last in slices(texts):
+            part = texts.slice(first, last - first)
+            digests = [xxhash.xxh128_digest((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in part]
             if len(self.known) > self.memo:
                 self.known.clear()
-            vote, similar, near = m.vote(*self.reader(text))
-            self.known[at] = m.calibrated(vote), list(zip(m.ids[near].tolist(), m.labels[near].tolist(), similar.tolist(), strict=True))
-        return self.known[at]
+            new = list({d: i for i, d in enumerate(digests) if d not in self.known}.values())
+            terms, counts, starts = read_terms(part.take(pa.array(new, pa.int64())), m.vocabulary)
+            for i, (vote, similar, near) in zip(new, m.votes(terms, counts, starts), strict=True):
+                self.known[digests[i]] = m.calibrated(vote), list(zip(m.ids[near].tolist(), m.labels[near].tolist(), similar.tolist(), strict=True))
+            yield from (self.known[d] for d in digests)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,7 +307,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for b in batches:
-            found = [scorer(t.as_py()) for t in b.column(1)]
+            found = list(scorer(b.column(1)))
             near = [[{"doc_id": i, "label": y, "similarity": c} for i, y, c in e] for _, e in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= 0.5) for s, _ in found], pa.int32()), pa.array(near, evidence)], names=["id", "score", "predicted", "evidence"])
 
@@ -272,7 +322,7 @@ def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for b in batches:
-            yield b.filter(pa.array([scorer(t.as_py())[0] < 0.5 for t in b.column(at)], pa.bool_()))
+            yield b.filter(pa.array([x < 0.5 for x, _ in scorer(b.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
