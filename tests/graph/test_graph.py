@@ -81,7 +81,7 @@ def test_two_triangles(spark):
     assert pairs_of(G.contracted_edges(edges, c, 3)) == [(-1003, -1000), (-1000, -1003)]
     assert [tuple(r) for r in G.local_stats(g, c, 3).orderBy("community_id").collect()] == [(0, 3, 7, 1, 0), (3, 3, 7, 1, 0)]
     assert abs(G.modularity(c, edges).first()[0] - (12 / 14 - 0.5)) < 1e-9
-    assert {frozenset(r.id for r in x) for x in _groups(G.louvain_moves(g.nodes, edges))} == {frozenset({0, 1, 2}), frozenset({3, 4, 5}), frozenset({6})}
+    assert {frozenset(r.id for r in x) for x in _groups(G.louvain(g.nodes, edges))} == {frozenset({0, 1, 2}), frozenset({3, 4, 5}), frozenset({6})}
     for f in (lambda: G.min_size(c, 3, "x"), lambda: G.boundary(edges, c, "x"), lambda: G.centroids(g, c, 3, "x")):
         with pytest.raises(ValueError):
             f()
@@ -208,7 +208,6 @@ def test_training(spark):
         assert all(r.trained and r.comm_test_acc > 0.5 for r in learn.train_communities(g, c, 3, hidden=16, epochs=40, model=model, dropout=0.1).collect()), model
     whole = learn.train_communities(g, learn.whole_graph(g), 3, epochs=60).collect()
     assert len(whole) == 1 and whole[0].n_nodes == n and whole[0].comm_test_acc > 0.6
-    assert learn.whole_graph(g, 50).groupBy("community_id").count().count() == 3
     runs = learn.over_runs([learn.train_communities(g, c, 3, epochs=5, seed=s) for s in (1, 2)], "comm_test_acc", "n_test").first()
     assert runs.runs == 2 and 0 <= runs.mean <= 1 and runs.std >= 0
 
@@ -365,3 +364,201 @@ def test_baselines_are_one_model(spark, monkeypatch):
     pdf = pd.DataFrame({"id": [0, 1, 2, 3], "neighbors": [[1, 2, 3], [2, 3], [3], []], "features": [[1.0, 0.0]] * 4, "label": [0] * 4, "is_core": [True] * 4, "split": ["train"] * 4})
     sent = lambda most: len(learn._arrays(pdf, 2, 42, False, most)[5])
     assert (sent(None), sent(2)) == (16, 8)
+
+
+def _modularity(edges, c, w=None):
+    m2 = 2 * len(edges)
+    inside = 2 * sum(c[a] == c[b] for a, b in edges)
+    degree = {}
+    for a, b in edges:
+        for x in (a, b):
+            degree[c[x]] = degree.get(c[x], 0) + 1
+    return inside / m2 - sum((d / m2) ** 2 for d in degree.values())
+
+
+def _louvain_brute(n, edges):
+    """Single moves, then merges of communities, until neither gains."""
+    c = list(range(n))
+    while True:
+        best, was = _modularity(edges, c), list(c)
+        for v in range(n):
+            for x in {c[b] if a == v else c[a] for a, b in edges if v in (a, b)}:
+                after = [*c[:v], x, *c[v + 1 :]]
+                if (q := _modularity(edges, after)) > best + 1e-12:
+                    c, best = after, q
+        if c == was:
+            for x, y in {(c[a], c[b]) for a, b in edges if c[a] != c[b]}:
+                after = [x if z == y else z for z in c]
+                if (q := _modularity(edges, after)) > best + 1e-12:
+                    c, best = after, q
+            if c == was:
+                return best
+
+
+def _blocks(seed, sizes, inside, outside):
+    rng = random.Random(seed)
+    of = [k for k, n in enumerate(sizes) for _ in range(n)]
+    return len(of), [(a, b) for a in range(len(of)) for b in range(a) if rng.random() < (inside if of[a] == of[b] else outside)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_louvain_and_leiden_levels(spark, seed):
+    n, pairs = _blocks(seed, [8, 8, 8, 8], 0.7, 0.06)
+    edges = G.saved(G.symmetrize(frame(spark, pairs)), "e")
+    want = _louvain_brute(n, pairs)
+    for refine in (False, True):
+        c = {r.id: r.community_id for r in G.louvain(ids(spark, n + 2), edges, refine=refine).collect()}
+        assert len(c) == n + 2 and c[n] == n and all(c[v] <= v for v in c)
+        assert _modularity(pairs, c) >= 0.98 * want
+        reach = lambda x, c=c: _reached(next(v for v in c if c[v] == x), {v for v in c if c[v] == x}, pairs)
+        assert not refine or all(len(reach(x)) == sum(y == x for y in c.values()) for x in set(c.values()))  # each is connected
+
+
+def _reached(start, members, pairs):
+    seen, todo = {start}, [start]
+    while todo:
+        v = todo.pop()
+        for a, b in pairs:
+            for x, y in ((a, b), (b, a)):
+                if x == v and y in members and y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+    return seen
+
+
+def test_kway_moves_lower_the_cut(spark):
+    n, pairs = _blocks(3, [20, 20, 20, 20], 0.5, 0.02)
+    edges = G.saved(G.symmetrize(frame(spark, pairs)), "e")
+    before, after = G.balanced_parts(ids(spark, n), 4), G.kway_parts(ids(spark, n), edges, 4, rounds=6)
+    sizes = [r["count"] for r in after.groupBy("community_id").count().collect()]
+    assert len(sizes) == 4 and sum(sizes) == n and max(sizes) <= 21
+    assert G.edge_cut(after, edges) < 0.8 * G.edge_cut(before, edges)
+
+
+@pytest.mark.parametrize("kind", ["sage", "gat", "transformer", "clusterscl"])
+def test_link_gradient(kind):
+    rng = np.random.default_rng(5)
+    net = models.LinkNetwork(kind, 4, 8, seed=1)
+    x, edges, others = rng.normal(size=(6, 4)), np.array([(0, 1), (1, 2), (3, 4)]), np.array([(0, 3), (2, 5)])
+    src, dst = np.array([0, 1, 1, 2, 3, 4]), np.array([1, 0, 2, 1, 4, 3])
+    _, grad = net.link_loss(x, src, dst, edges, others)
+    for k in net.w:
+        for at in [tuple(rng.integers(0, d) for d in net.w[k].shape) for _ in range(3)]:
+            was, h, side = net.w[k][at], 1e-5, []
+            for step in (h, -h):
+                net.w[k][at] = was + step
+                side.append(net.link_loss(x, src, dst, edges, others)[0])
+            net.w[k][at] = was
+            assert abs((side[0] - side[1]) / (2 * h) - grad[k][at]) < 1e-5, k
+
+
+def test_links_are_held_out(monkeypatch):
+    """Test edges pass no messages, neither way; pairs drawn are no edges; the split is that of link_split()."""
+    rng = np.random.default_rng(6)
+    n, of = 80, np.arange(80) % 2
+    pairs = np.array([(a, b) for a in range(n) for b in range(n) if a != b and of[a] == of[b] and (a + b) % 3 == 0])
+    part = learn.link_parts(np.arange(n) * 7, pairs, 42)
+    assert sum(map(len, part.values())) * 2 == len(pairs) and len(np.unique(np.concatenate(list(part.values())), axis=0)) * 2 == len(pairs)
+    seen = []
+    fit = models.LinkNetwork.fit_links
+    monkeypatch.setattr(models.LinkNetwork, "fit_links", lambda self, x, src, dst, *a: seen.append(set(zip(src.tolist(), dst.tolist()))) or fit(self, x, src, dst, *a))
+    x = np.eye(2)[of] + rng.normal(scale=0.1, size=(n, 2))
+    auc = learn.fit_links(x, np.arange(n) * 7, pairs, "sage", 8, 60, 0.02, 42)
+    for s in ("valid", "test"):
+        assert not any((a, b) in seen[0] or (b, a) in seen[0] for a, b in part[s].tolist())
+    assert all((a, b) in seen[0] and (b, a) in seen[0] for a, b in part["train"].tolist()) and auc > 0.7
+    taken = np.unique(pairs[:, 0] * n + pairs[:, 1])
+    drawn = models.no_edges(rng, 500, n, taken)
+    assert len(drawn) == 500 and (drawn[:, 0] != drawn[:, 1]).all() and not np.isin(drawn[:, 0] * n + drawn[:, 1], taken).any()
+    assert len(models.no_edges(rng, 5, 2, np.array([1, 2]))) == 0 and learn.fit_links(x, np.arange(n), pairs[:4], "sage", 8, 1, 0.1, 1) == 0.5
+
+
+def test_link_split_in_arrays_and_frames(spark):
+    n, pairs = _blocks(4, [30, 30], 0.4, 0.1)
+    edges = G.symmetrize(frame(spark, pairs))
+    want = {s: {(r.src, r.dst) for r in G.link_split(edges).where(F.col("split") == s).collect()} for s in ("train", "valid", "test")}
+    got = learn.link_parts(np.arange(n), np.array(pairs), 42)
+    assert {s: {tuple(x) for x in v.tolist()} for s, v in got.items()} == want and all(want.values())
+    drawn = [(r.src, r.dst) for r in G.negative_samples(edges, ids(spark, n)).collect()]
+    both = {(a, b) for p in pairs for a, b in (p, p[::-1])}
+    assert len(set(drawn)) == len(drawn) > 50 and not both & set(drawn) and all(a != b for a, b in drawn) and max(b for _, b in drawn) >= n - 5
+
+
+def _labelled(spark, n=120):
+    of = np.arange(n) % 2
+    rng = random.Random(8)
+    pairs = [(a, rng.choice([b for b in range(n) if of[b] == of[a] and b != a])) for a in range(n) for _ in range(3)]
+    nodes, edges = graphs.from_arrays(spark, np.array(pairs).T, features=np.eye(2)[of] + np.random.default_rng(1).normal(scale=0.3, size=(n, 2)), labels=of)
+    return G.Graph(G.saved(nodes, "n"), G.saved(G.symmetrize(edges), "e"), G.saved(G.random_split(nodes), "m"))
+
+
+def test_sampled_training(spark):
+    g = _labelled(spark)
+    r = learn.train_sampled(g, 2, hidden=8, epochs=6, steps=2, batch=16, fanout=3, lr=0.05).collect()
+    assert len(r) == 1 and r[0].n_train == 72 and r[0].n_test == 24 and r[0].n_steps == 12 and r[0].test_acc > 0.85
+    none = learn.train_sampled(G.Graph(g.nodes, g.edges, g.masks.limit(0)), 2, epochs=1).first()
+    assert none.n_train == 0 and none.n_test == 0 and none.test_acc == 0
+
+
+def test_bins_misc_and_resumed_training(spark, tmp_path):
+    g = _labelled(spark)
+    c = G.saved(g.nodes.select("id", F.when(F.col("id") < 40, core.MISC).otherwise(F.col("id") % 8).cast("long").alias("community_id")), "c")
+    parts = learn.split_misc(c, 15)
+    sizes = {r.community_id: r["count"] for r in parts.groupBy("community_id").count().collect()}
+    assert {x for x in sizes if x < 0} == {-1, -2, -3} and sum(v for x, v in sizes.items() if x < 0) == 40 and sizes[0] == 10
+    one, binned = (sorted(learn.train_communities(g, parts, 2, hidden=4, epochs=2, per_bin=b).collect()) for b in (None, 3))
+    assert one == binned and len(one) == len(sizes)
+    store, trained = TableStore(spark, f"file://{tmp_path}/store"), []
+    frame_ = learn._frame(g, parts, True)
+    train = lambda f: trained.append(f.select("community_id").distinct().count()) or learn.train_frame(f, 2, hidden=4, epochs=1)
+    first = learn.resumed(store, "r", frame_.where("community_id < 4"), {"epochs": 1}, train).count()
+    assert learn.resumed(store, "r", frame_, {"epochs": 1}, train).count() == len(sizes) and trained == [first, len(sizes) - first]
+    assert learn.resumed(store, "r", frame_, {"epochs": 1}, train).count() == len(sizes) and len(trained) == 2
+    assert learn.resumed(store, "r", frame_, {"epochs": 2}, train).count() == len(sizes) and trained[-1] == len(sizes)
+
+
+def test_reports(spark):
+    rows = [("d", "lpa", "sage", 10, 4, 0.5, 2, 8, 0.2, 0.9, 0.7), ("d", "lpa", "sage", 0, 6, 0.0, 0, 3, 0.6, 0.4, 0.5), ("d", "lpa", "gat", 5, 0, 0.8, 1, 0, 0.1, 0.3, 0.5)]
+    results = spark.createDataFrame(rows, "dataset string, algorithm string, model_type string, n_test long, n_edges long, comm_test_acc double, n_boundary long, n_internal long, boundary_acc double, internal_acc double, comm_link_auc double")
+    t = {r.model_type: r for r in metrics.accuracy_table(results).collect()}
+    assert (t["sage"].weighted_comm_acc, t["sage"].mean_comm_acc, t["sage"].mean_boundary_acc, t["sage"].mean_internal_acc) == (0.5, 0.25, 0.2, 0.65)
+    assert t["sage"].weighted_comm_link_auc == 0.58 and t["gat"].mean_internal_acc == 0.0 and t["gat"].weighted_comm_link_auc == 0.0
+    base = spark.createDataFrame([("d", "sage", 0.75, 0.6, 3.0)], "dataset string, model_type string, test_acc double, link_auc double, seconds double")
+    timings = spark.createDataFrame([("d", "lpa", None, "phase1", 1.0), ("d", "lpa", None, "phase2", 2.0), ("d", "lpa", "gat", "phase3", 4.0)], "dataset string, algorithm string, model_type string, phase string, seconds double")
+    s = metrics.summary_table("x", results, base, timings)
+    assert s.columns == metrics.SUMMARY and len(s.columns) == 21
+    by = {r.model_type: r for r in s.collect()}
+    assert (by["sage"].acc_gap, by["sage"].auc_gap, by["sage"].total_123_s, by["sage"].phase3_s) == (0.25, 0.02, 3.0, None)
+    assert (by["gat"].acc_gap, by["gat"].baseline_s, by["gat"].total_123_s) == (None, None, 7.0)
+    box = metrics.summary_box("x", s.collect())
+    assert len({len(line) for line in box.split("\n")}) == 1 and "0.7500" in box and "7.0s" in box
+    g = metrics.gaps(spark.createDataFrame([("d", "sage", 0.5, 0.6), ("d", "gat", 0.5, None)], "dataset string, model string, accuracy double, auc double"), spark.createDataFrame([("d", "sage", 0.7, None)], "dataset string, model string, accuracy double, auc double"))
+    by = {r.model: r for r in g.collect()}
+    assert abs(by["sage"].acc_gap - 0.2) < 1e-9 and by["sage"].auc_gap is None and by["gat"].acc_gap is None
+
+
+def test_npy_by_ranges(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x, y, e = rng.normal(size=(1000, 3)).astype(np.float32), np.where(np.arange(1000) % 7, np.arange(1000) % 5, np.nan), rng.integers(0, 1000, (4000, 2))
+    for name, a in (("x", x), ("y", y), ("e", e)):
+        np.save(tmp_path / f"{name}.npy", a)
+    rows = graphs.npy_rows(spark, f"{tmp_path}/x.npy", per_task=64).orderBy("row").collect()
+    assert len(rows) == 1000 and np.allclose([r.x for r in rows], x)
+    nodes, edges = graphs.npy_graph(spark, f"file://{tmp_path}/e.npy", f"{tmp_path}/x.npy", f"{tmp_path}/y.npy")
+    assert sorted((r.src, r.dst) for r in edges.collect()) == sorted(map(tuple, e.tolist()))
+    assert {r.id: r.label for r in nodes.collect()} == {i: -1 if np.isnan(v) else int(v) for i, v in enumerate(y)}
+    with pytest.raises(ValueError):
+        np.save(tmp_path / "f.npy", np.asfortranarray(x))
+        graphs.npy_rows(spark, f"{tmp_path}/f.npy")
+
+
+def test_a_crash_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    s = TableStore(spark, f"file://{tmp_path}/store")
+    s.overwrite(spark.range(5), "t")
+    (tmp_path / "store" / "t" / "_next-left").write_text("cut off")
+    s.overwrite(spark.range(9), "t")
+    assert s.read("t").count() == 9
+    monkeypatch.setattr(s, "_publish", lambda *a: (_ for _ in ()).throw(OSError()))
+    with pytest.raises(OSError):
+        s.overwrite(spark.range(2), "t")
+    assert s.read("t").count() == 9 and s.vacuum("t") == 3 and s.read("t").count() == 9

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,29 +111,123 @@ def modularity(communities: DataFrame, edges: DataFrame) -> DataFrame:
     return per.agg(F.sum("d").alias("m"), F.sum("inside").alias("i"), F.sum(F.col("d").cast("double") * F.col("d")).alias("s")).select((F.col("i") / F.col("m") - F.col("s") / F.col("m") / F.col("m")).alias("modularity"))
 
 
-def louvain_moves(nodes: DataFrame, edges: DataFrame, rounds: int = 6, resolution: float = 1.0, seed: int = 42) -> DataFrame:
-    """(id, community_id): local moves by gain in modularity, a seeded half of the nodes at a time, so that neighbours
-    that move together can't swap for ever. Isolated nodes are communities of their own. The smallest member's id
-    names a community; deterministic under the seed."""
-    state = nodes.select("id", F.col("id").alias("c"))
-    degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("k"))
-    m2 = edges.count()
+def _weighted(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst", F.col("w") if "w" in edges.columns else F.lit(1).cast("long").alias("w"))
+
+
+def local_moves(state: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: int = 42, most_rounds: int = 30, within: bool = False, least_gain: float = 1e-4) -> DataFrame:
+    """state (id, c, k, p): the nodes' communities and weighted degrees, after moves by gain in modularity. A seeded half of the nodes moves at a
+    time, so that neighbours that move together can't swap for ever. Ends after a round of both halves that raises modularity by less than
+    least_gain, or lowers it, in which case the state before stays; at most most_rounds. within: a node joins communities of its own p
+    only. edges: (src, dst, w), symmetric, loops once with their weight counted twice."""
+    m2 = edges.agg(F.sum("w")).first()[0]
     if not m2:
-        return state.select("id", F.col("c").alias("community_id"))
-    state = saved(state.join(degree, "id", "left").na.fill(0, ["k"]), "louvain")
-    for i in range(rounds * 2):
+        return state
+    best_state, best = state, weighted_modularity(state, edges, m2, resolution)
+    for i in range(most_rounds * 2):
         totals = state.groupBy("c").agg(F.sum("k").alias("total"))
-        links = edges.join(state.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.count("*").alias("w"))
-        own = state.select("id", "c", "k", F.lit(0).cast("long").alias("w"))
-        options = links.join(state.select("id", "k"), "id").select("id", "c", "k", "w").unionByName(own).groupBy("id", "c", "k").agg(F.sum("w").alias("w"))
-        options = options.join(totals, "c").join(state.select("id", F.col("c").alias("now")), "id")
+        ends_ = edges.where("src != dst").join(state.select(F.col("id").alias("dst"), "c", F.col("p").alias("pd")), "dst")
+        links = ends_.groupBy(F.col("src").alias("id"), "c", "pd").agg(F.sum("w").alias("w"))
+        mine = state.select("id", "k", "p", F.col("c").alias("now"))
+        own = state.select("id", "c", F.col("p").alias("pd"), F.lit(0).cast("long").alias("w"))
+        options = links.unionByName(own).groupBy("id", "c", "pd").agg(F.sum("w").alias("w")).join(mine, "id")
+        options = options.where("pd = p") if within else options.groupBy("id", "c", "k", "p", "now").agg(F.sum("w").alias("w"))
+        options = options.join(totals, "c")
         rest = F.col("total") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0)
         gain = F.col("w") - F.lit(resolution) * F.col("k") * rest / F.lit(m2)
-        best = options.groupBy("id").agg(F.max(F.struct(F.round(gain, 9).alias("g"), (F.col("c") == F.col("now")).alias("stay"), (-F.col("c")).alias("c"))).alias("b"))
+        moved = options.groupBy("id").agg(F.max(F.struct(F.round(gain, 9).alias("g"), (F.col("c") == F.col("now")).alias("stay"), (-F.col("c")).alias("c"))).alias("b"))
+        turn = F.pmod(spread(seed + i // 2, F.col("id")), F.lit(2)) == i % 2
+        state = saved(state.join(moved, "id").select("id", F.when(turn, -F.col("b.c")).otherwise(F.col("c")).alias("c"), "k", "p"), "louvain")
+        if i % 2:
+            now = weighted_modularity(state, edges, m2, resolution)
+            gained = now - best
+            best_state, best = (state, now) if gained > 0 else (best_state, best)
+            if gained < least_gain:
+                break
+    return best_state
+
+
+def weighted_modularity(state: DataFrame, edges: DataFrame, m2: float, resolution: float = 1.0) -> float:
+    at = edges.join(state.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(state.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst")
+    inside = at.where("cs = cd").agg(F.sum("w")).first()[0] or 0
+    squares = state.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t").cast("double") * F.col("t"))).first()[0]
+    return inside / m2 - resolution * squares / m2 / m2
+
+
+def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, seed: int = 42, refine: bool = False, most_levels: int = 10, least_gain: float = 1e-4) -> DataFrame:
+    """(id, community_id): Louvain's communities, or Leiden's with `refine`. At each level nodes move by gain in modularity until that ends; then
+    communities become the nodes of a smaller weighted graph, until none moves there. refine: what becomes a node is a part of
+    a community found by moves within it, from single nodes, and starts in its community, so that badly connected communities can
+    fall apart. A node's smallest member names it. Isolated nodes are communities of their own. Every level's tables are written; deterministic under the seed."""
+    graph = saved(_weighted(edges).groupBy("src", "dst").agg(F.sum("w").alias("w")), "level")
+    place = nodes.select("id", F.col("id").alias("at"))
+    degree = lambda g: g.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"))
+    state = place.select("id", F.col("id").alias("c")).join(degree(graph), "id", "left").na.fill(0, ["k"]).withColumn("p", F.lit(0).cast("long"))
+    state = saved(state, "louvain")
+    for _ in range(most_levels):
+        found = local_moves(state, graph, resolution, seed, least_gain=least_gain)
+        parts = found.select("id", F.col("c").alias("part"), "c")
+        if refine:
+            single = found.select("id", F.col("id").alias("c"), "k", F.col("c").alias("p"))
+            parts = local_moves(single, graph, resolution, seed + 1, within=True, least_gain=least_gain).select("id", F.col("c").alias("part"), F.col("p").alias("c"))
+        names = parts.groupBy("part").agg(F.min("id").alias("node"), F.min("c").alias("c"))
+        parts = saved(parts.select("id", "part").join(names, "part").select("id", "node", "c"), "parts")
+        place = saved(place.select("id", "at").join(parts.select(F.col("id").alias("at"), "node", "c"), "at").select("id", F.col("node").alias("at"), "c"), "place")
+        before, after = state.count(), parts.select("node").distinct().count()
+        if after == before:
+            break
+        to = parts.select("id", "node")
+        graph = saved(graph.join(to.toDF("src", "a"), "src").join(to.toDF("dst", "b"), "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")), "level")
+        state = names.select(F.col("node").alias("id"), "c")
+        state = saved(state.join(degree(graph), "id", "left").na.fill(0, ["k"]).withColumn("p", F.lit(0).cast("long")), "louvain")
+    named = place.join(place.groupBy("c").agg(F.min("id").alias("community_id")), "c")
+    return named.select("id", "community_id")
+
+
+def edge_cut(parts: DataFrame, edges: DataFrame) -> int:
+    """How many undirected edges join nodes of different parts."""
+    return ends(edges.where("src < dst"), parts).where("c_src != c_dst").count()
+
+
+def kway_parts(nodes: DataFrame, edges: DataFrame, k: int, seed: int = 42, rounds: int = 8, tolerance: float = 0.05, by: DataFrame | None = None) -> DataFrame:
+    """(id, community_id from 0 to k - 1): balanced_parts() after moves that lower the number of edges cut. In each round, nodes of a seeded half that have
+    more neighbours in another part than in their own ask to move there; between two parts as many go one way as the other,
+    up to the same rank by (gain, hash), found from counts, so that no task holds a part. A round that doesn't lower the cut, or
+    leaves a part with over 1 + tolerance of its share, is undone, and ends it after both halves have failed."""
+    parts = saved(balanced_parts(nodes, k, seed, by), "kway")
+    cut, failed, share = edge_cut(parts, edges), 0, nodes.count() / max(k, 1)
+    for i in range(rounds * 2):
+        near = ends(edges, parts).groupBy(F.col("src").alias("id"), "c_src", "c_dst").agg(F.count("*").alias("n"))
+        own = near.where("c_src = c_dst").select("id", F.col("n").alias("own"))
+        other = near.where("c_src != c_dst").groupBy("id", "c_src").agg(F.max(F.struct("n", (-F.col("c_dst")).alias("to"))).alias("b"))
         turn = F.pmod(spread(seed + i // 2, F.col("id")), F.lit(2)) == i % 2
-        state = saved(state.join(best, "id").select("id", F.when(turn, -F.col("b.c")).otherwise(F.col("c")).alias("c"), "k"), "louvain")
-    names = state.groupBy("c").agg(F.min("id").alias("community_id"))
-    return state.join(names, "c").select("id", "community_id")
+        asked = other.join(own, "id", "left").select("id", F.col("c_src").alias("a"), (-F.col("b.to")).alias("b"), (F.col("b.n") - F.coalesce("own", F.lit(0))).alias("gain")).where("gain > 0").where(turn)
+        asked = saved(asked.withColumn("h", F.floor(spread(seed + 77, F.col("id")) / F.lit(1 << 22)).cast("int")), "asked")
+        strata = asked.groupBy("a", "b", "gain", "h").agg(F.count("*").alias("n"))
+        upto = Window.partitionBy("a", "b").orderBy(F.desc("gain"), "h").rowsBetween(Window.unboundedPreceding, 0)
+        strata = strata.withColumn("upto", F.sum("n").over(upto))
+        totals = asked.groupBy("a", "b").agg(F.count("*").alias("asked"))
+        both = totals.join(totals.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("asked").alias("back")), ["a", "b"]).select("a", "b", F.least("asked", "back").alias("room"))
+        go = strata.join(both, ["a", "b"]).where("upto <= room").select("a", "b", "gain", "h")
+        moves = asked.join(go, ["a", "b", "gain", "h"]).select("id", F.col("b").alias("_to"))
+        after = saved(parts.join(moves, "id", "left").select("id", F.coalesce("_to", "community_id").alias("community_id")), "kway")
+        now, largest = edge_cut(after, edges), after.groupBy("community_id").count().agg(F.max("count")).first()[0] or 0
+        if now < cut and largest <= max(share * (1 + tolerance), share + 1):
+            parts, cut, failed = after, now, 0
+        else:
+            failed += 1
+            if failed == 2:
+                break
+    return parts
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """rows with their place from 0 in `order`, which tells all rows apart: places within sorted ranges, and the ranges' counts, which are as few as partitions."""
+    ranked = saved(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranked.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranked.join(F.broadcast(starts), "_range").withColumn(name, place).drop("_range", "_start")
 
 
 def balanced_parts(nodes: DataFrame, k: int, seed: int = 42, by: DataFrame | None = None) -> DataFrame:
@@ -139,15 +235,9 @@ def balanced_parts(nodes: DataFrame, k: int, seed: int = 42, by: DataFrame | Non
     of one community lie side by side, so most of its edges stay within a part; others follow a seeded hash."""
     placed = nodes.select("id") if by is None else nodes.select("id").join(by, "id", "left")
     group = F.lit(0).cast("long") if by is None else F.coalesce("community_id", "id")
-    placed = placed.select("id", group.alias("g"), spread(seed, F.col("id")).alias("h"))
-    ranked = placed.repartitionByRange("g", "h", "id").sortWithinPartitions("g", "h", "id").withColumn("p", F.spark_partition_id())
-    ranked = saved(ranked, "parts")
-    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranked.groupBy("p").agg(F.count("*").alias("n"))
-    starts = counts.select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    place = F.col("start") + F.row_number().over(Window.partitionBy("p").orderBy("g", "h", "id")) - 1
+    ranked = numbered(placed.select("id", group.alias("g"), spread(seed, F.col("id")).alias("h")), ["g", "h", "id"])
     total = nodes.count()
-    return ranked.join(starts, "p").select("id", F.floor(place * k / F.lit(max(total, 1))).cast("long").alias("community_id"))
+    return ranked.select("id", F.floor(F.col("place") * k / F.lit(max(total, 1))).cast("long").alias("community_id"))
 
 
 def community_sizes(communities: DataFrame) -> DataFrame:
@@ -248,11 +338,11 @@ def boundary(edges: DataFrame, communities: DataFrame, rule: str = "intra_degree
 def subgraph_metrics(edges: DataFrame, communities: DataFrame, least: int, small: str = "misc") -> DataFrame:
     """One row on what min_size() keeps and how many edges stay within communities."""
     kept = min_size(communities, least, small)
-    flags = boundary(edges, kept)
+    inside = F.col("c_src").eqNullSafe(F.col("c_dst"))
+    per = ends(edges, kept, "left").groupBy(F.col("src").alias("id")).agg(F.bool_or(~inside).cast("long").alias("leaves"), F.sum(inside.cast("long")).alias("stay"))
+    nodes_ = kept.select("id").join(per, "id", "left").agg(F.count("*").alias("n_nodes_kept"), F.coalesce(F.sum("leaves"), F.lit(0)).alias("n_boundary"), F.coalesce(F.sum("stay"), F.lit(0)).alias("n_intra_edges"))
     sizes = community_sizes(communities).agg(F.count("*").alias("n_comms_raw"), F.sum((F.col("size") >= least).cast("long")).alias("n_valid_comms"))
-    flagged = flags.agg(F.count("*").alias("n_nodes_kept"), F.sum(F.col("is_boundary").cast("long")).alias("n_boundary"))
-    inside = ends(edges, kept, "left").agg(F.sum(F.coalesce((F.col("c_src") == F.col("c_dst")).cast("long"), F.lit(0))).alias("n_intra_edges"))
-    out = sizes.crossJoin(flagged).crossJoin(inside).crossJoin(edges.agg(F.count("*").alias("n_edges")))
+    out = sizes.crossJoin(nodes_).crossJoin(edges.agg(F.count("*").alias("n_edges")))
     out = out.withColumn("n_internal", F.col("n_nodes_kept") - F.col("n_boundary"))
     return out.withColumn("pct_edges_kept", F.round(F.when(F.col("n_edges") > 0, 100.0 * F.col("n_intra_edges") / F.col("n_edges")).otherwise(0.0), 6))
 
@@ -272,13 +362,19 @@ def major(communities: DataFrame, least: int) -> DataFrame:
 
 
 def centroids(graph: Graph, communities: DataFrame, least: int, scope: str = "all") -> DataFrame:
-    """(community_id, dim, mean) of each major community's features; scope="masked" takes only nodes with a split."""
+    """(community_id, features): the mean of each major community's features; scope="masked" takes only nodes with a split.
+    Vectors, of one length, are added up whole, before the shuffle as well."""
     if scope not in ("all", "masked"):
         raise ValueError("a centroid's scope is 'all' or 'masked'")
     members = communities.join(major(communities, least), "community_id", "left_semi")
     members = members.join(graph.masks, "id", "left_semi") if scope == "masked" else members
-    wide = members.join(graph.nodes.select("id", "features"), "id").select("community_id", F.posexplode("features").alias("dim", "x"))
-    return wide.groupBy("community_id", "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    wide = members.join(graph.nodes.select("id", "features"), "id").where("features is not null")
+    return _means(wide, F.col("community_id"))
+
+
+def _means(rows: DataFrame, key: Column) -> DataFrame:
+    """(key, features): means of vectors by key."""
+    return rows.groupBy(key).agg(vector_to_array(Summarizer.mean(array_to_vector(F.transform("features", lambda x: x.cast("double"))))).alias("features"))
 
 
 def mapped(communities: DataFrame, least: int) -> DataFrame:
@@ -346,10 +442,11 @@ def link_split(edges: DataFrame, seed: int = 42, train: float = 0.8, valid: floa
     return edges.where("src < dst").select("src", "dst", F.when(h < round(1000 * train), "train").when(h < round(1000 * (train + valid)), "valid").otherwise("test").alias("split"))
 
 
-def negative_samples(edges: DataFrame, n_nodes: int, seed: int = 42) -> DataFrame:
-    """Distinct (src, dst) that are no edge: for each undirected edge, a seeded partner of its source. Ids are 0 to n - 1."""
-    drawn = edges.where("src < dst").select("src", (spread(seed, F.col("src"), F.col("dst")) % n_nodes).alias("dst")).where("src != dst").distinct()
-    return drawn.join(edges, ["src", "dst"], "left_anti")
+def negative_samples(edges: DataFrame, nodes: DataFrame, seed: int = 42) -> DataFrame:
+    """Distinct (src, dst) that are no edge: for each undirected edge, a seeded partner of its source among all nodes, by its place in order of id."""
+    places, n = numbered(nodes.select(F.col("id").alias("dst")), ["dst"]), nodes.count()
+    drawn = edges.where("src < dst").select("src", (spread(seed, F.col("src"), F.col("dst")) % max(n, 1)).alias("place")).distinct()
+    return drawn.join(places, "place").where("src != dst").select("src", "dst").join(edges, ["src", "dst"], "left_anti")
 
 
 def neighbor_sample(edges: DataFrame, fanout: int, seed: int = 42) -> DataFrame:
@@ -359,8 +456,8 @@ def neighbor_sample(edges: DataFrame, fanout: int, seed: int = 42) -> DataFrame:
 
 
 def mean_aggregate(features: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, dim, x): the mean of the in-neighbours' features; features: (id, dim, x). One layer of mean aggregation."""
-    return edges.join(features.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id"), "dim").agg(F.avg("x").alias("x"))
+    """(id, features): the mean of the in-neighbours' features, vectors of one length. One layer of mean aggregation; a row per edge is shuffled, sums before that."""
+    return _means(edges.join(features.where("features is not null").withColumnRenamed("id", "src"), "src"), F.col("dst").alias("id"))
 
 
 def edge_scores(edges: DataFrame, nodes: DataFrame, decoder: Column) -> DataFrame:

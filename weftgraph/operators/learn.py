@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.core import LARGE_OVER, MEDIUM_FROM, MISC, SUPER_BASE, label_or_missing
+from weftgraph.functions.core import LARGE_OVER, MEDIUM_FROM, MISC, SUPER_BASE, label_or_missing, spread
 
 from . import graph as G
 from .graph import Graph, adjacency, boundary, ends, expanded_nodes
-from .models import KINDS, Network
-from .storage import saved
+from .models import KINDS, Adam, LinkNetwork, Network, no_edges
+from .storage import TableStore, saved
 
 RESULT = (
     "community_id long, n_nodes long, n_edges long, n_train long, n_val long, n_test long, n_boundary long, n_internal long, "
@@ -83,12 +87,52 @@ class Probe:
         self.w = kept or self.w
 
 
+def _pairs(pdf: pd.DataFrame) -> np.ndarray:
+    """(source, target) of the edges among a community's rows, as numbers of rows. pdf: by id, with each row's neighbours."""
+    ids = pdf["id"].to_numpy()
+    lists = [np.asarray(row, np.int64) if row is not None else np.zeros(0, np.int64) for row in pdf["neighbors"]]
+    to = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+    source, place = np.repeat(np.arange(len(ids)), [len(x) for x in lists]), np.minimum(np.searchsorted(ids, to), max(len(ids) - 1, 0))
+    known = ids[place] == to if len(ids) else np.zeros(0, bool)
+    return np.column_stack([source[known], place[known]]).astype(np.int64)
+
+
+def spread_of(seed: int, *ids: np.ndarray) -> np.ndarray:
+    """spread() of arrays."""
+    out = np.full(len(ids[0]), seed % (1 << 31), np.int64)
+    for i in ids:
+        out = (i % (1 << 31) * 2654435 + out * 40503 + 12345) % (1 << 32)
+    return (out % (1 << 31) * 1597334 + out // 65536 * 2654435) % (1 << 32)
+
+
+def link_parts(ids: np.ndarray, pairs: np.ndarray, seed: int, train: float = 0.8, valid: float = 0.1) -> dict[str, np.ndarray]:
+    """A community's undirected edges, each once, dealt to train, valid and test by link_split()'s hash of their ends' ids."""
+    low = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+    h = spread_of(seed, ids[low[:, 0]], ids[low[:, 1]]) % 1000
+    cut = round(1000 * train), round(1000 * (train + valid))
+    return {"train": low[h < cut[0]], "valid": low[(h >= cut[0]) & (h < cut[1])], "test": low[h >= cut[1]]}
+
+
+def fit_links(x: np.ndarray, ids: np.ndarray, pairs: np.ndarray, model: str, hidden: int, epochs: int, lr: float, seed: int, dropout: float = 0.0, train: float = 0.8, valid: float = 0.1, most_train: int | None = 100_000, most_test: int | None = 20_000) -> float:
+    """ROC-AUC of held-out edges against as many pairs that are no edge, by a LinkNetwork whose messages pass over training edges
+    only, both ways, and a loop on each node; 0.5 with fewer than five edges or none held out. At most `most_train` and `most_test` edges, in order of a seeded shuffle."""
+    part, rng, n = link_parts(ids, pairs, seed, train, valid), np.random.default_rng(seed), len(x)
+    if len(pairs) < 5 or not len(part["train"]) or not len(part["test"]):
+        return 0.5
+    edges, held = (p[rng.permutation(len(p))[:most]] for p, most in ((part["train"], most_train), (part["test"], most_test)))
+    both = np.concatenate([edges, edges[:, ::-1], np.repeat(np.arange(n), 2).reshape(-1, 2)])
+    taken = np.unique(np.concatenate([pairs[:, 0] * n + pairs[:, 1], pairs[:, 1] * n + pairs[:, 0]]))
+    net = LinkNetwork(model, x.shape[1], hidden, seed, dropout)
+    net.fit_links(x, both[:, 0], both[:, 1], edges, taken, epochs, lr)
+    others = no_edges(rng, len(held), n, taken)
+    scored = np.concatenate([held, others])
+    return rank_auc(net.score(x, both[:, 0], both[:, 1], scored), np.arange(len(scored)) < len(held))
+
+
 def _arrays(pdf: pd.DataFrame, classes: int, seed: int, halo_in_test: bool, most_edges: int | None):
     """A community's rows, by id: (rows, pairs, features, labels, rows by split, message sources and targets, generator)."""
     pdf = pdf.sort_values("id").reset_index(drop=True)
-    at = {i: k for k, i in enumerate(pdf["id"])}
-    edges = [(at[i], at[j]) for i, row in zip(pdf["id"], pdf["neighbors"], strict=True) if row is not None for j in row if j in at]
-    pairs = np.array(edges, np.int64).reshape(-1, 2)
+    pairs = _pairs(pdf)
     x = np.array(pdf["features"].tolist(), float)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     y, member = pdf["label"].to_numpy(), pdf["is_core"].to_numpy(bool) | halo_in_test
@@ -145,25 +189,30 @@ def warm_embeddings(graph: Graph, communities: DataFrame, classes: int, start: d
 def train_communities(
     graph: Graph, communities: DataFrame, classes: int, hidden: int = 32, epochs: int = 30, lr: float = 0.01, seed: int = 42, model: str = "sage", expand: bool = True,
     halo_in_test: bool = False, most_edges: int | None = 200_000, start: dict[str, np.ndarray] | None = None, probe_epochs: int = 0, dropout: float = 0.0, anchors: DataFrame | None = None,
+    link_epochs: int = 0, link_shares: tuple[float, float] = (0.8, 0.1), per_bin: int | None = None,
 ) -> DataFrame:
-    """RESULT of each community: a model of its own, trained on its training nodes, and a link score of its embedding.
+    """RESULT of each community: a model of its own, trained on its training nodes, and with link_epochs a second one that tells its edges from other pairs.
 
     An unknown model is an error. Halo nodes carry features but are neither trained nor tested on, unless halo_in_test.
     start: weights to begin with, of warm_start(). probe_epochs: over 0, accuracy is that of a Probe on the embedding.
     anchors: (id, embedding), of warm_embeddings(), that the embedding of these nodes is drawn to.
-    Without training nodes a community has accuracy 0 and trained is false; with fewer than five edges its link AUC is 0.5.
-    A community trains in one task and must fit in its memory, as it is one model; min_size() and the choice of
+    Without training nodes a community has accuracy 0 and trained is false; without link_epochs, or with fewer than five edges, its link AUC is 0.5.
+    link_shares: of the edges, each pair once, those trained on and kept for validation; the rest are tested on and pass no messages.
+    With per_bin, some `per_bin` communities share a task's call, dealt by size as bins() does; else each has its own. A community trains
+    in one task and must fit in its memory, as it is one model; min_size(), split_misc() and the choice of
     detector bound it. Message passing takes at most `most_edges` edges, None for all, in order of a seeded shuffle, and a loop on each node.
     """
     frame = _frame(graph, communities, expand)
-    return train_frame(frame, classes, hidden, epochs, lr, seed, model, halo_in_test, most_edges, start, probe_epochs, dropout, anchors)
+    bins = G.bins(G.community_sizes(communities), per_bin).select("community_id", "bin_id") if per_bin else None
+    return train_frame(frame, classes, hidden, epochs, lr, seed, model, halo_in_test, most_edges, start, probe_epochs, dropout, anchors, link_epochs, link_shares, bins)
 
 
 def train_frame(
     frame: DataFrame, classes: int, hidden: int = 32, epochs: int = 30, lr: float = 0.01, seed: int = 42, model: str = "sage", halo_in_test: bool = False, most_edges: int | None = 200_000,
     start: dict[str, np.ndarray] | None = None, probe_epochs: int = 0, dropout: float = 0.0, anchors: DataFrame | None = None,
+    link_epochs: int = 0, link_shares: tuple[float, float] = (0.8, 0.1), bins: DataFrame | None = None,
 ) -> DataFrame:
-    """train_communities() on rows like those of training_frame()."""
+    """train_communities() on rows like those of training_frame(). bins: (community_id, bin_id), where some communities share a call."""
     if model not in KINDS:
         raise ValueError(f"unknown model {model}: one of {', '.join(KINDS)}")
     anchored = anchors is not None
@@ -190,17 +239,27 @@ def train_frame(
         hit = found == y
         rate = lambda rows: float(hit[rows].mean()) if trained and len(rows) else 0.0
         test, link = part["test"], 0.5
-        if len(pairs) >= 5:
-            held = pairs[rng.permutation(len(pairs))[: max(1, min(len(pairs) // 10, 20_000))]]
-            drawn = np.column_stack([held[:, 0], rng.integers(0, len(x), len(held))])
-            scored = np.concatenate([held, drawn])
-            link = rank_auc((emb[scored[:, 0]] * emb[scored[:, 1]]).sum(1), np.arange(len(scored)) < len(held))
+        if link_epochs:
+            link = fit_links(x, pdf["id"].to_numpy(), pairs, model, hidden, link_epochs, lr, seed, dropout, *link_shares, *((100_000, 20_000) if most_edges is not None else (None, None)))
         n, b = len(pdf), int((edge & core).sum())
         bucket = "large" if n > LARGE_OVER else "medium" if n >= MEDIUM_FROM else "small"
         row = (int(pdf["community_id"].iloc[0]), n, len(pairs), len(part["train"]), len(part["valid"]), len(test), b, int(core.sum()) - b, rate(test), rate(test[edge[test]]), rate(test[~edge[test]]), link, trained, bucket)
         return pd.DataFrame([row], columns=[c.split()[0] for c in RESULT.split(", ")])
 
-    return frame.groupBy("community_id").applyInPandas(run, RESULT)
+    if bins is None:
+        return frame.groupBy("community_id").applyInPandas(run, RESULT)
+
+    def run_bin(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([run(part) for _, part in pdf.groupby("community_id")], ignore_index=True)
+
+    return frame.join(bins, "community_id").groupBy("bin_id").applyInPandas(run_bin, RESULT)
+
+
+def split_misc(communities: DataFrame, most_nodes: int) -> DataFrame:
+    """Communities with MISC, where it has more than `most_nodes` nodes, dealt to MISC, MISC - 1 and so on by a hash of the node, so that no task holds them all."""
+    parts = communities.where(F.col("community_id") == MISC).agg(F.greatest(F.ceil(F.count("*") / F.lit(most_nodes)), F.lit(1)).alias("_parts"))
+    at = communities.crossJoin(F.broadcast(parts))
+    return at.select("id", F.when(F.col("community_id") == MISC, F.lit(MISC) - spread(42, F.col("id")) % F.col("_parts")).otherwise(F.col("community_id")).cast("long").alias("community_id"))
 
 
 def super_frame(graph: Graph, communities: DataFrame, least: int, most_nodes: int = 100_000) -> DataFrame:
@@ -239,27 +298,100 @@ def super_frame(graph: Graph, communities: DataFrame, least: int, most_nodes: in
         edges = edges.unionByName(e.select(listed))
     lists = edges.groupBy("community_id", F.col("src").alias("id")).agg(F.sort_array(F.collect_set("dst")).alias("neighbors"))
     placed = members.unionByName(small).unionByName(others.unionByName(supers).withColumn("is_core", F.lit(False)))
-    means = G.centroids(graph, communities, least, "masked").groupBy((F.lit(SUPER_BASE).cast("long") - F.col("community_id")).alias("id"))
-    means = means.agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"].cast("float")).alias("features"))
+    means = G.centroids(graph, communities, least, "masked").select((F.lit(SUPER_BASE).cast("long") - F.col("community_id")).alias("id"), F.transform("features", lambda x: x.cast("float")).alias("features"))
     known = graph.nodes.select("id", "features", label_or_missing(F.col("label")).alias("label")).join(graph.masks, "id", "left")
     known = known.unionByName(means.withColumns({"label": F.lit(-1), "split": F.lit(None).cast("string")}))
     flags = boundary(graph.edges, communities)
     return placed.join(known, "id").join(lists, ["community_id", "id"], "left").join(flags, "id", "left")
 
 
-def whole_graph(graph: Graph, most_nodes: int | None = None) -> DataFrame:
-    """(id, community_id): all nodes as one community, whatever their number, for a baseline without communities. With most_nodes,
-    a graph of more falls into balanced parts that keep label propagation's communities side by side: a community run, no baseline."""
-    if most_nodes is None or (n := graph.nodes.count()) <= most_nodes:
-        return graph.nodes.select("id", F.lit(0).cast("long").alias("community_id"))
-    return G.balanced_parts(graph.nodes, -(-n // most_nodes), by=G.label_propagation(graph.nodes, graph.edges))
+def whole_graph(graph: Graph) -> DataFrame:
+    """(id, community_id): all nodes as one community, whatever their number, for a baseline without communities."""
+    return graph.nodes.select("id", F.lit(0).cast("long").alias("community_id"))
 
 
 def train_baseline(graph: Graph, classes: int, **options) -> DataFrame:
-    """train_communities() of the whole graph as one community with all its edges: one row, one model, in one task."""
+    """train_communities() of the whole graph as one community with all its edges: one row, one model, in one task, which must hold the graph; train_sampled() needs none that does."""
     return train_communities(graph, whole_graph(graph), classes, most_edges=None, **options)
 
 
+def sampled_batches(graph: Graph, seeds: DataFrame, sampled: DataFrame, batch: int, seed: int) -> DataFrame:
+    """(batch, id, is_seed, label, features, neighbors): for batches of some `batch` seeds (id), dealt by a hash, the nodes that two layers see
+    over `sampled` edges, with the in-neighbours they hear. A batch's size is bounded by its seeds and the fanout."""
+    parts = seeds.agg(F.greatest(F.ceil(F.count("*") / F.lit(batch)), F.lit(1)).alias("_parts"))
+    dealt = saved(seeds.select("id").crossJoin(F.broadcast(parts)).select("id", (spread(seed, F.col("id")) % F.col("_parts")).alias("batch")), "seeds")
+    heard = sampled.select(F.col("dst").alias("id"), "src")
+    first = dealt.join(heard, "id").select("batch", F.col("src").alias("id"))
+    hearers = saved(dealt.select("batch", "id").withColumn("_seed", F.lit(1)).unionByName(first.withColumn("_seed", F.lit(0))).groupBy("batch", "id").agg((F.max("_seed") == 1).alias("is_seed")), "hearers")
+    lists = saved(hearers.join(heard, "id").groupBy("batch", "id").agg(F.collect_list("src").alias("neighbors")), "lists")
+    outer = lists.select("batch", F.explode("neighbors").alias("id")).distinct().join(hearers, ["batch", "id"], "left_anti").withColumn("is_seed", F.lit(False))
+    known = graph.nodes.select("id", "features", label_or_missing(F.col("label")).alias("label"))
+    return hearers.select("batch", "id", "is_seed").unionByName(outer.select("batch", "id", "is_seed")).join(known, "id").join(lists, ["batch", "id"], "left")
+
+
+def _batch_arrays(pdf: pd.DataFrame):
+    pdf = pdf.sort_values("id").reset_index(drop=True)
+    pairs = _pairs(pdf)
+    x = np.array(pdf["features"].tolist(), float)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    loops = np.arange(len(pdf))
+    return pdf, x, np.concatenate([pairs[:, 1], loops]), np.concatenate([pairs[:, 0], loops]), pdf["label"].to_numpy()
+
+
+def _batch_gradient(weights: dict[str, np.ndarray], model: str, hidden: int, classes: int, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, x, src, dst, y = _batch_arrays(pdf)
+        rows, net = np.flatnonzero(pdf["is_seed"].to_numpy()), Network(model, x.shape[1], hidden, classes, seed)
+        net.w = weights
+        grad = net.loss(x, src, dst, y, rows)[1]
+        return pd.DataFrame([(k, float(len(rows)), (g * len(rows)).reshape(-1).tolist()) for k, g in grad.items()], columns=["name", "n", "g"])
+
+    return run
+
+
+def train_sampled(graph: Graph, classes: int, hidden: int = 32, epochs: int = 10, steps: int = 2, batch: int = 1024, fanout: int = 10, lr: float = 0.01, seed: int = 42, model: str = "sage") -> DataFrame:
+    """One row (n_train, n_test, n_steps, test_acc): one model over a graph of any size. Each epoch draws `fanout` in-neighbours of every node anew and deals
+    the training nodes to batches, whose gradients tasks compute; a step of Adam takes the mean over 1 / `steps` of the batches,
+    added up before they reach the driver, which holds the model alone. Test nodes are told over sampled neighbours, too. No task holds the graph. The width of the features must be the same on all nodes."""
+    known = graph.nodes.where(F.col("features").isNotNull()).withColumn("y", label_or_missing(F.col("label"))).where((F.col("y") >= 0) & (F.col("y") < classes))
+    labelled = saved(graph.masks.join(known.select("id"), "id"), "labelled")
+    train, test = (labelled.where(F.col("split") == s).select("id") for s in ("train", "test"))
+    width = known.select(F.size("features").alias("n")).limit(1).collect()
+    net = Network(model, width[0].n if width else 1, hidden, classes, seed)
+    adam = Adam(net.w, lr)
+    n_train, done = train.count(), 0
+    for epoch in range(epochs if n_train else 0):
+        sampled = saved(G.neighbor_sample(graph.edges, fanout, seed + epoch), "sampled")
+        frame = saved(sampled_batches(graph, train, sampled, batch, seed + epoch), "batches")
+        for step in range(steps):
+            part = frame.where(F.col("batch") % steps == step).groupBy("batch").applyInPandas(_batch_gradient(dict(net.w), model, hidden, classes, seed + epoch), "name string, n double, g array<double>")
+            total = part.groupBy("name").agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g")).collect()
+            if total:
+                adam.step({r.name: np.array(r.g).reshape(net.w[r.name].shape) / r.n for r in total})
+                done += 1
+    weights = dict(net.w)
+
+    def hits(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, x, src, dst, y = _batch_arrays(pdf)
+        rows, own = pdf["is_seed"].to_numpy(), Network(model, x.shape[1], hidden, classes, seed)
+        own.w = weights
+        return pd.DataFrame({"n": [int(rows.sum())], "hit": [int((own.forward(x, src, dst)[1].argmax(1) == y)[rows].sum())]})
+
+    frame = sampled_batches(graph, test, saved(G.neighbor_sample(graph.edges, fanout, seed), "sampled"), batch, seed)
+    told = frame.groupBy("batch").applyInPandas(hits, "n long, hit long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_test"), F.coalesce(F.sum("hit") / F.sum("n"), F.lit(0.0)).alias("test_acc"))
+    return told.select(F.lit(n_train).cast("long").alias("n_train"), F.col("n_test").cast("long").alias("n_test"), F.lit(done).alias("n_steps"), "test_acc")
+
+
+def resumed(store: TableStore, name: str, frame: DataFrame, config: dict, train: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The results `train` gives by community_id for `frame`, kept in the store: communities that have a result under the same
+    configuration are not trained again; another configuration begins anew."""
+    if store.exists(name, config):
+        kept = store.read(name).select("community_id")
+        rest = saved(frame.join(kept, "community_id", "left_anti"), "rest")
+        return store.append(train(rest), name) if rest.limit(1).count() else store.read(name)
+    return store.overwrite(train(frame), name, config)
+
+
 def over_runs(results: list[DataFrame], value: str, weight: str) -> DataFrame:
     """One row: mean and population standard deviation over runs, such as seeds, of `value` weighted by `weight`."""
     from .metrics import weighted

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.core import size_bucket
 
+from .storage import saved
+
 
 def accuracy(predicted: str, actual: str, where: Column | None = None) -> Column:
     """Share of equal pairs among rows where `where` holds; 0 if there are none."""
@@ -17,12 +19,14 @@ def accuracy(predicted: str, actual: str, where: Column | None = None) -> Column
 
 
 def auc(scores: DataFrame, score: str = "score", positive: str = "positive", missing: float = 0.5) -> DataFrame:
-    """One row: ROC-AUC, ties counting half; `missing` if a class is empty. Rows are counted by score first, so what is
-    ranked is one row per distinct score."""
+    """One row: ROC-AUC, ties counting half; `missing` if a class is empty. Rows are counted by score first; scores are ranked
+    in sorted ranges, whose counts are added up, so that no task holds them all."""
     per = scores.groupBy(score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum((~F.col(positive)).cast("long")).alias("n"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    out = per.agg(F.sum(F.col("p") * (F.col("under") + F.col("n") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    per = saved(per.repartitionByRange(score).withColumn("_range", F.spark_partition_id()), "scores")
+    ranges = per.groupBy("_range").agg(F.sum("n").alias("_n")).withColumn("_under", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    below = Window.partitionBy("_range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0))).join(F.broadcast(ranges.select("_range", "_under")), "_range")
+    out = per.agg(F.sum(F.col("p") * (F.col("under") + F.col("_under") + F.col("n") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return out.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.round(F.col("u") / F.col("p") / F.col("n"), 6)).otherwise(F.lit(missing)).alias("auc"))
 
 
@@ -58,3 +62,60 @@ def latex(rows: Sequence[Sequence], header: Sequence[str]) -> str:
     """A report table, small by nature, as a LaTeX tabular."""
     lines = [" & ".join(map(str, r)) + r" \\" for r in (header, *rows)]
     return "\n".join([rf"\begin{{tabular}}{{{'l' * len(header)}}}", lines[0], r"\hline", *lines[1:], r"\end{tabular}"])
+
+
+def accuracy_table(results: DataFrame, by: Sequence[str] = ("dataset", "algorithm", "model_type")) -> DataFrame:
+    """A row per dataset, algorithm and model of community results: communities, accuracy weighted by test nodes, means over communities, those at the
+    boundary and inside over the communities that have such nodes (0 without any), and the link AUC, mean and weighted by edges."""
+    out = results.groupBy(*by).agg(
+        F.count("*").alias("n_communities"),
+        weighted("comm_test_acc", "n_test").alias("weighted_comm_acc"),
+        F.avg("comm_test_acc").alias("mean_comm_acc"),
+        F.coalesce(F.avg(F.when(F.col("n_boundary") > 0, F.col("boundary_acc"))), F.lit(0.0)).alias("mean_boundary_acc"),
+        F.coalesce(F.avg(F.when(F.col("n_internal") > 0, F.col("internal_acc"))), F.lit(0.0)).alias("mean_internal_acc"),
+        F.avg("comm_link_auc").alias("mean_comm_link_acc"),
+        weighted("comm_link_auc", "n_edges").alias("weighted_comm_link_auc"),
+    )
+    return out.select(*by, *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes if c not in by])
+
+
+#: Columns of the summary, in order: fixed names of the report.
+SUMMARY = (
+    "experiment dataset algorithm model_type n_communities global_test_acc mean_comm_acc mean_boundary_acc mean_internal_acc weighted_comm_acc baseline_acc acc_gap "
+    "mean_comm_link_acc weighted_comm_link_auc baseline_link_auc auc_gap phase1_s phase2_s phase3_s total_123_s baseline_s"
+).split()
+
+
+def summary_table(experiment: str, results: DataFrame, baselines: DataFrame, timings: DataFrame) -> DataFrame:
+    """SUMMARY's 21 columns for each dataset, algorithm and model. baselines: (dataset, model_type, test_acc, link_auc, seconds);
+    timings: (dataset, algorithm, model_type, phase, seconds), with a null model_type for the phases before training. A
+    missing baseline or time is null, in the total 0; gaps are baseline less engine, null where one is missing, also at 0 for accuracy."""
+    table = accuracy_table(results)
+    phase = lambda p: F.sum(F.when(F.col("phase") == p, F.col("seconds")))
+    early = timings.where("model_type is null").groupBy("dataset", "algorithm").agg(phase("phase1").alias("phase1_s"), phase("phase2").alias("phase2_s"))
+    late = timings.groupBy("dataset", "algorithm", "model_type").agg(phase("phase3").alias("phase3_s"))
+    base = baselines.select("dataset", "model_type", F.col("test_acc").alias("baseline_acc"), F.col("link_auc").alias("baseline_link_auc"), F.col("seconds").alias("baseline_s"))
+    out = table.join(early, ["dataset", "algorithm"], "left").join(late, ["dataset", "algorithm", "model_type"], "left").join(base, ["dataset", "model_type"], "left")
+    acc, zero = F.col("weighted_comm_acc"), F.lit(0.0)
+    out = out.withColumns({
+        "experiment": F.lit(experiment),
+        "global_test_acc": acc,
+        "acc_gap": F.round(F.nullif(F.col("baseline_acc"), zero) - F.nullif(acc, zero), 6),
+        "auc_gap": F.round(F.col("baseline_link_auc") - F.col("weighted_comm_link_auc"), 6),
+        "total_123_s": sum((F.coalesce(c, zero) for c in ("phase1_s", "phase2_s", "phase3_s")), zero),
+    })
+    return out.select(*SUMMARY)
+
+
+def summary_box(experiment: str, rows: Sequence, width: int = 62) -> str:
+    """A summary's rows, one per dataset, algorithm and model and small by nature, in a frame of text."""
+    line = lambda label, value: f"| {f'{label:<30} {value}':<{width - 2}} |"
+    shown = lambda v, unit="": "-" if v is None else f"{v:.4f}" if not unit else f"{v:.1f}{unit}"
+    edge, out = "+" + "-" * width + "+", []
+    out += [edge, line("experiment", experiment), edge]
+    for r in rows:
+        name = f"[{r['algorithm']}-{r['model_type']}]"
+        out += [line("dataset", r["dataset"]), line(f"{name} communities", r["n_communities"])]
+        out += [line(f"{name} {label}", shown(r[c])) for label, c in (("accuracy", "weighted_comm_acc"), ("boundary accuracy", "mean_boundary_acc"), ("internal accuracy", "mean_internal_acc"), ("link AUC", "weighted_comm_link_auc"))]
+        out += [line("baseline accuracy", shown(r["baseline_acc"])), line("baseline link AUC", shown(r["baseline_link_auc"])), line("seconds, phases 1 to 3", shown(r["total_123_s"], "s")), edge]
+    return "\n".join(out)

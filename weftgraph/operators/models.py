@@ -104,8 +104,16 @@ def leaky(v: Value, slope: float = 0.2) -> Value:
     return v.map(lambda x: np.where(x > 0, x, slope * x), lambda x, y: np.where(x > 0, 1, slope))
 
 
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
 def sigmoid(v: Value) -> Value:
-    return v.map(lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60))), lambda x, y: y * (1 - y))
+    return v.map(_logistic, lambda x, y: y * (1 - y))
+
+
+def softplus(v: Value) -> Value:
+    return v.map(lambda x: np.logaddexp(0, x), lambda x, y: _logistic(x))
 
 
 def gather_sum(v: Value, to: np.ndarray, n: int) -> Value:
@@ -250,7 +258,7 @@ class Network:
             raise ValueError(f"unknown model {kind}: one of {', '.join(KINDS)}")
         layer, heads, self.between = KINDS[kind]
         self.kind, self.dropout, self.rng = kind, dropout, np.random.default_rng(seed)
-        self.layers = [layer(width, hidden, heads), layer(hidden, hidden)]
+        self.layers, self.last = [layer(width, hidden, heads), layer(hidden, hidden)], relu if kind == "sage" else None
         shapes = {f"{i}.{k}": s for i, l in enumerate(self.layers) for k, s in l.shapes.items()} | {"head": (hidden, classes), "head0": (classes,)}
         if kind == "clusterscl":
             shapes |= {"p": (hidden, hidden), "p0": (hidden,), "o": (hidden, PROJECTION), "o0": (PROJECTION,), "clusters": (PROJECTION, max(2, classes))}
@@ -270,7 +278,7 @@ class Network:
         parts = [{k.split(".", 1)[1]: v for k, v in w.items() if k.startswith(f"{i}.")} for i in range(2)]
         first = self.between(self.layers[0](parts[0], Value(x), src, dst))
         out = self.layers[1](parts[1], self._dropped(first, training), src, dst)
-        return relu(out) if self.kind == "sage" else out
+        return self.last(out) if self.last else out
 
     def forward(self, x, src, dst) -> tuple[np.ndarray, np.ndarray]:
         """(embedding, scores of the classes)."""
@@ -301,12 +309,67 @@ class Network:
         return float(total.x) + decay / 2 * sum((v**2).sum() for v in self.w.values()), grad
 
     def fit(self, x, src, dst, y, rows, epochs: int, lr: float, anchor=None) -> None:
-        m, v = ({k: np.zeros_like(a) for k, a in self.w.items()} for _ in range(2))
-        for t in range(1, epochs + 1):
-            _, grad = self.loss(x, src, dst, y, rows, anchor=anchor)
-            for k, g in grad.items():
-                m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
-                self.w[k] = self.w[k] - lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+        adam = Adam(self.w, lr)
+        for _ in range(epochs):
+            adam.step(self.loss(x, src, dst, y, rows, anchor=anchor)[1])
+
+
+class Adam:
+    """Steps of Adam on weights by name, in place of what the dictionary holds."""
+
+    def __init__(self, w: dict[str, np.ndarray], lr: float):
+        self.w, self.lr, self.t = w, lr, 0
+        self.m, self.v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
+
+    def step(self, grad: dict[str, np.ndarray]) -> None:
+        self.t += 1
+        for k, g in grad.items():
+            self.m[k], self.v[k] = 0.9 * self.m[k] + 0.1 * g, 0.999 * self.v[k] + 0.001 * g * g
+            self.w[k] = self.w[k] - self.lr * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
+
+
+class LinkNetwork(Network):
+    """A network's two layers, and two linear layers that score an edge by the product of its ends' embeddings; fitted by Adam on
+    cross-entropy of edges against as many pairs that are none, drawn anew each epoch. Messages pass over training edges only."""
+
+    def __init__(self, kind: str, width: int, hidden: int, seed: int = 42, dropout: float = 0.0):
+        super().__init__("gat" if kind == "clusterscl" else kind, width, hidden, 1, seed, dropout)
+        self.w = {k: v for k, v in self.w.items() if not k.startswith("head")}
+        self.w |= {k: self._begin(s) for k, s in {"f": (hidden, hidden), "f0": (hidden,), "g": (hidden, 1), "g0": (1,)}.items()}
+        self.last = None
+
+    def _scores(self, w: dict[str, Value], z: Value, pairs: np.ndarray) -> Value:
+        return (relu((z[pairs[:, 0]] * z[pairs[:, 1]]) @ w["f"] + w["f0"]) @ w["g"] + w["g0"]).reshape(-1)
+
+    def link_loss(self, x, src, dst, edges: np.ndarray, others: np.ndarray, decay: float = 5e-4):
+        w = {k: Value(v) for k, v in self.w.items()}
+        z = self.embed(w, x, src, dst, True)
+        total = (softplus(-self._scores(w, z, edges)).sum() + softplus(self._scores(w, z, others)).sum()) * (1 / max(len(edges) + len(others), 1))
+        total.backward()
+        grad = {k: (0.0 if v.grad is None else v.grad) + decay * self.w[k] for k, v in w.items()}
+        return float(total.x) + decay / 2 * sum((v**2).sum() for v in self.w.values()), grad
+
+    def fit_links(self, x, src, dst, edges: np.ndarray, taken: np.ndarray, epochs: int, lr: float) -> None:
+        adam = Adam(self.w, lr)
+        for _ in range(epochs):
+            adam.step(self.link_loss(x, src, dst, edges, no_edges(self.rng, len(edges), len(x), taken))[1])
+
+    def score(self, x, src, dst, pairs: np.ndarray) -> np.ndarray:
+        w = {k: Value(v) for k, v in self.w.items()}
+        return self._scores(w, self.embed(w, x, src, dst), pairs).x
+
+
+def no_edges(rng: np.random.Generator, n: int, nodes: int, taken: np.ndarray, tries: int = 20) -> np.ndarray:
+    """n pairs of different nodes that are no edge, fewer if `tries` rounds of draws don't find as many. taken: a * nodes + b of each edge, both ways, sorted."""
+    out = np.zeros((0, 2), np.int64)
+    for _ in range(tries):
+        drawn = rng.integers(0, nodes, (n - len(out), 2))
+        at = drawn[:, 0] * nodes + drawn[:, 1]
+        known = taken[np.minimum(np.searchsorted(taken, at), len(taken) - 1)] == at if len(taken) else np.zeros(len(at), bool)
+        out = np.concatenate([out, drawn[~known & (drawn[:, 0] != drawn[:, 1])]])
+        if len(out) == n:
+            break
+    return out
 
 
 def stack(parts: Sequence[Value]) -> Value:

@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import re
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 class TableStore:
-    """Tables under a root folder, in any store that Hadoop's file systems reach. A table exists once its pointer does,
-    so a write that fails leaves the version before. The pointer also keeps a fingerprint of the configuration."""
+    """Tables under a root folder, in any store that Hadoop's file systems reach. A table exists once it has a pointer, of which
+    that of the highest number holds: a write adds one and removes none, so one that fails at any point leaves
+    the version before. The pointer also keeps a fingerprint of the configuration. One writer at a time."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _pointer(self, name: str):
-        return self._path(f"{self.root}/{name}/_current.json")
+    def _pointers(self, name: str) -> list[int]:
+        folder = self._path(f"{self.root}/{name}")
+        found = [re.fullmatch(r"_current-(\d+)\.json", x.getPath().getName()) for x in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted(int(m[1]) for m in found if m)
+
+    def _pointer(self, name: str, number: int):
+        return self._path(f"{self.root}/{name}/_current-{number:09d}.json")
 
     def _read_pointer(self, name: str) -> dict | None:
-        if not self._fs.exists(self._pointer(name)):
+        if not (numbers := self._pointers(name)):
             return None
-        stream = self._fs.open(self._pointer(name))
+        stream = self._fs.open(self._pointer(name, numbers[-1]))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
@@ -48,8 +58,7 @@ class TableStore:
             out.write(bytearray(json.dumps({"versions": versions, "config": json.loads(json.dumps(config, sort_keys=True))}).encode()))
         finally:
             out.close()
-        self._fs.delete(self._pointer(name), False)
-        if not self._fs.rename(temporary, self._pointer(name)):
+        if not self._fs.rename(temporary, self._pointer(name, max(self._pointers(name), default=0) + 1)):
             raise OSError(f"{name} could not be published")
 
     def _write(self, df: DataFrame, name: str) -> str:
@@ -73,8 +82,10 @@ class TableStore:
         return self.read(name)
 
     def vacuum(self, name: str) -> int:
-        """Delete the versions that no pointer names; how many."""
+        """Delete pointers but the last and the versions that it doesn't name; how many versions."""
         at, gone = self._read_pointer(name), 0
+        for number in self._pointers(name)[:-1]:
+            self._fs.delete(self._pointer(name, number), False)
         for entry in self._fs.listStatus(self._path(f"{self.root}/{name}")) if at else []:
             leaf = entry.getPath().getName()
             if leaf.startswith(("v-", "_next-")) and leaf not in at["versions"]:
@@ -101,15 +112,29 @@ class TableStore:
             stream.close()
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the folder all executors share, spark.checkpoint.dir, and read back."""
-    import tempfile
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir; where it is unset and Spark is local, as in tests, one of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='weft-')}"
+        atexit.register(shutil.rmtree, named.removeprefix("file://"), True)
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: a cut of the lineage that survives lost executors."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='weft-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/weft/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/weft/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weft_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of saved() that nothing will read again."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._weft_path)
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

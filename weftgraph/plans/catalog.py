@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.core import dot, hadamard, l2_normalize, spread, spread_sql
 from weftgraph.operators import graph as G
 from weftgraph.operators import learn, metrics
-from weftgraph.operators.storage import TableStore
+from weftgraph.operators.storage import TableStore, shared_dir
 from weftgraph.sources import graphs
 
 LEAST, CLASSES, ROUNDS = 10, 26, 5
@@ -165,7 +165,7 @@ def _add() -> None:
 
     over_communities(f"{_MAPPED} SELECT id, mapped, community_id, is_major FROM mapped")(_named("major_minor", lambda g, c: G.mapped(c, LEAST)))
     for scope, extra in (("all", ""), ("masked", "JOIN masks USING (id)")):
-        over_communities(f"{_MAPPED}, {wide} SELECT community_id, CAST(dim AS INTEGER) AS dim, round(avg(x::DOUBLE), 6) AS mean FROM f JOIN mapped USING (id) {extra} WHERE is_major GROUP BY ALL")(_named(f"super_centroids_{scope}", lambda g, c, scope=scope: G.centroids(g, c, LEAST, scope).withColumn("mean", F.round("mean", 6))))
+        over_communities(f"{_MAPPED}, {wide} SELECT community_id, CAST(dim AS INTEGER) AS dim, round(avg(x::DOUBLE), 6) AS mean FROM f JOIN mapped USING (id) {extra} WHERE is_major GROUP BY ALL")(_named(f"super_centroids_{scope}", lambda g, c, scope=scope: G.centroids(g, c, LEAST, scope).select("community_id", F.posexplode("features").alias("dim", "mean")).withColumn("mean", F.round("mean", 6))))
     over_communities(f"{_MAPPED}, {_SUPER} SELECT src_mapped, dst_mapped FROM super")(_named("super_edges", lambda g, c: G.contracted_edges(g.edges, c, LEAST)))
     over_communities(f"{_MAPPED}, {_LOCAL} SELECT community_id, src, dst FROM local")(_named("super_local_edges", lambda g, c: G.local_edges(g.edges, c, LEAST)))
     over_communities(f"{_MAPPED}, {_LOCAL} SELECT m.community_id, n_nodes, coalesce(e, 0) AS n_local_edges, coalesce(s, 0) AS n_supers, coalesce(k, 0) AS n_minors FROM (SELECT community_id, count(*) AS n_nodes FROM mapped WHERE is_major GROUP BY 1) m LEFT JOIN (SELECT l.community_id, count(*) AS e, count(DISTINCT dst) FILTER (dst <= -1000) AS s, count(DISTINCT dst) FILTER (NOT is_major) AS k FROM local l LEFT JOIN mapped p ON dst = p.id GROUP BY 1) t USING (community_id)")(_named("super_local_stats", lambda g, c: G.local_stats(g, c, LEAST)))
@@ -174,14 +174,14 @@ def _add() -> None:
     n2 = "sqrt(list_sum(list_transform(features, lambda v: v::DOUBLE * v::DOUBLE)))"
     over_graph(f"{_BASE}, {wide}, n AS (SELECT id, {n2} AS l FROM nodes) SELECT id, CAST(dim AS INTEGER) AS dim, round(CASE WHEN l > 0 THEN x::DOUBLE / l ELSE 0 END, 6) AS x FROM f JOIN n USING (id)")(_named("l2_normalize", lambda g: lists(g.nodes.select("id", l2_normalize(F.col("features")).alias("v")), "v")))
     hop = "{b} AS MATERIALIZED (SELECT dst AS id, dim, avg(x::DOUBLE) AS x FROM edges JOIN {a} ON src = {a}.id GROUP BY ALL)"
-    long = lambda g: g.nodes.select("id", F.posexplode("features").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
-    over_graph(f"{_BASE}, {wide}, {hop.format(a='f', b='h1')} SELECT id, CAST(dim AS INTEGER) AS dim, round(x, 6) AS x FROM h1")(_named("mean_aggregate_1hop", lambda g: G.mean_aggregate(long(g), g.edges).withColumn("x", F.round("x", 6))))
-    over_graph(f"{_BASE}, {wide}, {hop.format(a='f', b='h1')}, {hop.format(a='h1', b='h2')} SELECT id, CAST(dim AS INTEGER) AS dim, round(x, 6) AS x FROM h2")(_named("mean_aggregate_2hop", lambda g: G.mean_aggregate(G.mean_aggregate(long(g), g.edges), g.edges).withColumn("x", F.round("x", 6))))
+    long = lambda df: df.select("id", F.posexplode("features").alias("dim", "x")).withColumn("x", F.round("x", 6))
+    over_graph(f"{_BASE}, {wide}, {hop.format(a='f', b='h1')} SELECT id, CAST(dim AS INTEGER) AS dim, round(x, 6) AS x FROM h1")(_named("mean_aggregate_1hop", lambda g: long(G.mean_aggregate(g.nodes, g.edges))))
+    over_graph(f"{_BASE}, {wide}, {hop.format(a='f', b='h1')}, {hop.format(a='h1', b='h2')} SELECT id, CAST(dim AS INTEGER) AS dim, round(x, 6) AS x FROM h2")(_named("mean_aggregate_2hop", lambda g: long(G.mean_aggregate(G.mean_aggregate(g.nodes, g.edges), g.edges))))
     items = "i AS (SELECT DISTINCT l_suppkey AS id, l_partkey % 300 AS item FROM lineitem), t AS (SELECT item, count(*) AS n FROM i GROUP BY 1 ORDER BY n DESC, item LIMIT 128)"
     query(f"WITH {items} SELECT id, count(t.item) AS ones, CAST(coalesce(sum(t.item), 0) AS BIGINT) AS item_sum FROM i LEFT JOIN t USING (item) GROUP BY id")(_named("multi_hot_topk", _multi_hot))
     over_graph(f"{_BASE} SELECT src, dst FROM edges ORDER BY {spread_sql(42, 'src', 'dst')}, src, dst LIMIT 500")(_named("edge_cap_sample", lambda g: G.edge_sample(g.edges, 500)))
     over_graph(f"{_BASE}, h AS (SELECT src, dst, {spread_sql(42, 'src', 'dst')} % 1000 AS h FROM edges WHERE src < dst) SELECT src, dst, CASE WHEN h < 800 THEN 'train' WHEN h < 900 THEN 'valid' ELSE 'test' END AS split FROM h")(_named("link_split", lambda g: G.link_split(g.edges)))
-    over_graph(f"{_BASE}, d AS (SELECT DISTINCT src, {spread_sql(42, 'src', 'dst')} % 200 AS dst FROM edges WHERE src < dst) SELECT d.src, d.dst FROM d LEFT JOIN edges e ON d.src = e.src AND d.dst = e.dst WHERE d.src <> d.dst AND e.src IS NULL")(_named("negative_samples", lambda g: G.negative_samples(g.edges, 200)))
+    over_graph(f"{_BASE}, o AS (SELECT id AS dst, row_number() OVER (ORDER BY id) - 1 AS place FROM nodes), d AS (SELECT DISTINCT src, o.dst FROM edges JOIN o ON place = {spread_sql(42, 'src', 'edges.dst')} % (SELECT count(*) FROM nodes) WHERE src < edges.dst) SELECT d.src, d.dst FROM d LEFT JOIN edges e ON d.src = e.src AND d.dst = e.dst WHERE d.src <> d.dst AND e.src IS NULL")(_named("negative_samples", lambda g: G.negative_samples(g.edges, g.nodes)))
     over_graph(f"{_BASE} SELECT src, dst FROM edges QUALIFY row_number() OVER (PARTITION BY dst ORDER BY {spread_sql(42, 'src', 'dst')}, src) <= 3")(_named("neighbor_sample_fanout", lambda g: G.neighbor_sample(g.edges, 3)))
     scored = f"{_BASE}, s AS (SELECT src, dst, list_transform(list_zip(a.features, b.features), lambda z: z[1]::DOUBLE * z[2]::DOUBLE) AS v FROM edges JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id)"
     over_graph(f"{scored} SELECT src, dst, round(list_sum(v), 6) AS score FROM s")(_named("edge_dot_product", lambda g: G.edge_scores(g.edges, g.nodes, F.round(dot(F.col("a"), F.col("b")), 6))))
@@ -222,8 +222,15 @@ def _add() -> None:
         over_graph(None)(_named(f"{model}_baseline", lambda g, model=model: learn.train_baseline(g, CLASSES, epochs=10, model=model)))
     over_graph(None)(_named("baseline_over_runs", lambda g: learn.over_runs([learn.train_baseline(g, CLASSES, epochs=5, seed=42 + i) for i in range(3)], "comm_test_acc", "n_test")))
     over_graph(None)(_named("lpa_halves", lambda g: G.label_propagation_halves(g.nodes, g.edges)))
-    over_graph(None)(_named("louvain_communities", lambda g: G.louvain_moves(g.nodes, g.edges)))
-    over_graph(None)(_named("kway_parts", lambda g: G.balanced_parts(g.nodes, 16, by=G.label_propagation(g.nodes, g.edges, 3))))
+    over_graph(None)(_named("louvain_communities", lambda g: G.louvain(g.nodes, g.edges)))
+    over_graph(None)(_named("leiden_communities", lambda g: G.louvain(g.nodes, g.edges, refine=True)))
+    over_graph(None)(_named("kway_parts", lambda g: G.kway_parts(g.nodes, g.edges, 16, by=G.label_propagation(g.nodes, g.edges, 3))))
+    held = f"{misc_ends}, l AS (SELECT c_src AS community_id, {spread_sql(42, 'src', 'dst')} % 1000 AS h FROM ends WHERE c_src = c_dst AND src < dst)"
+    over_communities(f"{held} SELECT community_id, count(*) FILTER (h < 800) AS n_train, count(*) FILTER (h >= 800 AND h < 900) AS n_valid, count(*) FILTER (h >= 900) AS n_test FROM l GROUP BY 1")(_named("link_split_sizes", _link_sizes))
+    over_communities(None)(_named("link_community_metrics", lambda g, c: learn.train_communities(g, G.min_size(c, LEAST), CLASSES, epochs=1, link_epochs=30, expand=False)))
+    over_communities(None)(_named("sage_binned_metrics", lambda g, c: learn.train_communities(g, learn.split_misc(G.min_size(c, LEAST), 1000), CLASSES, epochs=10, per_bin=8)))
+    over_graph(None)(_named("link_baseline", lambda g: learn.train_baseline(g, CLASSES, epochs=1, link_epochs=30, link_shares=(0.64, 0.16))))
+    over_graph(None)(_named("sage_sampled_baseline", lambda g: learn.train_sampled(g, CLASSES, epochs=4)))
     over_communities(
         f"""{_COMM}, t AS (SELECT a.community_id AS cs, b.community_id AS cd FROM edges JOIN comm a ON src = a.id JOIN comm b ON dst = b.id), d AS (SELECT cs, count(*)::DOUBLE AS d, count(*) FILTER (cs = cd) AS i FROM t GROUP BY 1)
         SELECT round(sum(i) / sum(d) - sum(d * d) / sum(d) / sum(d), 6) AS modularity FROM d"""
@@ -250,6 +257,14 @@ def _warm(g: G.Graph, c: DataFrame) -> DataFrame:
     return learn.train_communities(g, kept, CLASSES, start=start, anchors=anchors, probe_epochs=20)
 
 
+def _link_sizes(g: G.Graph, c: DataFrame) -> DataFrame:
+    """How many of each community's undirected edges, each once, are trained on, kept for validation and tested on."""
+    inside = G.intra_edges(g.edges, G.min_size(c, LEAST))
+    split = G.link_split(inside.select("src", "dst")).join(inside, ["src", "dst"])
+    n = lambda s: F.count(F.when(F.col("split") == s, 1)).alias(f"n_{s}")
+    return split.groupBy("community_id").agg(n("train"), n("valid"), n("test"))
+
+
 def predictions(nodes: DataFrame) -> DataFrame:
     """A fixed stand-in for a model: three labels in four are right, and scores have ties."""
     wrong = F.col("label") % 25 + 1
@@ -298,7 +313,7 @@ def _multi_hot(spark: SparkSession, sf: str) -> DataFrame:
 def _roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     import uuid
 
-    store = TableStore(spark, f"{_shared(spark)}/store-{uuid.uuid4().hex}")
+    store = TableStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
     store.overwrite(_read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("size")), "t", {"k": 1})
     store.append(_read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("long").alias("size")), "t")
     store.compact("t", 4)
@@ -306,10 +321,4 @@ def _roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return store.read("t")
 
 
-def _shared(spark: SparkSession) -> str:
-    import tempfile
-
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='weft-')}").rstrip("/")
-
-
 _add()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +54,54 @@ def numpy_arrays(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
     return {k.replace("-", "_"): data[k] for k in data.files if k.replace("-", "_") in ("node_feat", "edge_index", "node_label")}
 
 
+def npy_rows(spark: SparkSession, path: str, per_task: int = 1 << 16) -> DataFrame:
+    """(row, x array<double>) of an .npy file of one or two dimensions, C order. Tasks read ranges of its rows, of which none
+    holds the file; the path is one that pyarrow's file systems reach from every executor (a plain path, file, s3, gs, hdfs)."""
+    system, at = _file(path)
+    with system.open_input_file(at) as f:
+        version = np.lib.format.read_magic(f)
+        shape, fortran, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+        start = f.tell()
+    if fortran and len(shape) > 1 or len(shape) not in (1, 2) or dtype.hasobject:
+        raise ValueError("an array of numbers, of one or two dimensions in C order")
+    width = shape[1] if len(shape) == 2 else 1
+
+    def run(batches):
+        system, at = _file(path)
+        with system.open_input_file(at) as f:
+            for b in batches:
+                for first in b.column(0).to_pylist():
+                    n = min(per_task, shape[0] - first)
+                    raw = f.read_at(n * width * dtype.itemsize, start + first * width * dtype.itemsize)
+                    x = np.frombuffer(raw, dtype, n * width).astype(float)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(x))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n)), lists], names=["row", "x"])
+
+    tasks = max(1, -(-shape[0] // per_task))
+    return spark.range(0, shape[0], per_task, min(tasks, 10_000)).mapInArrow(run, "row long, x array<double>")
+
+
+def _file(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def npy_graph(spark: SparkSession, edge_index: str, features: str | None = None, labels: str | None = None, width: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of .npy files, read by ranges: edge_index has a row for each edge, source and target. Without
+    features, all ones of `width`; without labels, zeros; NaN labels are -1. Without features, nodes are the edges' ends."""
+    pairs = npy_rows(spark, edge_index)
+    edges = pairs.select(F.col("x")[0].cast("long").alias("src"), F.col("x")[1].cast("long").alias("dst"))
+    if features:
+        nodes = npy_rows(spark, features).select(F.col("row").alias("id"), F.transform("x", lambda v: v.cast("float")).alias("features"))
+    else:
+        nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("features", F.array_repeat(F.lit(1.0).cast("float"), width))
+    if labels:
+        y = npy_rows(spark, labels).select(F.col("row").alias("id"), F.coalesce(F.nanvl(F.col("x")[0], F.lit(None).cast("double")).cast("int"), F.lit(-1)).alias("label"))
+        return nodes.join(y, "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"), "features"), edges
+    return nodes.select("id", F.lit(0).alias("label"), "features"), edges
+
+
 def from_arrays(spark: SparkSession, edge_index: np.ndarray, n: int | None = None, features: np.ndarray | None = None, labels: np.ndarray | None = None, width: int = 1) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of arrays on the driver. Without features, all ones of `width`; without labels, zeros; NaN labels are -1."""
     n = n if n is not None else int(edge_index.max(initial=-1)) + 1 if features is None else len(features)
