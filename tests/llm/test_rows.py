@@ -606,7 +606,7 @@ def test_even_join_by_brute_force(spark):
     rows = [(7, i) for i in range(3000)] + [(950, i) for i in range(3000)] + [(i, i) for i in range(1000)] + [(None, 1)] * 2000
     left, right = common.saved(spark.createDataFrame(rows, "k long, x long"), "t"), spark.range(900).select(F.col("id").alias("k"), (F.col("id") * 2).alias("y"))
     for how, dropped in (("inner", True), ("left", False)):
-        got = sorted(map(tuple, common.even_join(left, right, "k", how, 10).collect()), key=str)
+        got = sorted(map(tuple, common.even_join(left, right, "k", how, 10, 100).collect()), key=str)
         assert got == sorted([(k, x, 2 * k if k is not None and k < 900 else None) for k, x in rows if not dropped or k is not None and k < 900], key=str)
 
 

@@ -1,57 +1,28 @@
-"""Helpers that the operators share: tables in the shared folder, word patterns, distributed running sums."""
+"""Helpers that the operators share: tables in the shared folder, word patterns, joins on crowded keys, distributed running sums."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators.storage import discard, saved, shared_dir  # noqa: F401
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where it is unset and Spark is local, as in tests, one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='weft-')}"
-        atexit.register(shutil.rmtree, named.removeprefix("file://"), True)
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: a cut of the lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weft/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._weft_path = path
-    return out
-
-
-def discard(table: DataFrame) -> None:
-    """Delete a table of saved() that nothing will read again."""
-    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._weft_path)
-    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def even_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", most: int = 1000) -> DataFrame:
+def even_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", most: int = 1000, least: int = 1000) -> DataFrame:
     """left joined with right, which has one row a key at most, where a key may hold any share of left's rows. Keys with over
-    1 / `most` of them are fewer than `most`, so right's rows of these are sent whole; of the rest none is crowded. left is
-    read three times: a table."""
-    total = left.agg((F.count("*") / F.lit(most)).alias("_bar"))
-    hot = left.groupBy(key).agg(F.count("*").alias("_n")).join(F.broadcast(total), F.col("_n") > F.col("_bar")).select(key)
-    hot = F.broadcast(hot.where(F.col(key).isNotNull()))
-    crowded = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, how)
-    out = crowded.unionByName(left.where(F.col(key).isNotNull()).join(hot, key, "left_anti").join(right, key, how))
+    1 / `most` of them, and over `least`, are fewer than `most`, so right's rows of these are sent whole; of the rest none is crowded. left is
+    read more than once: a table."""
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    hot = counts.where(F.col("_n") > max(left.count() // most, least)).select(key).toArrow()
+    if not hot.num_rows:
+        out = left.where(F.col(key).isNotNull()).join(right, key, how)
+    else:
+        hot = F.broadcast(left.sparkSession.createDataFrame(hot, counts.select(key).schema))
+        crowded = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, how)
+        out = crowded.unionByName(left.where(F.col(key).isNotNull()).join(hot, key, "left_anti").join(right, key, how))
     if how == "left":  # rows without a key find none
         out = out.unionByName(left.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(t).alias(c) for c, t in right.dtypes if c != key]))
     return out

@@ -158,8 +158,9 @@ def common_shingles(texts: DataFrame, words: int, sample: int = 4096, most: int
 
     step = max(1, -(-texts.count() // sample))
     some = texts.select("text").where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).distinct()
-    counts = some.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(most).collect()
-    hashes, n = np.array([r.shingle for r in counts], np.int64).view(np.uint64), np.array([r.n for r in counts], np.int64)
+    counts = some.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(most).toArrow()
+    hashes, n = (counts.column(c).to_numpy().astype(np.int64) for c in ("shingle", "n"))
+    hashes = hashes.view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], n[order], step
 

@@ -269,11 +269,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 1024, k: int = 1
     model = Model(vocabulary, weight, ids[order], y[order], index, weights, rate, k)
     if len(y):
         told: list[float] = []
-        for at in range(0, len(rows), 512):
-            part = rows[at : at + 512]
+        for at in range(0, len(rows), 128):  # bounded on the driver
+            part = rows[at : at + 128]
             starts = np.cumsum([0, *(len(t) for t, _ in part)])
             told += [v for v, _, _ in model.votes(np.concatenate([t for t, _ in part]), np.concatenate([c for _, c in part]), starts, np.arange(at, at + len(part)))]
         model.knots = _isotonic(np.array(told), model.labels, weights[model.labels])
+    pa.default_memory_pool().release_unused()
     return model
 
 
