@@ -55,18 +55,39 @@ def test_shards_by_brute_force(spark):
         child = min(node, key=lambda c: draw(key, level, c, total(node[c])))
         return place(key, node[child], level + 1) if isinstance(node[child], dict) else child
 
-    grown = sharding.tree(16) | {2: {4: {16: 1.0}}}
+    def filled(key, n):
+        drawn = []
+        for r, racks in sharding.tree(-(-n // 8) * 8).items():
+            drawn.append((draw(key, 0, r, 8.0), place(key, racks, 1)))
+        hits = [x for x in drawn if x[1] < n]
+        return min(hits)[1] if hits else min((draw(key, 3, i, 1.0), i) for i in range(n))[1]
+
     for i in range(3000):
         text = rows[i][1].encode()
         r = got[i]
         assert (r.size, r.text_crc32, r.law) == (len(text) + 1, zlib.crc32(text), "key")
-        assert r.shard == place(i, sharding.tree(16)) and r.grown_shard == place(i, grown)
+        assert r.shard == filled(i, 16) == place(i, sharding.tree(16)) and r.grown_shard == filled(i, 17)
         assert r.grown_shard in (r.shard, 16)
-    assert sum(r.grown_shard == 16 for r in got.values()) > 100
+    assert sum(r.grown_shard == 16 for r in got.values()) > 90
     for s in range(16):
         assert sorted(r.slot for r in got.values() if r.shard == s) == list(range(sum(r.shard == s for r in got.values())))
 
 
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    """From any number of shards; and a row that is repeated very often is dealt out over slots."""
+    ns = [1, 2, 3, 7, 8, 11, 12, 15, 16, 17, 23, 24]
+    at = spark.range(2000).select(*[sharding.filled_shard_of(F.col("id"), n).alias(f"s{n}") for n in sorted({*ns, *(n + 1 for n in ns)})]).collect()
+    for n in ns:
+        assert all(r[f"s{n + 1}"] in (r[f"s{n}"], n) for r in at) and {r[f"s{n}"] for r in at} == set(range(n))
+    docs = spark.createDataFrame([(None, "x", "en", "a", 1)] * 500 + [(i, "x", "en", "a", 1) for i in range(50)], DOCS)
+    out = sharding.hash_tree_shards(docs, 4, rows_per_bucket=16).collect()
+    assert len(out) == 550 and len({(r.shard, r.slot) for r in out}) == 550
+    for s in range(4):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    grown = {r.doc_id: r.grown_shard for r in out}
+    assert grown == {r.doc_id: r.shard for r in sharding.hash_tree_shards(docs, 5).collect()}
+
+
 def test_weights_confine_movement(spark):
     ids = spark.range(4000)
     before = sharding.shard_of(F.col("id"), sharding.tree(16))

@@ -77,7 +77,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.curriculum_mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mix = mixing.curriculum_mix(read(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", F.size("copies").alias("epochs"), F.round("position", 6).alias("position"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,9 +126,10 @@ SQL: dict[str, str] = {
         s3 AS (SELECT *, CAST(sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER f, 0) AS BIGINT) AS l, CAST(sum(w) OVER () - coalesce(sum(w) OVER f, 0) AS BIGINT) AS lw
             FROM s2 WINDOW f AS (ORDER BY source_size / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         s4 AS (SELECT *, l * w >= 3 * source_size * lw AS is_full FROM s3),
-        s5 AS (SELECT source, source_size, w, is_full, (SELECT l FROM s4 WHERE NOT is_full ORDER BY source_size / w, no LIMIT 1) AS l, (SELECT lw FROM s4 WHERE NOT is_full ORDER BY source_size / w, no LIMIT 1) AS lw FROM s4),
-        s6 AS (SELECT source, source_size, CASE WHEN is_full THEN CAST(3 * source_size AS DOUBLE) ELSE l * w / lw END AS target FROM s5),
-        p AS (SELECT d.*, source_size, target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS b FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source)
-        SELECT doc_id, size, source_size, target, CAST(greatest(0, least(size, floor(target + 0.5) - b)) + greatest(0, least(size, floor(target + 0.5) - b - source_size))
-            + greatest(0, least(size, floor(target + 0.5) - b - 2 * source_size)) AS BIGINT) AS taken FROM p""",
+        s5 AS (SELECT source, source_size, no, w, is_full, (SELECT l FROM s4 WHERE NOT is_full ORDER BY source_size / w, no LIMIT 1) AS l, (SELECT lw FROM s4 WHERE NOT is_full ORDER BY source_size / w, no LIMIT 1) AS lw FROM s4),
+        s6 AS (SELECT source, source_size, no, CASE WHEN is_full THEN CAST(3 * source_size AS DOUBLE) ELSE l * w / lw END AS target FROM s5),
+        p AS (SELECT d.*, source_size, target, no, floor(target + 0.5) AS q, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS b FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source),
+        c AS (SELECT *, greatest(0, least(size, q - b)) AS t0, greatest(0, least(size, q - b - source_size)) AS t1, greatest(0, least(size, q - b - 2 * source_size)) AS t2, b / target AS d FROM p)
+        SELECT doc_id, size, source_size, target, CAST(t0 + t1 + t2 AS BIGINT) AS taken, CAST((t0 > 0)::INTEGER + (t1 > 0)::INTEGER + (t2 > 0)::INTEGER AS INTEGER) AS epochs,
+            CASE WHEN t0 > 0 THEN round(CASE (no - 1) % 3 WHEN 0 THEN d WHEN 1 THEN 2 * d / (0.5 + sqrt(0.25 + 2 * d)) ELSE 2 * d / (1.5 + sqrt(2.25 - 2 * d)) END, 6) END AS position FROM c""",
 }
