@@ -265,7 +265,7 @@ def test_streams():
     assert media.demultiplex(b"".join([*packets[:9], packets[8], *packets[9:]])).repeated == 1
     assert media.demultiplex(b"".join([*packets[:9], packets[8], *packets[9:]])).payload == data
     cut = media.demultiplex(b"".join([*packets[:9], *packets[10:]]))
-    assert cut.lost == 1
+    assert cut.lost == 1 and cut.missing == 184 and len(cut.payload) == len(data) - 184
     null = bytes([0x47, 0x1F, 0xFF, 0x10]) + bytes(184)
     assert media.demultiplex(b"".join([null, *packets])).payload == data
     for bad in (b"", b"x" * 188, stream[:-1], stream[188:], bytes([*stream[:10], stream[10] ^ 1, *stream[11:]])):
@@ -320,6 +320,19 @@ def test_large_components(spark):
     assert got[0, 1] == (1, (1 << 63) - 1) and got[50, 1][0] == 0
 
 
+def test_components_beyond_a_long(spark):
+    """Products of components that a double or a long doesn't hold are summed as whole numbers, then held to a long."""
+    rows = [(0, [256e18, 1.0, 3.0]), (1, [-256e18, 2.0, 0.0]), (2, [2.0**-40, 5.0, 1.0]), (3, [1e200, -1e200, 0.0]), (50, [1.0, 2.0, 0.5])]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got[r.query_id, r.vec_id] = r.score
+    for q in (0, 50):
+        for i, v in rows:
+            if i != q:
+                want = sum(math.floor(a * 256) * math.floor(b * 256) for a, b in zip(dict(rows)[q], v))
+                assert got[q, i] == max(-(1 << 63), min((1 << 63) - 1, want))
+
+
 def page(article, before="", after=""):
     return f"<!doctype html><html><head><title>T</title><style>p{{}}</style></head><body>{before}{article}{after}</body></html>"
 

@@ -93,7 +93,8 @@ def multiplex(payload: bytes) -> bytes:
 @dataclass
 class Stream:
     """What a transport stream holds: program -> {pid: stream type}, the payload of the first elementary stream,
-    and for each access unit its timestamp, offset in the payload and whether it is a random-access point."""
+    and for each access unit its timestamp, offset in the payload and whether it is a random-access point. missing: bytes
+    that elementary packets state and that didn't arrive."""
 
     programs: dict[int, dict[int, int]] = field(default_factory=dict)
     payload: bytes = b""
@@ -102,6 +103,7 @@ class Stream:
     random_access: list[bool] = field(default_factory=list)
     lost: int = 0
     repeated: int = 0
+    missing: int = 0
 
 
 def _read_section(packets: np.ndarray, starts: np.ndarray, table: int) -> bytes:
@@ -178,6 +180,7 @@ def demultiplex(media: bytes) -> Stream:
             pts = -1
         size = pes[4] << 8 | pes[5]
         body = pes[9 + pes[8] : 6 + size if size else None]
+        out.missing += max(0, 6 + size - len(pes)) if size else 0
         out.timestamps.append(pts)
         out.offsets.append(done)
         out.random_access.append(point)
@@ -193,7 +196,7 @@ def pad(data: bytes, unit: int = 64) -> bytes:
 
 
 #: What read_streams() adds to each row.
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, programs int, lost int, repeated int, timestamps array<long>, offsets array<long>, random_access array<boolean>, error string"
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, programs int, lost int, repeated int, missing long, timestamps array<long>, offsets array<long>, random_access array<boolean>, error string"
 
 
 def write_streams(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,12 +214,12 @@ def write_streams(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def features(media: bytes | None) -> tuple:
     """FEATURES of one stream; null media give nulls, and what isn't a stream nulls and an error."""
     if media is None:
-        return (None,) * 12
+        return (None,) * 13
     try:
         s = demultiplex(media)
     except (ValueError, IndexError) as e:
-        return (None, None, None, len(media), hashlib.sha256(media).hexdigest(), *(None,) * 6, str(e))
-    return (len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), len(s.programs), s.lost, s.repeated, s.timestamps, s.offsets, s.random_access, None)
+        return (None, None, None, len(media), hashlib.sha256(media).hexdigest(), *(None,) * 7, str(e))
+    return (len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), len(s.programs), s.lost, s.repeated, s.missing, s.timestamps, s.offsets, s.random_access, None)
 
 
 def read_streams(media: DataFrame, key: str = "doc_id", column: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -224,7 +227,7 @@ def read_streams(media: DataFrame, key: str = "doc_id", column: str = "media", k
     slim = media.select(F.col(key), *keep, F.col(column))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]) + ", " + FEATURES
     names = [x.split()[0] for x in FEATURES.split(", ")]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.string()]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

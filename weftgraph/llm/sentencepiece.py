@@ -194,17 +194,18 @@ class Codec:
         # Words with one marker go together, as one text: where a piece has a marker, the next word begins.
         plain = [w for w in new if len(w) > 1 and w[1] != SPACE]
         rest = [w for w in new if not (len(w) > 1 and w[1] != SPACE)]
-        if plain:
-            text = "".join(plain)
-            found = self.joined.encode(text, add_special_tokens=False).ids
+        chunks = [plain[i : i + 4096] for i in range(0, len(plain), 4096)]
+        for words, e in zip(chunks, self.joined.encode_batch_fast(["".join(c) for c in chunks], add_special_tokens=False) if chunks else [], strict=True):
+            found, text = e.ids, "".join(words)
             ids = np.array(found)
             starts = np.flatnonzero(self.begins[ids])
-            if len(starts) != len(plain):
-                raise AssertionError("words were not cut at their markers")
-            self._learn(plain, ids, np.diff(starts, append=len(ids)))
+            if len(starts) != len(words):  # not cut at their markers: each by itself
+                rest += words
+                continue
+            self._learn(words, ids, np.diff(starts, append=len(ids)))
             spoken = text[1:].replace(SPACE, " ")
             if self.own and (found != self.own.encode(spoken) or self.own.decode(found) != spoken):
-                self.differ.update(w for w in plain if self._word(w) != self.own.encode(w[1:]) or self.own.decode(self._word(w)) != w[1:])
+                self.differ.update(w for w in words if self._word(w) != self.own.encode(w[1:]) or self.own.decode(self._word(w)) != w[1:])
         if rest:
             found = [e.ids for e in self.single.encode_batch_fast(rest, add_special_tokens=False)]
             self._learn(rest, np.array([x for ids in found for x in ids]), np.array([len(x) for x in found]))

@@ -19,8 +19,9 @@ def _dots(vectors: np.ndarray, query: np.ndarray, exact: bool) -> np.ndarray:
     """Integer inner products; exact: whether doubles hold all sums. Beyond that by Python's integers, held to the range of a long."""
     if exact:
         return (vectors @ query).astype(np.int64)
-    wide = vectors.astype(object) @ query.astype(object)
-    return np.array([max(-(1 << 63), min((1 << 63) - 1, int(x))) for x in wide], np.int64)
+    whole = np.frompyfunc(int, 1, 1)
+    wide = whole(vectors) @ whole(query)
+    return np.array([max(-(1 << 63), min((1 << 63) - 1, x)) for x in wide], np.int64)
 
 
 class PivotSearch:
@@ -45,12 +46,12 @@ class PivotSearch:
     def add(self, ids: np.ndarray, vectors: np.ndarray, table: np.ndarray) -> None:
         norms = (vectors**2).sum(1)
         largest = max(float(norms.max(initial=0)), float(self.norms.max(initial=0)))
-        exact = largest < _SAFE
+        exact, bounded = largest < _SAFE, largest < 1e300  # beyond, distances say nothing
         first = 8 * self.k
         for q in range(len(self.ids)):
             bound = np.abs(table - self.table[q]).max(1) if table.shape[1] else np.zeros(len(ids))
             upper = (norms + self.norms[q] - np.maximum(bound * (1 - 1e-9) - 1e-6 * np.sqrt(largest), 0) ** 2) / 2
-            upper += 1 + 1e-9 * largest
+            upper = upper + 1 + 1e-9 * largest if bounded else np.full(len(ids), np.inf)
             have_ids, have = self.best[q]
             open_ = np.flatnonzero(upper >= have[-1]) if len(have) == self.k else np.arange(len(ids))
             if not len(open_):
@@ -82,7 +83,6 @@ def top_k(embeddings: DataFrame, every: int = 50, k: int = 5, scale: int = 256,
     spark = embeddings.sparkSession
     fit = embeddings.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("x"))
     fit = fit.where("id is not null and x is not null and forall(x, v -> v is not null and not isnan(v) and abs(v) < double('infinity'))")
-    fit = fit.withColumn("x", F.transform("x", lambda v: F.floor(v * scale).cast("double")))
     spread = fit.select(F.struct(F.xxhash64("id").alias("h"), F.col("id"), F.col("x")).alias("s")).orderBy("s").limit(pivots).collect()
     if not spread:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -94,12 +94,15 @@ def top_k(embeddings: DataFrame, every: int = 50, k: int = 5, scale: int = 256,
             out[i, : len(x)] = x
         return out
 
-    chosen = matrix([r.s.x for r in spread])
+    def scaled(rows) -> np.ndarray:  # here and not in SQL, whose floor() ends at 2^63
+        return np.floor(matrix(rows) * scale)
+
+    chosen = scaled([r.s.x for r in spread])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = PivotSearch(np.zeros(0, np.int64), np.zeros((0, width)), chosen, k)
         for b in batches:
-            v = matrix(b.column("x").to_pylist())
+            v = scaled(b.column("x").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(list(v)), pa.array(list(search.distances(v)))], names=["id", "x", "d"])
 
     table = saved(fit.mapInArrow(measure, "id long, x array<double>, d array<double>"), "pivots")
