@@ -42,7 +42,7 @@ def read_terms(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.nd
     return at % max(len(vocabulary), 1), counts, np.searchsorted(at, np.arange(len(texts) + 1) * np.int64(len(vocabulary)))
 
 
-def slices(texts: pa.Array, rows: int = 1024, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, rows: int = 256, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts, of up to so many and about so many bytes, or of one text."""
     ends, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)), 0
     while at < len(texts):
@@ -281,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 1024, k: int = 1
 class Scorer:
     """A model's scores of texts; copies are scored once, as far as a bounded memo goes."""
 
-    def __init__(self, model: Model, memo: int = 20_000):
+    def __init__(self, model: Model, memo: int = 2_000):
         self.model, self.memo, self.known = model, memo, {}
 
     def __call__(self, texts: pa.Array) -> Iterator[tuple[float, list[tuple[int, int, float]]]]:
