@@ -100,15 +100,23 @@ def over_graph(sql: str | None):
     return add
 
 
+_PREPARED: dict[tuple[str, str], tuple[G.Graph, DataFrame]] = {}
+
+
+def prepared(spark: SparkSession, sf: str) -> tuple[G.Graph, DataFrame]:
+    """The graph of the tables in `sf` and its communities, found and written once in a session."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _PREPARED:
+        g = graph(spark, sf)
+        _PREPARED[key] = g, communities(g)
+    return _PREPARED[key]
+
+
 def over_communities(sql: str | None):
     """A query over (graph, communities)."""
 
     def add(f):
-        def run(spark, sf):
-            g = graph(spark, sf)
-            return f(g, communities(g))
-
-        Q[f.__name__] = run
+        Q[f.__name__] = lambda spark, sf: f(*prepared(spark, sf))
         if sql:
             SQL[f.__name__] = sql
         return f
