@@ -15,7 +15,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that SimHash links, by five words and a similarity of 0.8, the one with the smallest doc_id stays."""
+    """Of each group of documents that are linked by five words and a similarity of 0.8 or more, by SimHash and what it can't span by an exact filter, the one with the smallest doc_id stays."""
     return simhash.keep_representatives(docs, simhash.similar_documents(docs, words=5, similarity=0.8))
 
 
