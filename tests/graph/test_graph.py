@@ -258,6 +258,16 @@ def test_super_graphs(spark):
     assert learn.super_frame(g, c.limit(0), 5).count() == 0
 
 
+def test_minor_nodes_are_one_graph(spark):
+    """Over 100,000 of them too, with all their edges."""
+    n = 100_100
+    nodes = spark.range(n).select("id", F.lit(1).alias("label"), F.array(F.lit(1.0)).alias("features"))
+    edges = G.symmetrize(spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
+    g = G.Graph(nodes, edges, nodes.select("id", F.lit("train").alias("split")))
+    got = learn.super_frame(g, nodes.select("id", F.col("id").alias("community_id")), 10).groupBy("community_id").agg(F.count("*").alias("n"), F.sum(F.size("neighbors")).alias("e"))
+    assert [tuple(r) for r in got.collect()] == [(-1, n, 2 * (n - 1))]
+
+
 def test_warm_start_and_probe(spark):
     rng = np.random.default_rng(2)
     label = np.arange(90) % 3

@@ -262,13 +262,13 @@ def split_misc(communities: DataFrame, most_nodes: int) -> DataFrame:
     return at.select("id", F.when(F.col("community_id") == MISC, F.lit(MISC) - spread(42, F.col("id")) % F.col("_parts")).otherwise(F.col("community_id")).cast("long").alias("community_id"))
 
 
-def super_frame(graph: Graph, communities: DataFrame, least: int, most_nodes: int = 100_000) -> DataFrame:
+def super_frame(graph: Graph, communities: DataFrame, least: int, most_nodes: int | None = None) -> DataFrame:
     """Rows like those of training_frame(): each major community's graph, and the minor nodes' as community MISC.
 
     A major community's graph has its nodes, the super-nodes and minor nodes next to them, and the super-nodes next to
     these: all that two layers see. Contracted edges join those outside of the community, its own super-node apart.
-    The minor nodes' graph has all of them, with the super-nodes next to them; where there are more than `most_nodes`,
-    it falls into MISC, MISC - 1 and so on, by a hash of the node. Only nodes with a split are trained and tested on.
+    The minor nodes' graph has all of them, with the super-nodes next to them; only if `most_nodes` is given and there are more,
+    it falls into MISC, MISC - 1 and so on, by a hash of the node, and loses the edges between these. Only nodes with a split are trained and tested on.
     """
     at = saved(G.mapped(communities, least), "mapped")
     contracted = saved(G.contracted_edges(graph.edges, communities, least).toDF("src", "dst"), "contracted")
@@ -282,7 +282,7 @@ def super_frame(graph: Graph, communities: DataFrame, least: int, most_nodes: in
     others = outside.select("community_id", F.col("src").alias("id")).unionByName(around.select("community_id", F.col("dst").alias("id"))).distinct()
 
     minor = at.where("not is_major").select("id")
-    parts = max(1, -(-minor.count() // most_nodes))
+    parts = max(1, -(-minor.count() // most_nodes)) if most_nodes else 1
     part = (F.lit(MISC) - F.pmod(F.xxhash64("id"), F.lit(parts))).cast("long")
     small = minor.select(part.alias("community_id"), "id", F.lit(True).alias("is_core"))
     sent = small.select("community_id", F.col("id").alias("src")).join(contracted, "src")
