@@ -140,6 +140,49 @@ def test_gradient(kind):
             assert abs((up - down) / 2e-6 - grad[k][at]) < 1e-5
 
 
+def _block_graph(monkeypatch, n=60):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(models, "BLOCK", 16)
+    monkeypatch.setattr(models, "IN_FILE", 256)
+    pairs = np.unique(np.concatenate([rng.integers(0, n, (150, 2)), np.repeat(np.arange(n), 2).reshape(-1, 2)]), axis=0)
+    return rng, rng.normal(size=(n, 5)), pairs[:, 0], pairs[:, 1]
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.3])
+@pytest.mark.parametrize("kind", models.KINDS)
+def test_blocks_give_what_the_whole_gives(kind, dropout, monkeypatch):
+    rng, x, src, dst = _block_graph(monkeypatch)
+    y, rows, anchor = rng.integers(0, 3, 60), np.arange(0, 60, 2), (np.array([1, 40]), np.ones((2, 8)))
+    blocks, none = models.by_blocks(x, src, dst)
+    assert none is None and len(list(blocks)) > 5 and sum(b - a for a, b, *_ in blocks) == 60
+    nets = [models.Network(kind, 5, 8, 3, 1, dropout) for _ in range(2)]
+    (one, g), (two, h) = nets[0].loss(x, src, dst, y, rows, anchor=anchor), nets[1].loss(x, blocks, None, y, rows, anchor=anchor)
+    assert abs(one - two) < 1e-9 and all(np.allclose(g[k], h[k]) for k in g) and set(g) == set(h)
+    assert all(np.allclose(a, b) for a, b in zip(nets[0].forward(x, src, dst), nets[1].forward(x, blocks), strict=True))
+    pairs = [models.LinkNetwork(kind, 5, 8, 1, dropout) for _ in range(2)]
+    (one, g), (two, h) = (n.link_loss(x, *at, np.array([(0, 9), (30, 59)]), np.array([(3, 9), (31, 59)])) for n, at in zip(pairs, ((src, dst), (blocks, None)), strict=True))
+    assert abs(one - two) < 1e-9 and all(np.allclose(g[k], h[k]) for k in g)
+
+
+def test_no_tape_holds_the_graph(monkeypatch):
+    """Of a graph by blocks, no array on the tape is larger than a block and what it hears; nor does the contrastive loss keep its batches."""
+    rng, x, src, dst = _block_graph(monkeypatch, 2000)
+    made, begin = [], models.Value.__init__
+    monkeypatch.setattr(models.Value, "__init__", lambda self, v, *a, **o: begin(self, v, *a, **o) or made.append(len(self.x) if self.x.ndim else 1))
+    net = models.Network("gatv2", 5, 8, 3, 1)
+    net.fit(x, *models.by_blocks(x, src, dst), rng.integers(0, 3, 2000), np.arange(10), 1, 0.1)
+    assert max(made) < 100
+
+
+def test_a_group_is_read_in_any_order():
+    rows = {"community_id": [0] * 4, "id": [7, 3, 9, 1], "label": [0, 1, 0, 1], "features": [[3.0, 4.0], [1.0, 0.0], [0.0, 2.0], [0.0, 0.0]], "split": ["train", None, "test", "valid"], "is_core": [True] * 4, "is_boundary": [None, True, False, True], "neighbors": [[3, 9, 50], [7], None, []]}
+    table = pd.DataFrame(rows)
+    got, pairs, x, y, part, src, dst, _ = learn._arrays(table, 2, 42, False, None)
+    assert got["id"].tolist() == [1, 3, 7, 9] and y.tolist() == [1, 1, 0, 0] and pairs.tolist() == [[1, 2], [2, 1], [2, 3]]
+    assert {k: v.tolist() for k, v in part.items()} == {"train": [2], "valid": [0], "test": [3]} and np.allclose(x[np.arange(4)], [[0, 0], [1, 0], [0.6, 0.8], [0, 1]])
+    assert set(zip(src.tolist(), dst.tolist(), strict=True)) == {(i, i) for i in range(4)} | {(1, 2), (2, 1), (2, 3), (3, 2)} and got["is_boundary"].tolist() == [True, True, False, False]
+
+
 def test_layers_by_hand():
     """Each layer on one node with two in-neighbours, against sums written out."""
     rng = np.random.default_rng(5)
@@ -424,6 +467,19 @@ def test_louvain_and_leiden_levels(spark, seed):
         assert not refine or all(len(reach(x)) == sum(y == x for y in c.values()) for x in set(c.values()))  # each is connected
 
 
+@pytest.mark.parametrize("refine", [False, True])
+def test_levels_in_arrays_are_those_of_plans(spark, refine, monkeypatch):
+    """And take no job per round."""
+    n, pairs = _blocks(5, [12, 9, 7, 10, 6], 0.6, 0.08)
+    edges = G.saved(G.symmetrize(frame(spark, pairs)), "e")
+    plans, asked = [], G.local_moves
+    monkeypatch.setattr(G, "local_moves", lambda *a, **o: plans.append(1) or asked(*a, **o))
+    arrays = dict(G.louvain(ids(spark, n + 1), edges, refine=refine).collect())
+    assert not plans
+    monkeypatch.setattr(G.moves, "MOST_EDGES", -1)
+    assert dict(G.louvain(ids(spark, n + 1), edges, refine=refine).collect()) == arrays and plans
+
+
 def _reached(start, members, pairs):
     seen, todo = {start}, [start]
     while todo:
