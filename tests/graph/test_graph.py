@@ -566,6 +566,17 @@ def test_sampled_training(spark):
     assert none.n_train == 0 and none.n_test == 0 and none.test_acc == 0
 
 
+def test_sampled_training_by_turns(spark, monkeypatch):
+    """Few seeds at a time give the same, and leave no table of theirs."""
+    g, kept, gone, save, drop = _labelled(spark), [], [], learn.saved, learn.discard
+    whole = learn.train_sampled(g, 2, hidden=8, epochs=2, batch=8, fanout=3).first()
+    monkeypatch.setattr(learn, "saved", lambda df, name: kept.append(name) or save(df, name))
+    monkeypatch.setattr(learn, "discard", lambda t: gone.append(1) or drop(t))
+    monkeypatch.setattr(learn, "SEEDS_AT_ONCE", 20)
+    assert learn.train_sampled(g, 2, hidden=8, epochs=2, batch=8, fanout=3).first() == whole
+    assert kept.count("lists") == 2 * 2 * 2 + 2 and len(gone) == 2 * kept.count("lists") + 2 * 2
+
+
 def test_bins_misc_and_resumed_training(spark, tmp_path):
     g = _labelled(spark)
     c = G.saved(g.nodes.select("id", F.when(F.col("id") < 40, core.MISC).otherwise(F.col("id") % 8).cast("long").alias("community_id")), "c")

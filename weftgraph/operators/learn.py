@@ -18,7 +18,7 @@ from weftgraph.functions.core import LARGE_OVER, MEDIUM_FROM, MISC, SUPER_BASE,
 from . import graph as G
 from .graph import Graph, adjacency, boundary, ends, expanded_nodes
 from .models import KINDS, Adam, Grown, LinkNetwork, Network, by_blocks, chunks, no_edges, room
-from .storage import TableStore, saved
+from .storage import TableStore, discard, saved
 
 RESULT = (
     "community_id long, n_nodes long, n_edges long, n_train long, n_val long, n_test long, n_boundary long, n_internal long, "
@@ -421,18 +421,48 @@ def train_baseline(graph: Graph, classes: int, **options) -> DataFrame:
     return train_communities(graph, whole_graph(graph), classes, most_edges=None, **options)
 
 
+#: Seeds whose batches are written and shuffled together.
+SEEDS_AT_ONCE = 1 << 16
+
+
 def sampled_batches(graph: Graph, seeds: DataFrame, sampled: DataFrame, batch: int, seed: int) -> DataFrame:
     """(batch, id, is_seed, label, features, neighbors): for batches of some `batch` seeds (id), dealt by a hash, the nodes that two layers see
     over `sampled` edges, with the in-neighbours they hear. A batch's size is bounded by its seeds and the fanout."""
+    return _batches(graph, deal(seeds, batch, seed), sampled)[0]
+
+
+def deal(seeds: DataFrame, batch: int, seed: int) -> DataFrame:
+    """(id, batch) of seeds, by a hash."""
     parts = seeds.agg(F.greatest(F.ceil(F.count("*") / F.lit(batch)), F.lit(1)).alias("_parts"))
-    dealt = saved(seeds.select("id").crossJoin(F.broadcast(parts)).select("id", (spread(seed, F.col("id")) % F.col("_parts")).alias("batch")), "seeds")
+    return saved(seeds.select("id").crossJoin(F.broadcast(parts)).select("id", (spread(seed, F.col("id")) % F.col("_parts")).alias("batch")), "seeds")
+
+
+def _batches(graph: Graph, dealt: DataFrame, sampled: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of sampled_batches() for seeds with their batch, and the tables that they are read from."""
     heard = sampled.select(F.col("dst").alias("id"), "src")
     first = dealt.join(heard, "id").select("batch", F.col("src").alias("id"))
     hearers = saved(dealt.select("batch", "id").withColumn("_seed", F.lit(1)).unionByName(first.withColumn("_seed", F.lit(0))).groupBy("batch", "id").agg((F.max("_seed") == 1).alias("is_seed")), "hearers")
     lists = saved(hearers.join(heard, "id").groupBy("batch", "id").agg(F.collect_list("src").alias("neighbors")), "lists")
     outer = lists.select("batch", F.explode("neighbors").alias("id")).distinct().join(hearers, ["batch", "id"], "left_anti").withColumn("is_seed", F.lit(False))
     known = graph.nodes.select("id", "features", label_or_missing(F.col("label")).alias("label"))
-    return hearers.select("batch", "id", "is_seed").unionByName(outer.select("batch", "id", "is_seed")).join(known, "id").join(lists, ["batch", "id"], "left")
+    return hearers.select("batch", "id", "is_seed").unionByName(outer.select("batch", "id", "is_seed")).join(known, "id").join(lists, ["batch", "id"], "left"), [hearers, lists]
+
+
+def _by_turns(graph: Graph, dealt: DataFrame, sampled: DataFrame, seeds: int, work: Callable[[DataFrame], DataFrame]) -> list:
+    """The rows that `work` makes of all batches, some SEEDS_AT_ONCE seeds' at a time, so that the disk holds no more than theirs: tables and files of shuffles go after each turn."""
+    spark, out, turns = dealt.sparkSession, [], max(1, -(-seeds // SEEDS_AT_ONCE))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        for turn in range(turns):
+            rows, tables = _batches(graph, dealt.where(F.pmod(F.xxhash64("batch"), F.lit(turns)) == turn), sampled)
+            out += work(rows).collect()
+            for table in tables:
+                discard(table)
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+    return out
 
 
 def _batch_arrays(batches: Iterator[pa.RecordBatch]):
@@ -467,14 +497,21 @@ def train_sampled(graph: Graph, classes: int, hidden: int = 32, epochs: int = 10
     adam = Adam(net.w, lr)
     n_train, done = train.count(), 0
     for epoch in range(epochs if n_train else 0):
-        sampled = saved(G.neighbor_sample(graph.edges, fanout, seed + epoch), "sampled")
-        frame = saved(sampled_batches(graph, train, sampled, batch, seed + epoch), "batches")
+        sampled, dealt = saved(G.neighbor_sample(graph.edges, fanout, seed + epoch), "sampled"), deal(train, batch, seed + epoch)
         for step in range(steps):
-            part = frame.where(F.col("batch") % steps == step).groupBy("batch").applyInArrow(_batch_gradient(dict(net.w), model, hidden, classes, seed + epoch), "name string, n double, g array<double>")
-            total = part.groupBy("name").agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g")).collect()
+            gradient = _batch_gradient(dict(net.w), model, hidden, classes, seed + epoch)
+
+            def added(frame: DataFrame, gradient=gradient) -> DataFrame:
+                part = frame.groupBy("batch").applyInArrow(gradient, "name string, n double, g array<double>")
+                return part.groupBy("name").agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"))
+
+            total = _by_turns(graph, dealt.where(F.col("batch") % steps == step), sampled, -(-n_train // steps), added)
             if total:
-                adam.step({r.name: np.array(r.g).reshape(net.w[r.name].shape) / r.n for r in total})
+                names = {r.name for r in total}
+                adam.step({k: sum(np.array(r.g) for r in total if r.name == k).reshape(net.w[k].shape) / sum(r.n for r in total if r.name == k) for k in sorted(names)})
                 done += 1
+        discard(sampled)
+        discard(dealt)
     weights = dict(net.w)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -483,9 +520,10 @@ def train_sampled(graph: Graph, classes: int, hidden: int = 32, epochs: int = 10
         own.w = weights
         yield pa.RecordBatch.from_pydict({"n": [len(rows)], "hit": [int((own.forward(x, src, dst)[1].argmax(1) == y)[rows].sum())]})
 
-    frame = sampled_batches(graph, test, saved(G.neighbor_sample(graph.edges, fanout, seed), "sampled"), batch, seed)
-    told = frame.groupBy("batch").applyInArrow(hits, "n long, hit long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_test"), F.coalesce(F.sum("hit") / F.sum("n"), F.lit(0.0)).alias("test_acc"))
-    return told.select(F.lit(n_train).cast("long").alias("n_train"), F.col("n_test").cast("long").alias("n_test"), F.lit(done).alias("n_steps"), "test_acc")
+    sampled, dealt = saved(G.neighbor_sample(graph.edges, fanout, seed), "sampled"), deal(test, batch, seed)
+    told = _by_turns(graph, dealt, sampled, dealt.count(), lambda frame: frame.groupBy("batch").applyInArrow(hits, "n long, hit long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hit")))
+    n_test = sum(r.n for r in told)
+    return graph.nodes.sparkSession.createDataFrame([(n_train, n_test, done, sum(r.hit for r in told) / n_test if n_test else 0.0)], "n_train long, n_test long, n_steps int, test_acc double")
 
 
 def resumed(store: TableStore, name: str, frame: DataFrame, config: dict, train: Callable[[DataFrame], DataFrame]) -> DataFrame:
