@@ -283,6 +283,17 @@ def test_stream_columns(spark):
     assert [(r.error is None, r.payload_bytes) for r in media.read_streams(bad).orderBy("doc_id").collect()] == [(False, None), (True, None)]
 
 
+def test_streams_come_in_small_batches(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x" * 1000 * i) for i in range(20)] + [(None, None)], "doc_id long, text string").coalesce(1)
+    batches = docs.toArrow().to_batches()
+    monkeypatch.setattr(media, "BATCH_BYTES", 10_000)
+    got = list(media._streams(iter(batches)))
+    assert all(sum(map(len, m[:-1])) < 10_000 for _, _, m in got) and sum(len(m) for _, _, m in got) == 21
+    apart = media.read_streams(media.write_streams(docs), keep=("n_bytes",))
+    both = media.stream_features(docs)
+    assert both.columns == apart.columns and sorted(map(str, both.collect())) == sorted(map(str, apart.collect()))
+
+
 def test_top_k_by_brute_force(spark):
     random.seed(6)
     rows = [(i, [random.gauss(0, 0.3) for _ in range(8)]) for i in range(400)]

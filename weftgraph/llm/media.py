@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 # Fixed values of ISO/IEC 13818-1.
 PACKET, SYNC, PAT_PID, PAT_TABLE, PMT_TABLE, PRIVATE_DATA, PRIVATE_STREAM, CLOCK = 188, 0x47, 0, 0x00, 0x02, 0x06, 0xBD, 90_000
 
@@ -199,16 +201,51 @@ def pad(data: bytes, unit: int = 64) -> bytes:
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, programs int, lost int, repeated int, missing long, timestamps array<long>, offsets array<long>, random_access array<boolean>, error string"
 
 
+#: Bytes of streams from which a batch ends: all of a task's at once would lie in the JVM and in two workers.
+BATCH_BYTES = 1 << 22
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[int], list[bytes]]]:
+    """(ids, n_bytes, media) of rows (id, text), in batches of some BATCH_BYTES."""
+    ids, sizes, media, held = [], [], [], 0
+    for b in batches:
+        for i, t in zip(b.column(0), b.column(1), strict=True):
+            raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
+            ids.append(i.as_py())
+            sizes.append(len(raw))
+            media.append(multiplex(pad(raw)))
+            held += len(media[-1])
+            if held >= BATCH_BYTES:
+                yield ids, sizes, media
+                ids, sizes, media, held = [], [], [], 0
+    if ids:
+        yield ids, sizes, media
+
+
+def _slim(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+
+
 def write_streams(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, media): each whole text's UTF-8 bytes, padded, as a transport stream. A null text is empty,
     and an empty one 64 zero bytes. The stream depends on the text alone. Other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, raw), pa.int64()), pa.array([multiplex(pad(r)) for r in raw], pa.binary())], names=["id", "n_bytes", "media"])
+        for ids, sizes, media in _streams(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
+
+    return _slim(docs, key, text).mapInArrow(tidy(run), "id long, n_bytes long, media binary").withColumnRenamed("id", key)
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n_bytes long, media binary").withColumnRenamed("id", key)
+
+def stream_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_bytes, *FEATURES) of each whole text's stream, read back from the bytes that write_streams() has for it: what read_streams() gives, but
+    the streams, larger than the texts, stay in the task that writes them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sizes, media in _streams(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *_feature_arrays(media)], names=["id", "n_bytes", *_NAMES])
+
+    return _slim(docs, key, text).mapInArrow(tidy(run), f"id long, n_bytes long, {FEATURES}").withColumnRenamed("id", key)
 
 
 def features(media: bytes | None) -> tuple:
@@ -222,17 +259,23 @@ def features(media: bytes | None) -> tuple:
     return (len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), len(s.programs), s.lost, s.repeated, s.missing, s.timestamps, s.offsets, s.random_access, None)
 
 
+_NAMES = [x.split()[0] for x in FEATURES.split(", ")]
+_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.string()]
+
+
+def _feature_arrays(media: Iterable[bytes | None]) -> list[pa.Array]:
+    found = [features(m) for m in media]
+    return [pa.array([f[i] for f in found], t) for i, t in enumerate(_TYPES)]
+
+
 def read_streams(media: DataFrame, key: str = "doc_id", column: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, *keep, *FEATURES) of each stream in a column of bytes."""
     slim = media.select(F.col(key), *keep, F.col(column))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]) + ", " + FEATURES
-    names = [x.split()[0] for x in FEATURES.split(", ")]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [features(m.as_py()) for m in b.column(b.num_columns - 1)]
-            columns = [pa.array([f[i] for f in found], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], names=[*b.schema.names[:-1], *names])
+            columns = _feature_arrays(m.as_py() for m in b.column(b.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], names=[*b.schema.names[:-1], *_NAMES])
 
-    return slim.mapInArrow(run, schema)
+    return slim.mapInArrow(tidy(run), schema)
