@@ -164,6 +164,26 @@ def test_blocks_give_what_the_whole_gives(kind, dropout, monkeypatch):
     assert abs(one - two) < 1e-9 and all(np.allclose(g[k], h[k]) for k in g)
 
 
+def test_blocks_side_by_side():
+    """In order, and no more of them are held than are computed at a time, and one."""
+    taken, most = [], 0
+    for i, x in enumerate(models.side_by_side(lambda i: i * i, (taken.append(k) or k for k in range(50)))):
+        most = max(most, len(taken) - i)
+        assert x == i * i
+    assert i == 49 and most <= models.THREADS + 1
+    with pytest.raises(ZeroDivisionError):
+        list(models.side_by_side(lambda i: 1 // i, range(3)))
+
+
+def test_pairs_lie_in_a_file(monkeypatch):
+    """A large graph's edges take no memory, either, when its rows arrive in another order than that of their ids."""
+    monkeypatch.setattr(models, "IN_FILE", 256)
+    rows = {"id": np.arange(100), "order": np.arange(100)[::-1].copy(), "lengths": np.full(100, 2), "neighbors": np.tile([3, 500, 7, 8], 50)}
+    got = learn._pairs(rows)
+    assert isinstance(got, np.memmap) or isinstance(got.base, np.memmap)
+    assert sorted(map(tuple, got.tolist())) == sorted((99 - r, x) for r in range(100) for x in ((3,), (7, 8))[r % 2]) and (np.diff(got[:, 0]) >= 0).all()
+
+
 def test_no_tape_holds_the_graph(monkeypatch):
     """Of a graph by blocks, no array on the tape is larger than a block and what it hears; nor does the contrastive loss keep its batches."""
     rng, x, src, dst = _block_graph(monkeypatch, 2000)

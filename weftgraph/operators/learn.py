@@ -17,7 +17,7 @@ from weftgraph.functions.core import LARGE_OVER, MEDIUM_FROM, MISC, SUPER_BASE,
 
 from . import graph as G
 from .graph import Graph, adjacency, boundary, ends, expanded_nodes
-from .models import KINDS, Adam, Grown, LinkNetwork, Network, by_blocks, chunks, no_edges, room
+from .models import KINDS, Adam, Grown, LinkNetwork, Network, by_blocks, chunks, no_edges, room, trim
 from .storage import TableStore, discard, saved
 
 RESULT = (
@@ -157,7 +157,12 @@ def _pairs(rows: dict[str, np.ndarray]) -> np.ndarray:
         out[done : done + n, 0], out[done : done + n, 1] = source[part][known], place[known]
         done += n
     out = out[:done]
-    return out if order is None else out[np.argsort(out[:, 0], kind="stable")]
+    if order is None:
+        return out
+    by, sorted_ = np.argsort(out[:, 0], kind="stable"), room(out.shape, np.int32)
+    for part in chunks(len(out), 1 << 20):
+        sorted_[part] = out[by[part]]
+    return sorted_
 
 
 def _distinct(pairs: np.ndarray, n: int) -> np.ndarray:
@@ -225,6 +230,8 @@ def _arrays(rows, classes: int, seed: int, halo_in_test: bool, most_edges: int |
 def _graph_of(x: Rows, src: np.ndarray, dst: np.ndarray):
     """Features and messages as a network takes them: whole, or by blocks where the graph is large."""
     src, dst = by_blocks(x, src, dst)
+    if dst is None:
+        trim()
     return x if dst is None else x[np.arange(len(x))], src, dst
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Callable, Iterator, Sequence
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow as pa
 
-#: Targets and messages of a block, beyond which a graph is taken by blocks; bytes from which an array lies in a file.
-BLOCK, IN_FILE = 1 << 15, 1 << 25
+#: Targets and messages of a block, eight of which a graph must exceed to be taken by blocks; blocks that are computed at a time; bytes from which an array lies in a file.
+BLOCK, THREADS, IN_FILE = 1 << 14, 2, 1 << 22
 
 
 def room(shape: tuple[int, ...], dtype=float) -> np.ndarray:
@@ -25,6 +29,26 @@ def chunks(n: int, size: int = BLOCK) -> Iterator[slice]:
     return (slice(a, min(a + size, n)) for a in range(0, n, size))
 
 
+def trim() -> None:
+    """Memory that was freed goes back to the system: a task's arrays, once read, need little of what reading them took."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if free:
+        free(0)
+
+
+def side_by_side(work: Callable, items: Iterable) -> Iterator:
+    """work(item) of each, in order, THREADS at a time and no more of them ahead than that."""
+    with ThreadPoolExecutor(THREADS) as pool:
+        ahead: deque = deque()
+        for item in items:
+            ahead.append(pool.submit(work, item))
+            if len(ahead) > THREADS:
+                yield ahead.popleft().result()
+        while ahead:
+            yield ahead.popleft().result()
+
+
 class Grown:
     """An array that grows by batches; beyond IN_FILE bytes it lies in a file of the task's temporary folder that goes with it."""
 
@@ -251,7 +275,7 @@ class Blocks:
 
 def by_blocks(x, src, dst):
     """(src, dst), or (Blocks, None) of a graph that is larger than a block."""
-    return (Blocks(src, dst, len(x)), None) if len(x) + len(src) > 4 * BLOCK else (src, dst)
+    return (Blocks(src, dst, len(x)), None) if len(x) + len(src) > 8 * BLOCK else (src, dst)
 
 
 class Layer:
@@ -400,23 +424,34 @@ class Network:
     def _every(self, i: int, x, blocks: Blocks) -> np.ndarray:
         """A layer's results for all nodes, block by block."""
         out, w = room((blocks.n, self.layers[i].out)), self.values(f"{i}.", fixed=True)
-        for a, b, nodes, src, dst, degree in blocks:
+
+        def work(block) -> None:
+            a, b, nodes, src, dst, degree = block
             out[a:b] = self._layer(i, w, Value(x[nodes], fixed=True), src, dst, degree).x[: b - a]
+
+        for _ in side_by_side(work, blocks):
+            pass
         return out
 
     def _back(self, i: int, x, blocks: Blocks, g: np.ndarray, grad: dict[str, np.ndarray], to: np.ndarray | None = None) -> None:
-        """A layer's gradient where that of its results is g: added to `grad` by weight, and to `to`, if given, by node. Each block is computed again, so that no more than one is on the tape."""
-        for a, b, nodes, src, dst, degree in blocks:
+        """A layer's gradient where that of its results is g: added to `grad` by weight, and to `to`, if given, by node. Each block is computed again, so that no more than THREADS are on the tape."""
+
+        def work(block):
+            a, b, nodes, src, dst, degree = block
             if not g[a:b].any():
-                continue
+                return None
             w, v = self.values(f"{i}."), Value(x[nodes], fixed=to is None)
             out = self._layer(i, w, v, src, dst, degree)
             seed = np.zeros_like(out.x)
             seed[: b - a] = g[a:b]
             out.backward(seed)
-            self._add(grad, w)
-            if to is not None and v.grad is not None:
-                to[nodes] += v.grad
+            return w, nodes, v.grad
+
+        for done in side_by_side(work, blocks):
+            if done is not None:  # in order of the blocks, whichever is ready first
+                self._add(grad, done[0])
+                if to is not None and done[2] is not None:
+                    to[done[1]] += done[2]
 
     def _add(self, grad: dict[str, np.ndarray], w: dict[str, Value]) -> None:
         for k, v in w.items():
