@@ -275,6 +275,17 @@ def test_training(spark):
     assert runs.runs == 2 and 0 <= runs.mean <= 1 and runs.std >= 0
 
 
+def test_runs_in_turn_over_rows_made_once(spark, monkeypatch):
+    made, save = [], learn.saved
+    monkeypatch.setattr(learn, "saved", lambda df, name: made.append(name) or save(df, name))
+    rng = np.random.default_rng(0)
+    nodes, edges = graphs.from_arrays(spark, rng.integers(0, 40, (2, 90)), features=rng.normal(size=(40, 3)), labels=np.arange(40) % 2)
+    g = G.Graph(nodes, G.symmetrize(edges), G.random_split(nodes))
+    got = learn.over_runs(learn.baselines(g, 2, [1, 2], epochs=2), "comm_test_acc", "n_test").first()
+    assert made == ["frame", "run", "run"]
+    assert got == learn.over_runs([learn.train_baseline(g, 2, seed=s, epochs=2) for s in (1, 2)], "comm_test_acc", "n_test").first()
+
+
 def super_brute(edges, community, least):
     """{community: (nodes, edges)} of the graphs with super-nodes, by sets."""
     size = {c: sum(v == c for v in community.values()) for c in community.values()}

@@ -428,6 +428,12 @@ def train_baseline(graph: Graph, classes: int, **options) -> DataFrame:
     return train_communities(graph, whole_graph(graph), classes, most_edges=None, **options)
 
 
+def baselines(graph: Graph, classes: int, seeds: list[int], **options) -> list[DataFrame]:
+    """train_baseline() for each seed, from rows that are made once."""
+    frame = saved(_frame(graph, whole_graph(graph), True), "frame")
+    return [train_frame(frame, classes, seed=seed, most_edges=None, **options) for seed in seeds]
+
+
 #: Seeds whose batches are written and shuffled together.
 SEEDS_AT_ONCE = 1 << 16
 
@@ -547,7 +553,7 @@ def over_runs(results: list[DataFrame], value: str, weight: str) -> DataFrame:
     """One row: mean and population standard deviation over runs, such as seeds, of `value` weighted by `weight`."""
     from .metrics import weighted
 
-    runs = [r.agg(weighted(value, weight).alias("x")) for r in results]
+    runs = [saved(r.agg(weighted(value, weight).alias("x")), "run") for r in results]  # one after the other: an executor has room for one large model
     out = runs[0]
     for r in runs[1:]:
         out = out.unionByName(r)

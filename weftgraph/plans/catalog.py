@@ -228,7 +228,7 @@ def _add() -> None:
         over_communities(None)(_named(f"{model}_community_metrics", lambda g, c, model=model: learn.train_communities(g, G.min_size(c, LEAST, "drop"), CLASSES, epochs=10, model=model)))
     for model in ("sage", "gat", "gatv2", "transformer", "clusterscl", "arma", "asap"):
         over_graph(None)(_named(f"{model}_baseline", lambda g, model=model: learn.train_baseline(g, CLASSES, epochs=10, model=model)))
-    over_graph(None)(_named("baseline_over_runs", lambda g: learn.over_runs([learn.train_baseline(g, CLASSES, epochs=5, seed=42 + i) for i in range(3)], "comm_test_acc", "n_test")))
+    over_graph(None)(_named("baseline_over_runs", lambda g: learn.over_runs(learn.baselines(g, CLASSES, [42, 43, 44], epochs=5), "comm_test_acc", "n_test")))
     over_graph(None)(_named("lpa_halves", lambda g: G.label_propagation_halves(g.nodes, g.edges)))
     over_graph(None)(_named("louvain_communities", lambda g: G.louvain(g.nodes, g.edges)))
     over_graph(None)(_named("leiden_communities", lambda g: G.louvain(g.nodes, g.edges, refine=True)))
