@@ -35,6 +35,21 @@ def test_parity(spark, sf, model):
     assert sentencepiece.encode(df.limit(0), model).count() == 0
 
 
+def test_codec_keeps_what_recurs():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    small, large = sentencepiece.Codec(model, cached=40), sentencepiece.Codec(model)
+    for i in range(12):
+        texts = ["the same words come again", " ".join(f"w{i}x{k}" for k in range(30)), "", "  two   spaces "]
+        a, b = small.encode(texts), large.encode(texts)
+        assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist() and a[2] == b[2] == [True] * 4
+        assert small.decode(*a[:2]) == texts
+        assert "▁again" in small.known and len(small.known) <= 40 + 50
+    assert len(large.known) > 300
+
+
 def _varint(n):
     out = b""
     while n > 127:

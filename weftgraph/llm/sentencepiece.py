@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
 
@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 SPACE = "▁"
 # Fixed values of the model's protobuf: piece types and algorithms.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -140,14 +142,15 @@ def _ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
 
 
 class Codec:
-    """A model on the tokenizers library. Words that recur are encoded once, as far as a bounded cache goes.
+    """A model on the tokenizers library. Words that recur are encoded once, as far as a bounded cache goes: beyond `cached` words, the
+    half of that which most batches had stays, of words that more than one had.
 
     verify: hold what is encoded against the sentencepiece library: ids and the text read from them, of each word as
     it enters the cache, since both libraries treat words apart, or of whole texts where they don't. What differs is
     kept in `differ`.
     """
 
-    def __init__(self, model: bytes, threads: int = 2, cached: int = 600_000, verify: bool = True):
+    def __init__(self, model: bytes, threads: int = 2, cached: int = 250_000, verify: bool = True):
         os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = str(threads), "true"
         from tokenizers import Tokenizer, normalizers
 
@@ -173,7 +176,16 @@ class Codec:
 
     def _forget(self) -> None:
         self.known, self.differ = {}, set()
-        self.ids, self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.at, self.size, self.used = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _shrink(self) -> None:
+        often = np.flatnonzero(self.used > 1)
+        often = np.sort(often[np.argsort(-self.used[often], kind="stable")[: self.cached // 2]])
+        words = list(self.known)
+        words = [words[i] for i in often.tolist()]
+        self.ids, self.size, self.used = _ragged(self.ids, self.at[often], self.size[often]), self.size[often], self.used[often] // 2
+        self.at = np.cumsum(self.size) - self.size
+        self.known, self.differ = dict(zip(words, range(len(words)), strict=True)), self.differ.intersection(words)
 
     def normalise(self, text: str) -> str:
         """As the whole tokenizer's normaliser has it, without its book-keeping of offsets."""
@@ -187,6 +199,7 @@ class Codec:
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
         self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
+        self.used = np.concatenate([self.used, np.zeros(len(sizes), np.int64)])
         self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
 
     def _enter(self, new: list[str]) -> None:
@@ -229,7 +242,7 @@ class Codec:
                 same = [x == y and a == b for x, y, a, b in zip(found, self.own.encode(texts, num_threads=self.threads), back, self.own.decode(found, num_threads=self.threads), strict=True)]
             return np.array([x for ids in found for x in ids], np.int32), np.cumsum([0, *map(len, found)]), same
         if len(self.known) > self.cached:
-            self._forget()
+            self._shrink()
         cut = [self.cut.findall(self.normalise(t)) for t in texts]
         words = list(chain.from_iterable(cut))
         at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
@@ -237,6 +250,7 @@ class Codec:
         if unknown:
             self._enter(list(dict.fromkeys(words[i] for i in unknown)))
             at[unknown] = [self.known[words[i]] for i in unknown]
+        self.used[at] += 1
         sizes = self.size[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, cut)])]
         same = [None if self.own is None else not self.differ or self.differ.isdisjoint(c) for c in cut]
@@ -275,7 +289,7 @@ def _codec(model: bytes, threads: int, verify: bool) -> Codec:
     return _BUILT[model, verify]
 
 
-def _pieces(texts: list[str], most: int = 1 << 19) -> Iterator[list[str]]:
+def _pieces(texts: Iterable[str], most: int = 1 << 19) -> Iterator[list[str]]:
     """Batches of whole texts, of some `most` characters together: memory stays bounded."""
     part, size = [], 0
     for t in texts:
@@ -301,7 +315,7 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
         codec = _codec(base64.b64decode(sent.value), threads, verify)
         for b in batches:
             at = 0
-            for part in _pieces([t.as_py() or "" for t in b.column(1)]):
+            for part in _pieces(t.as_py() or "" for t in b.column(1)):
                 ids, ends, same = codec.encode(part)
                 rows = b.slice(at, len(part))
                 at += len(part)
@@ -309,7 +323,7 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
                 yield pa.RecordBatch.from_arrays([rows.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array(codec.decode(ids, ends), pa.string()), pa.array(same, pa.bool_())], names=["id", "ids", "n_tokens", "decoded", "parity"])
 
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "id long, ids array<int>, n_tokens long, decoded string, parity boolean").withColumnRenamed("id", key)
+    return slim.mapInArrow(tidy(run), "id long, ids array<int>, n_tokens long, decoded string, parity boolean").withColumnRenamed("id", key)
 
 
 def decode(tokens: DataFrame, model: bytes, key: str = "doc_id", ids: str = "ids", threads: int = 2) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, even_join, saved
+from .common import WORD, discard, even_join, saved, tidy
 
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _WORDS = re.compile(WORD.encode())
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64())], names=["id", "fingerprint"])
 
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "id long, fingerprint long").withColumnRenamed("id", key)
+    return slim.mapInArrow(tidy(run), "id long, fingerprint long").withColumnRenamed("id", key)
 
 
 def ball_links(prints: DataFrame, distance: int = 2) -> DataFrame:
@@ -158,7 +158,7 @@ def common_shingles(texts: DataFrame, words: int, sample: int = 4096, most: int
 
     step = max(1, -(-texts.count() // sample))
     some = texts.select("text").where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).distinct()
-    counts = some.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(most).toArrow()
+    counts = some.mapInArrow(tidy(run), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(most).toArrow()
     hashes, n = (counts.column(c).to_numpy().astype(np.int64) for c in ("shingle", "n"))
     hashes = hashes.view(np.uint64)
     order = np.argsort(hashes)
@@ -239,7 +239,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=["id", "node", "size", "print", "sketch", "first"])
 
-    prints = saved(slim.mapInArrow(run, "id long, node long, size int, print long, sketch array<long>, first array<long>"), "prefixes")
+    prints = saved(slim.mapInArrow(tidy(run), "id long, node long, size int, print long, sketch array<long>, first array<long>"), "prefixes")
     members = saved(prints.select("id", "node"), "members")
     nodes = saved(prints.groupBy("node").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("print").alias("print"), F.first("sketch").alias("sketch")).where("least is not null"), "nodes")
 
@@ -314,7 +314,7 @@ def exactly_similar(pairs: DataFrame, texts: DataFrame, members: DataFrame, node
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = saved(nodes.select("node", F.col("least").alias("id")).join(wanted, "node", "left_semi"), "wanted")
     rows = texts.join(F.broadcast(wanted) if wanted.count() <= most else wanted, "id").select("node", "text")
-    sets = saved(rows.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]), "shingles")
+    sets = saved(rows.mapInArrow(tidy(run), "node long, hashes array<long>").dropDuplicates(["node"]), "shingles")
     both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
     shared = F.size(F.array_intersect("ha", "hb"))
     return both.where(shared >= F.lit(similarity) * (F.size("ha") + F.size("hb") - shared) - 1e-9).select("a", "b")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import saved
+from .common import saved, tidy
 
 _GAP = r"[^\p{L}\p{N}_]+"
 
@@ -199,7 +199,7 @@ def _count_terms(texts: DataFrame) -> pa.Table:
                 lists = [pa.array([list(counts)], pa.list_(pa.string())), pa.array([list(counts.values())], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), *lists], names=["id", "y", "terms", "counts"])
 
-    return texts.mapInArrow(run, "id long, y int, terms array<string>, counts array<long>").toArrow().sort_by("id").combine_chunks()
+    return texts.mapInArrow(tidy(run), "id long, y int, terms array<string>, counts array<long>").toArrow().sort_by("id").combine_chunks()
 
 
 def _apart(rows: list, distance: int = 11) -> list:
@@ -248,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 1024, k: int = 1
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, some), pa.int32()), pa.array(np.append(rows, df[some]), pa.int64())], names=["term", "n"])
 
-    found = docs.select(text).mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select(text).mapInArrow(tidy(frequencies), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df, rows = np.zeros(len(vocabulary) + 1, np.int64), found.column("term").to_numpy()
     df[rows] = found.column("n").to_numpy()  # the last, -1, is the number of documents
     sent.unpersist()
@@ -313,7 +313,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= 0.5) for s, _ in found], pa.int32()), pa.array(near, evidence)], names=["id", "score", "predicted", "evidence"])
 
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, "id long, score double, predicted int, evidence array<struct<doc_id: long, label: int, similarity: double>>").withColumnRenamed("id", key)
+    return slim.mapInArrow(tidy(run), "id long, score double, predicted int, evidence array<struct<doc_id: long, label: int, similarity: double>>").withColumnRenamed("id", key)
 
 
 def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -323,9 +323,10 @@ def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for b in batches:
-            yield b.filter(pa.array([x < 0.5 for x, _ in scorer(b.column(at))], pa.bool_()))
+            kept = b.filter(pa.array([x < 0.5 for x, _ in scorer(b.column(at))], pa.bool_()))
+            yield from (kept.slice(i, 1000) for i in range(0, kept.num_rows, 1000))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def learnable(labels: DataFrame, key: str = "doc_id", folds: int = 5) -> DataFrame:
