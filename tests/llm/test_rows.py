@@ -617,6 +617,35 @@ def test_similar_documents_in_a_crowd(spark, options):
     assert len(told) < len(texts) ** 2 / 4  # those that share the passage only mostly go by their sketches
 
 
+def test_blocks_of_a_crowd_give_links(monkeypatch):
+    """Texts of just under the bound to each other, whose sketches tell nothing: a block gives its nodes, not their pairs, and then no more links than join them."""
+    import pyarrow as pa
+
+    random.seed(17)
+    word = lambda: "".join(random.choices("abcdefghij", k=6))
+    passage = [word() for _ in range(130)]
+    texts = {i: passage + [word() for _ in range(20)] for i in range(60)}
+    texts |= {60 + i: texts[i][:-4] + [word() for _ in range(4)] for i in range(5)}
+    sets = [simhash._shingles(" ".join(t), 5) for t in texts.values()]
+    n, want = len(texts), _groups(texts)
+    found = simhash.links_in_block(list(texts), list(texts), sets, 0.8)
+    assert found == [(k, r) if k < r else (r, k) for r, k in sorted((r, k) for k, r in want.items() if k != r)] and len(found) == 5
+    block = lambda crowds: pa.table({"shingle": [7] * n, "lo": pa.array([0] * n, pa.int32()), "hi": pa.array([0] * n, pa.int32()), "side": [0] * n, "node": list(texts), "root": list(texts), "size": [len(x) for x in sets], "sketch": [simhash.sketch(x) for x in sets], "crowds": pa.array([crowds] * n, pa.list_(pa.int64()))})
+    got = simhash._block_pairs(0.8)(block([])).to_pylist()
+    assert len(got) <= 2 * n and {r["a"] for r in got} == set(texts) and all(r["b"] is None for r in got if r["told"] == simhash.OPEN)
+    assert not [r for r in simhash._block_pairs(0.8)(block([5])).to_pylist() if r["told"] == simhash.OPEN]  # told on the shingle before
+    monkeypatch.setattr(simhash, "WHOLE", 10)  # sets too large to be sent to blocks
+    pairs = {(r["a"], r["b"]) for r in simhash._block_pairs(0.8)(block([])).to_pylist()}
+    assert set(found) <= pairs and None not in {b for _, b in pairs}
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(-40, 40, rng.integers(0, 30))) for _ in range(25)] + [np.array([1 << 62])]
+    got = simhash.shared_counts(sets, width=7)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(26) for j in range(26) if i != j)
+
+
 def test_similar_documents_of_mixed_sizes(spark):
     """Sets around the size up to which they are their own sketch; a group much like each other, a chain of edits, and strangers."""
     random.seed(13)

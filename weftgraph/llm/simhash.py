@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, even_join, saved, tidy
+from .common import WORD, discard, even_join, saved, tidy, trim
 
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _WORDS = re.compile(WORD.encode())
@@ -215,11 +215,13 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     for all, here rare ones first, as told by a sample. Nodes that share such a shingle meet there. Each is held
     against the first one there; then, where a shingle's nodes still are of several components, all its pairs of different components are,
     up to `crowd` nodes as pairs, more in blocks of `block` against each other. Pairs that sketches don't tell, and that still
-    join components, are counted shingle by shingle. No pair is left out. Null, empty and repeated rows as in near_duplicates(), but a row
-    without a key joins no others; a text shorter than a shingle is one.
+    join components, are counted shingle by shingle, those of a block within it, on the most crowded shingle that both have: what comes
+    back from a block are links, fewer than its nodes, or its nodes. Only pairs with a set of over WHOLE shingles come back as such. No pair is left out.
+    Null, empty and repeated rows as in near_duplicates(), but a row without a key joins no others; a text shorter than a shingle is one.
     """
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     spark, common = docs.sparkSession, common_shingles(slim, words)
+    trim()  # the driver's Python, too
     sent = spark.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,21 +265,11 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     checked = saved(told(pairs, nodes, similarity), "told")
     sure = saved(components(checked.where(F.col("told") == SURE)), "sure")
 
-    rooted = saved(met.select("shingle", "node").distinct().join(sure, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    giants = rooted.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("giant"), F.sum("n").alias("m")).where("giant.n < m")
-    rest = saved(even_join(rooted, giants, "shingle"), "rest")
+    rest = _contested(met.select("shingle", "node").distinct(), sure)
     few = rest.where(F.col("m") <= crowd).select("shingle", "node", "root")
     few = few.join(few.toDF("shingle", "node2", "root2"), "shingle").where("node < node2 and root != root2").select(F.col("node").alias("a"), F.col("node2").alias("b"))
     few = told(saved(few.distinct().join(pairs, ["a", "b"], "left_anti"), "few"), nodes, similarity)
-    # The largest component's nodes on a shingle meet the others' blocks only.
-    is_giant = F.col("root") == F.col("giant.root")
-    others, blocks = F.ceil((F.col("m") - F.col("giant.n")) / block), F.ceil(F.col("giant.n") / block)
-    side = F.when(is_giant, others + F.pmod(F.xxhash64("node"), blocks)).otherwise(F.pmod(F.xxhash64("node"), others)).cast("int")
-    many = rest.where(F.col("m") > crowd).select("*", side.alias("side"), F.explode(F.sequence(F.lit(0), F.when(is_giant, others - 1).otherwise(others + blocks - 1).cast("int"))).alias("other"))
-    many = many.select("shingle", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "root")
-    many = many.join(nodes.select("node", "size", "sketch"), "node").groupBy("shingle", "lo", "hi").applyInArrow(_block_pairs(similarity), "a long, b long, d int, told int").distinct()
-
-    checked = saved(checked.unionByName(few).unionByName(many), "told")
+    checked = saved(checked.unionByName(few), "told")
     links = checked.where(F.col("told") == SURE).select("a", "b")
     for nearest in (True, False):  # first one pair for each node, the closest; what then still joins components is counted, all of it
         roots = saved(components(links), "roots")
@@ -289,20 +281,50 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         links = links.unionByName(saved(exactly_similar(open_, slim, members, nodes, words, similarity), "links"))
     else:
         roots = saved(components(links), "roots")
+
+    rest = _contested(rest.where(F.col("m") > crowd).select("shingle", "node"), roots)
+    # The largest component's nodes on a shingle meet the others' blocks only.
+    is_giant = F.col("root") == F.col("giant.root")
+    others, blocks = F.ceil((F.col("m") - F.col("giant.n")) / block), F.ceil(F.col("giant.n") / block)
+    side = F.when(is_giant, others + F.pmod(F.xxhash64("node"), blocks)).otherwise(F.pmod(F.xxhash64("node"), others)).cast("int")
+    many = rest.select("*", side.alias("side"), F.explode(F.sequence(F.lit(0), F.when(is_giant, others - 1).otherwise(others + blocks - 1).cast("int"))).alias("other"))
+    many = many.select("shingle", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "root")
+    crowds = rest.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("m")).alias("m"), "shingle"))), lambda x: x["shingle"]).alias("crowds"))
+    many = many.join(nodes.select("node", "size", "sketch").join(crowds, "node"), "node").withColumn("crowds", F.expr("slice(crowds, 1, cast(array_position(crowds, shingle) as int) - 1)"))
+    many = saved(many.groupBy("shingle", "lo", "hi").applyInArrow(_block_pairs(similarity), "shingle long, lo int, hi int, a long, b long, told int"), "many")
+    links = links.unionByName(many.where(F.col("told") == SURE).select("a", "b").distinct())
+    roots = saved(components(links), "roots")
+    open_ = saved(_crossing(many.where((F.col("told") == OPEN) & F.col("b").isNotNull()).select("a", "b").distinct(), roots), "open")
+    if open_.limit(1).count():
+        links = links.unionByName(saved(exactly_similar(open_, slim, members, nodes, words, similarity), "links"))
+    left = many.where("b is null").select("shingle", "lo", "hi", F.col("a").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    crossed = left.groupBy("shingle", "lo", "hi").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("shingle", "lo", "hi")
+    left = saved(left.join(crossed, ["shingle", "lo", "hi"], "left_semi"), "left")
+    if left.limit(1).count():
+        within = left.join(_sets(left.select("node").distinct(), slim, nodes, words), "node")
+        links = links.unionByName(saved(within.groupBy("shingle", "lo", "hi").applyInArrow(_block_links(similarity), "a long, b long").distinct(), "links"))
+    roots = saved(components(links), "roots")
     at = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = at.join(at.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     return even_join(members, named, "node", "left").select(F.col("id").alias(key), "component_id")
 
 
+def _contested(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(shingle, node, root, giant, m) of the shingles, in met (shingle, node), whose m nodes are of several components; giant: size n and root of the largest one there."""
+    rooted = saved(met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    giants = rooted.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("giant"), F.sum("n").alias("m")).where("giant.n < m")
+    return saved(even_join(rooted, giants, "shingle"), "rest")
+
+
 def _crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs (a, b) whose ends have different roots. roots: (node, root) of the nodes that have another root than themselves, at least."""
     at = pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
     return at.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).drop("ra", "rb")
 
 
-def exactly_similar(pairs: DataFrame, texts: DataFrame, members: DataFrame, nodes: DataFrame, words: int, similarity: float, most: int = 100_000) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of `similarity` or more. texts: (id, text). The ids
-    of the nodes wanted are sent to the texts if they are `most` at most; else both are shuffled."""
+def _sets(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, most: int = 100_000) -> DataFrame:
+    """(node, hashes): the sets of shingles of the nodes wanted (node), a table. texts: (id, text). The ids are sent to the texts
+    if they are `most` at most; else both are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -311,17 +333,48 @@ def exactly_similar(pairs: DataFrame, texts: DataFrame, members: DataFrame, node
                 if xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63) == b.column(0)[i].as_py():  # an id may have several texts
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([hashes.view(np.int64)], pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = saved(nodes.select("node", F.col("least").alias("id")).join(wanted, "node", "left_semi"), "wanted")
     rows = texts.join(F.broadcast(wanted) if wanted.count() <= most else wanted, "id").select("node", "text")
-    sets = saved(rows.mapInArrow(tidy(run), "node long, hashes array<long>").dropDuplicates(["node"]), "shingles")
+    return saved(rows.mapInArrow(tidy(run), "node long, hashes array<long>").dropDuplicates(["node"]), "shingles")
+
+
+def exactly_similar(pairs: DataFrame, texts: DataFrame, members: DataFrame, nodes: DataFrame, words: int, similarity: float, most: int = 100_000) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of `similarity` or more. texts: (id, text)."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, nodes, words, most)
     both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
     shared = F.size(F.array_intersect("ha", "hb"))
     return both.where(shared >= F.lit(similarity) * (F.size("ha") + F.size("hb") - shared) - 1e-9).select("a", "b")
 
 
-def pairs_in_block(nodes: list[int], roots: list[int], sides: list[int], sets: list[np.ndarray], sizes: np.ndarray, similarity: float) -> list[tuple[int, int, int, int]]:
-    """told() of the pairs of different roots in a block, where there are two sides of one side each. Of SURE pairs only as many as join the roots; then the OPEN ones that still do."""
+#: Shingles of the largest sets that are sent whole to a block.
+WHOLE = 1 << 15
+
+
+def shared_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many values each two of the sets share, the diagonal apart: products of matrices of 0 and 1, `width` values at a time."""
+    n = len(sets)
+    _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, several = np.repeat(np.arange(n), [len(x) for x in sets]), counts[place] > 1
+    row, column = row[several], (np.cumsum(counts > 1) - 1)[place[several]]
+    order = np.argsort(column, kind="stable")
+    row, column, out = row[order], column[order], np.zeros((n, n), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        part = slice(*np.searchsorted(column, (at, at + width)))
+        dense = np.zeros((n, int(column[part][-1]) + 1 - at), np.float32)
+        dense[row[part], column[part] - at] = 1
+        out += dense @ dense.T
+    return out
+
+
+def _top(up: dict[int, int], x: int) -> int:
+    while x in up:
+        x = up[x]
+    return x
+
+
+def pairs_in_block(nodes: list[int], roots: list[int], sides: list[int], sets: list[np.ndarray], sizes: np.ndarray, similarity: float, before: list[np.ndarray] | None = None) -> list[tuple[int, int, int, int]]:
+    """told() of the pairs of different roots in a block, where there are two sides of one side each. Of SURE pairs only as many as join the roots; then the OPEN ones that still do,
+    but for those that have one of the shingles `before` in common: they are told there."""
     n, small = len(nodes), sizes <= SMALL
     apart, verdict = np.zeros((n, n), np.int32), np.full((n, n), OPEN)
     if len(at := np.flatnonzero(~small)):
@@ -335,25 +388,18 @@ def pairs_in_block(nodes: list[int], roots: list[int], sides: list[int], sets: l
         d = apart[np.ix_(at, at)]
         verdict[np.ix_(at, at)] = np.where(d <= middle - 3.5 * deviation, SURE, np.where(d <= middle + 5 * deviation, OPEN, -1))
     if len(at := np.flatnonzero(small)):
-        values, place = np.unique(np.concatenate([sets[i] for i in at]), return_inverse=True)
-        dense = np.zeros((len(at), len(values)), np.float32)
-        dense[np.repeat(np.arange(len(at)), sizes[at]), place] = 1
-        shared = dense @ dense.T
+        shared = shared_counts([sets[i] for i in at])
         verdict[np.ix_(at, at)] = np.where(shared >= similarity * (sizes[at][:, None] + sizes[at] - shared) - 1e-6, SURE, -1)
     verdict[np.minimum(sizes[:, None], sizes) < similarity * np.maximum(sizes[:, None], sizes) - 1e-9] = -1
     if len(set(sides)) > 1:
         verdict[np.array(sides)[:, None] == np.array(sides)] = -1
+    if before is not None:
+        verdict[(verdict == OPEN) & (shared_counts(before) > 0)] = -1
     up: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while x in up:
-            x = up[x]
-        return x
-
     out = []
     for kind in (SURE, OPEN):
         for i, j in np.argwhere(np.triu(verdict == kind, 1)).tolist():
-            if (x := top(roots[i])) != (y := top(roots[j])):
+            if (x := _top(up, roots[i])) != (y := _top(up, roots[j])):
                 out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j]), int(apart[i, j]), kind))
                 if kind == SURE:
                     up[max(x, y)] = min(x, y)
@@ -361,13 +407,51 @@ def pairs_in_block(nodes: list[int], roots: list[int], sides: list[int], sets: l
 
 
 def _block_pairs(similarity: float):
+    """Of a block, SURE pairs (a, b), OPEN ones with a set of over WHOLE shingles, and as OPEN (a, null) the nodes of all other OPEN pairs."""
+
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("node", "root", "side")), range(table.num_rows), strict=True))
-        lists, sizes = table.column("sketch").combine_chunks(), table.column("size").to_numpy()
-        sets = [lists[r[3]].values.to_numpy(zero_copy_only=False) for r in rows]
-        out = pairs_in_block([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], sets, np.array([sizes[r[3]] for r in rows]), similarity)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.table({n: pa.array([r[i] for r in out], k) for i, (n, k) in enumerate(zip(("a", "b", "d", "told"), kinds, strict=True))})
+        sizes = table.column("size").to_numpy()
+
+        def lists(name: str) -> list[np.ndarray]:
+            column = table.column(name).combine_chunks()
+            return [column[r[3]].values.to_numpy(zero_copy_only=False) for r in rows]
+
+        nodes, sizes = [r[0] for r in rows], np.array([sizes[r[3]] for r in rows])
+        size = dict(zip(nodes, sizes.tolist(), strict=True))
+        out, inside = [], set()
+        for a, b, _, kind in pairs_in_block(nodes, [r[1] for r in rows], [r[2] for r in rows], lists("sketch"), sizes, similarity, lists("crowds")):
+            if kind == SURE or max(size[a], size[b]) > WHOLE:
+                out.append((a, b, kind))
+            else:
+                inside |= {a, b}
+        out += [(a, None, OPEN) for a in sorted(inside)]
+        columns = [pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+        block = [pa.array([table.column(c)[0].as_py()] * len(out), k) for c, k in (("shingle", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()))]
+        return pa.table([*block, *columns], names=["shingle", "lo", "hi", "a", "b", "told"])
+
+    return run
+
+
+def links_in_block(nodes: list[int], roots: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs (a, b) of `similarity` or more, counted, as many as join the nodes' roots."""
+    sizes, shared = np.array([len(x) for x in sets]), shared_counts(sets)
+    similar = shared >= similarity * (sizes[:, None] + sizes - shared.astype(float)) - 1e-9
+    similar &= np.array(roots)[:, None] != np.array(roots)
+    up: dict[int, int] = {}
+    out = []
+    for i, j in np.argwhere(np.triu(similar, 1)).tolist():
+        if (x := _top(up, roots[i])) != (y := _top(up, roots[j])):
+            out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+            up[max(x, y)] = min(x, y)
+    return out
+
+
+def _block_links(similarity: float):
+    def run(table: pa.Table) -> pa.Table:
+        sets = table.column("hashes").combine_chunks()
+        out = links_in_block(table.column("node").to_pylist(), table.column("root").to_pylist(), [x.values.to_numpy(zero_copy_only=False) for x in sets], similarity)
+        return pa.table({n: pa.array([r[i] for r in out], pa.int64()) for i, n in enumerate(("a", "b"))})
 
     return run
 
