@@ -306,6 +306,35 @@ def super_brute(edges, community, least):
     return out
 
 
+def test_features_are_shuffled_with_no_other_join(spark):
+    nodes, edges = graphs.from_arrays(spark, np.array([[0, 1], [1, 2]]), features=np.eye(3), labels=np.arange(3))
+    g = G.Graph(nodes, G.symmetrize(edges), spark.createDataFrame([(0, "train")], "id long, split string"))
+    communities = nodes.select("id", (F.col("id") % 2).alias("community_id"))
+
+    def joins(plan):
+        below = [plan.children().apply(i) for i in range(plan.children().size())]
+        return sum(joins(p) for p in below) + (plan.nodeName() == "Join" and "features#" in plan.output().toString())
+
+    for frame in (learn.training_frame(g, communities), learn.training_frame(g, communities, expand=False)):
+        assert joins(frame._jdf.queryExecution().optimizedPlan()) == 1
+
+
+def test_rows_added_up_by_the_row():
+    from weftgraph.operators.models import Added, Network, Value
+
+    rng = np.random.default_rng(8)
+    for to in (rng.integers(0, 9, 300), np.sort(rng.integers(0, 40, 300)), np.zeros(0, int)):
+        x, take = rng.integers(-50, 50, (20, 3)).astype(float), rng.integers(0, 20, len(to))
+        want = np.zeros((41, 3))
+        np.add.at(want, to, x[take])
+        assert (Added(to, 41, take)(x) == want).all() and (Added(to, 41)(x[take]) == want).all()
+    net, x, src, dst = Network("sage", 3, 4, 2), rng.normal(size=(5, 3)), np.array([0, 1, 1]), np.array([1, 2, 3])
+    layer = net.layers[0]
+    first = layer.mean(Value(x, fixed=True), src, dst, True)
+    assert layer.mean(Value(x, fixed=True), src, dst, True) is first  # rows that don't change are not added up again
+    assert (layer.mean(Value(x + 1, fixed=True), src, dst, True).x != first.x).any() and (layer.mean(Value(x, fixed=True), dst, src, True).x != first.x).any()
+
+
 def test_super_graphs(spark):
     rng = np.random.default_rng(4)
     n = 60
