@@ -1,6 +1,8 @@
 """SentencePiece against its own library, and the corpus pipeline against brute force."""
 
+import gc
 import struct
+import time
 
 import pytest
 import sentencepiece as reference
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from weftgraph.llm import sentencepiece, simhash, toxicity
 from weftgraph.llm.queries import QUERIES, tokenizer_path
+from weftgraph.operators import storage
 
 TEXTS = [None, "", " ", "  a  b ", "<s> </s> <unk> <0x0A>", "▁x ▁", "日本語テスト🙂\x00\n\t", "a" * 5000, " " * 40, "▁▁ ▁", "line\nline\r\n", "word " * 20_000, "same", "same", "�​   x"]
 
@@ -108,6 +111,23 @@ def test_stages(spark, sf, model):
     assert corpus_pipeline.run(spark, sf).count() == last.count()
 
 
+def test_tables_relieve_the_driver(spark, monkeypatch):
+    assert "rim native heap" in storage.trim_jvm(spark)
+    monkeypatch.setattr(storage, "HEAP", 0)
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    used = lambda: (runtime.totalMemory() - runtime.freeMemory()) >> 20
+    for due, falls in ((0, True), (time.monotonic() + 600, False)):
+        monkeypatch.setattr(storage, "_due", due)
+        spark._jvm.java.lang.System.gc()
+        least = used()
+        for _ in range(8):
+            spark._jvm.java.nio.ByteBuffer.allocate(16 << 20)
+        gc.collect()  # py4j lets go of them
+        assert used() > least + 100
+        storage.saved(spark.range(3), "small")
+        assert (used() < least + 60) == falls
+
+
 def test_stages_on_empty_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
