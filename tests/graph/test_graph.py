@@ -5,7 +5,9 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from weftgraph.functions import core
@@ -479,6 +481,44 @@ def test_baselines_are_one_model(spark, monkeypatch):
     assert (sent(None), sent(2)) == (16, 8)
 
 
+class _Here:
+    """A frame whose function is run in this process, on one community of n nodes that all have edges to each other."""
+
+    def __init__(self, n):
+        ids = np.arange(n)
+        rows = {"community_id": [0] * n, "id": ids, "label": ids % 2, "features": [[1.0, i / n] for i in range(n)], "split": ["train", "test"] * (n // 2), "is_core": [True] * n, "is_boundary": [False] * n, "neighbors": [np.delete(ids, i) for i in range(n)]}
+        self.batches, self.ran = pa.Table.from_pandas(pd.DataFrame(rows)).to_batches(), []
+
+    def select(self, *columns):
+        return self
+
+    groupBy = select  # noqa: N815
+
+    def applyInArrow(self, run, schema):  # noqa: N802
+        self.ran += run(iter(self.batches))
+        return self
+
+    def collect(self):
+        return [Row(**r) for b in self.ran for r in b.to_pylist()]
+
+
+def _messages(monkeypatch):
+    """How many messages each community's training passes, as they are read."""
+    seen, arrays = [], learn._arrays
+    monkeypatch.setattr(learn, "_arrays", lambda *a: seen.append(len((out := arrays(*a))[5])) or out)
+    return seen
+
+
+def test_communities_pass_all_messages(monkeypatch):
+    """Over 200,000 edges too, and their link prediction takes all of over 100,000 pairs."""
+    here, seen, links, fit = _Here(500), _messages(monkeypatch), [], models.LinkNetwork.fit_links
+    monkeypatch.setattr(learn, "_frame", lambda *a: here)
+    monkeypatch.setattr(models.LinkNetwork, "fit_links", lambda self, x, src, dst, edges, *a: links.append(len(edges)) or fit(self, x, src, dst, edges, *a))
+    got = learn.train_communities(None, None, 2, hidden=2, epochs=1, link_epochs=1, link_shares=(0.9, 0.05)).collect()
+    assert [(r.n_nodes, r.n_edges, r.trained) for r in got] == [(500, 500 * 499, True)] and seen == [500 * 500]
+    assert 110_000 < links[0] < 500 * 499 / 2
+
+
 def _modularity(edges, c, w=None):
     m2 = 2 * len(edges)
     inside = 2 * sum(c[a] == c[b] for a, b in edges)

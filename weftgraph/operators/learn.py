@@ -181,9 +181,9 @@ def link_parts(ids: np.ndarray, pairs: np.ndarray, seed: int, train: float = 0.8
     return {"train": low[h < cut[0]], "valid": low[(h >= cut[0]) & (h < cut[1])], "test": low[h >= cut[1]]}
 
 
-def fit_links(x: np.ndarray, ids: np.ndarray, pairs: np.ndarray, model: str, hidden: int, epochs: int, lr: float, seed: int, dropout: float = 0.0, train: float = 0.8, valid: float = 0.1, most_train: int | None = 100_000, most_test: int | None = 20_000) -> float:
+def fit_links(x: np.ndarray, ids: np.ndarray, pairs: np.ndarray, model: str, hidden: int, epochs: int, lr: float, seed: int, dropout: float = 0.0, train: float = 0.8, valid: float = 0.1, most_train: int | None = None, most_test: int | None = None) -> float:
     """ROC-AUC of held-out edges against as many pairs that are no edge, by a LinkNetwork whose messages pass over training edges
-    only, both ways, and a loop on each node; 0.5 with fewer than five edges or none held out. At most `most_train` and `most_test` edges, in order of a seeded shuffle."""
+    only, both ways, and a loop on each node; 0.5 with fewer than five edges or none held out. At most `most_train` and `most_test` edges, None for all, in order of a seeded shuffle."""
     part, rng, n = link_parts(ids, pairs, seed, train, valid), np.random.default_rng(seed), len(x)
     if len(pairs) < 5 or not len(part["train"]) or not len(part["test"]):
         return 0.5
@@ -284,7 +284,7 @@ def warm_embeddings(graph: Graph, communities: DataFrame, classes: int, start: d
 
 def train_communities(
     graph: Graph, communities: DataFrame, classes: int, hidden: int = 32, epochs: int = 30, lr: float = 0.01, seed: int = 42, model: str = "sage", expand: bool = True,
-    halo_in_test: bool = False, most_edges: int | None = 200_000, start: dict[str, np.ndarray] | None = None, probe_epochs: int = 0, dropout: float = 0.0, anchors: DataFrame | None = None,
+    halo_in_test: bool = False, most_edges: int | None = None, start: dict[str, np.ndarray] | None = None, probe_epochs: int = 0, dropout: float = 0.0, anchors: DataFrame | None = None,
     link_epochs: int = 0, link_shares: tuple[float, float] = (0.8, 0.1), per_bin: int | None = None,
 ) -> DataFrame:
     """RESULT of each community: a model of its own, trained on its training nodes, and with link_epochs a second one that tells its edges from other pairs.
@@ -296,7 +296,7 @@ def train_communities(
     link_shares: of the edges, each pair once, those trained on and kept for validation; the rest are tested on and pass no messages.
     With per_bin, some `per_bin` communities share a task's call, dealt by size as bins() does; else each has its own. A community trains
     in one task and must fit in its memory, as it is one model; min_size(), split_misc() and the choice of
-    detector bound it. Message passing takes at most `most_edges` edges, None for all, in order of a seeded shuffle, and a loop on each node.
+    detector bound it. Message passing takes all edges, a large graph's block by block, and a loop on each node; at most `most_edges` in order of a seeded shuffle if a call gives it.
     """
     frame = _frame(graph, communities, expand)
     bins = G.bins(G.community_sizes(communities), per_bin).select("community_id", "bin_id") if per_bin else None
