@@ -253,6 +253,25 @@ def test_contrast_by_brute_force():
     assert abs(models.contrast(models.Value(z), models.Value(c), y).x - total) < 1e-9
 
 
+def test_contrast_keeps_no_tables(monkeypatch):
+    """A batch's tables of clusters and pairs are not on the tape; its gradient, with copies and over several groups of clusters, is that of differences."""
+    made, begin, rng = [], models.Value.__init__, np.random.default_rng(8)
+    z, c, y = rng.normal(size=(12, 4)), rng.uniform(size=(4, 9)), rng.integers(0, 3, 12)
+    loss = lambda: float(models.contrast(models.Value(z), models.Value(c), y, 2).x)
+    monkeypatch.setattr(models.Value, "__init__", lambda self, v, *a, **o: begin(self, v, *a, **o) or made.append(self.x.size))
+    views, clusters = models.Value(z), models.Value(c)
+    models.contrast(views, clusters, y, 2).backward()
+    assert max(made) <= 144
+    for x, g in ((z, views.grad), (c, clusters.grad)):
+        for at in np.ndindex(x.shape):
+            was, side = x[at], []
+            for h in (1e-6, -1e-6):
+                x[at] = was + h
+                side.append(loss())
+            x[at] = was
+            assert abs((side[0] - side[1]) / 2e-6 - g[at]) < 1e-5
+
+
 def test_training(spark):
     rng = np.random.default_rng(1)
     n = 120
