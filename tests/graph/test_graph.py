@@ -538,6 +538,17 @@ def test_communities_pass_all_messages(monkeypatch):
     assert 110_000 < links[0] < 500 * 499 / 2
 
 
+def test_a_warm_start_passes_all_messages(monkeypatch):
+    """Over 200,000 edges too, where weights are found and where embeddings are made with them."""
+    here, seen = _Here(500), _messages(monkeypatch)
+    monkeypatch.setattr(learn, "_largest", lambda *a: here)
+    start = learn.warm_start(None, None, 2, hidden=2, epochs=1)
+    assert len(here.ran) and seen == [500 * 500]
+    here.ran = []
+    anchors = learn.warm_embeddings(None, None, 2, start).collect()
+    assert len(anchors) == 500 and seen == [500 * 500] * 2
+
+
 def _modularity(edges, c, w=None):
     m2 = 2 * len(edges)
     inside = 2 * sum(c[a] == c[b] for a, b in edges)
