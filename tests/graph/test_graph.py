@@ -549,6 +549,13 @@ def test_a_warm_start_passes_all_messages(monkeypatch):
     assert len(anchors) == 500 and seen == [500 * 500] * 2
 
 
+def test_rows_of_a_graph_pass_all_messages(monkeypatch):
+    """Rows that are given, such as a super-graph's, over 200,000 edges too."""
+    here, seen = _Here(500), _messages(monkeypatch)
+    got = learn.train_frame(here, 2, hidden=2, epochs=1).collect()
+    assert got[0].n_edges == 500 * 499 and seen == [500 * 500]
+
+
 def _modularity(edges, c, w=None):
     m2 = 2 * len(edges)
     inside = 2 * sum(c[a] == c[b] for a, b in edges)
