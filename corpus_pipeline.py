@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weftgraph.llm import mixing, sentencepiece, simhash, toxicity
 from weftgraph.llm.common import read, saved
 from weftgraph.llm.queries import tokenizer_path
+from weftgraph.operators.storage import relieve
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,6 +27,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and token ids of each row, which read back give its text."""
+    relieve(spark)
     return sentencepiece.encode(docs, sentencepiece.load(spark, tokenizer_path())).select("doc_id", "ids", "n_tokens", "parity")
 
 

@@ -128,6 +128,22 @@ def test_tables_relieve_the_driver(spark, monkeypatch):
         assert (used() < least + 60) == falls
 
 
+def test_executors_collect_garbage(spark, monkeypatch):
+    """Tasks do it, so that each executor's JVM does; here that is the driver's own, and a table that is saved leaves it out."""
+    beans = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    was = beans()
+    storage.collect_garbage(spark)
+    assert beans() >= was + 1
+    calls = []
+    monkeypatch.setattr(storage, "collect_garbage", lambda s: calls.append(s))
+    for local in (True, False):
+        monkeypatch.setattr(storage, "_due", 0)
+        if not local:
+            monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+        storage.relieve(spark)
+        assert len(calls) == (0 if local else 1)
+
+
 def test_stages_on_empty_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
