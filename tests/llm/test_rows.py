@@ -7,6 +7,7 @@ import re
 import struct
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from weftgraph.llm import chat, common, html_extract, media, mixing, sharding, simhash, topk, toxicity, url_filter
+from weftgraph.operators import storage
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i}" for i in range(30_000))
@@ -177,6 +179,47 @@ def test_components_of_chains_and_stars(spark):
         simhash.ball_links(spark.createDataFrame([(1,)], "fingerprint long"), 3)
 
 
+def test_few_links_are_joined_in_one_task(spark):
+    """By plans, too, components leave one table; arrays spare all rounds, and give the same."""
+    rng = random.Random(5)
+    links = [(i, i + 1) for i in range(60)] + [(rng.randint(-(2**63), -1) >> rng.choice((0, 57)), rng.randint(100, 180)) for _ in range(120)] + [(7, 7), (None, 3)]
+    table = spark.createDataFrame(links, "a long, b long").repartition(5)
+    up = {}
+    for a, b in links[:-1]:
+        x, y = simhash._top(up, a), simhash._top(up, b)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    want = sorted((n, simhash._top(up, n)) for n in {x for ab in links[:-1] for x in ab})
+    folder = Path(storage.shared_dir(spark).removeprefix("file://"), "weft")
+    tables = lambda: {p.name for p in folder.glob("links-*")} if folder.exists() else set()
+    group = spark.sparkContext
+    jobs = {}
+    for few in (None, 50, 0):
+        was = tables()
+        group.setJobGroup(f"few {few}", "")
+        assert sorted(map(tuple, simhash.components(table, few=few).collect())) == want
+        jobs[few] = len(group.statusTracker().getJobIdsForGroup(f"few {few}"))
+        assert len(tables() - was) == 1
+    group.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[None] <= 6 < 20 < jobs[0]
+    assert simhash.components(table.limit(0)).count() == simhash.components(table.limit(0), few=-1).count() == 0
+
+
+def test_least_reached():
+    """By arrays, as by one link after the other."""
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        n, m = rng.integers(1, 40), rng.integers(0, 40)
+        u, v, up = rng.integers(-n, n, m), rng.integers(-n, n, m), {}
+        for a, b in zip(u.tolist(), v.tolist()):
+            if (x := simhash._top(up, a)) != (y := simhash._top(up, b)):
+                up[max(x, y)] = min(x, y)
+        nodes, roots = simhash.least_reached(u, v)
+        assert dict(zip(nodes.tolist(), roots.tolist())) == {x: simhash._top(up, x) for x in {*u.tolist(), *v.tolist()}}
+    n = 1 << 17  # a long chain in any order takes few turns
+    assert (simhash.least_reached(np.arange(1, n), np.arange(n - 1))[1] == 0).all()
+
+
 def test_representatives(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (1, "a b c d"), (3, "other words are here"), (None, "a b c d")], "doc_id long, text string")
     assert sorted(r.doc_id or -1 for r in simhash.keep_representatives(docs, simhash.near_duplicates(docs)).collect()) == [-1, 1, 3]

@@ -69,26 +69,54 @@ def ball_links(prints: DataFrame, distance: int = 2) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).distinct()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+#: Links of up to this many are joined by one task, in arrays; more by plans, until so few are left.
+FEW_LINKS = 1 << 20
+
+
+def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links (u, v), rising, and the smallest node that each can reach."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, root = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while len(a):
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))  # each root takes the smallest one next to it
+        while (root[root] != root).any():
+            root = root[root]
+        crossing = root[a] != root[b]
+        a, b = a[crossing], b[crossing]
+    return nodes, nodes[root]
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """least_reached() of all links of a task."""
+    links = pa.Table.from_batches(batches, pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    found = least_reached(links.column("u").to_numpy(), links.column("v").to_numpy())
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["node", "root"])
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, few: int | None = None) -> DataFrame:
     """(node, root): the smallest node that each node with a link can reach.
 
     Alternates large-star and small-star steps, each an aggregate for the least neighbour and a join,
-    until a round changes no link. Each round's links are a table in the shared folder.
+    until a round changes no link, or `few` links are left (FEW_LINKS): one task joins these, which spares the tasks of all rounds.
+    Each round's links are a table in the shared folder, in place of those before.
     """
+    few = FEW_LINKS if few is None else few
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     edges, was = saved(edges, "links"), None
-    for _ in range(max_rounds):
+    for _ in range(max_rounds + 1):
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now[0] <= few:
+            return edges.coalesce(1).mapInArrow(tidy(_joined), "node long, root long")
+        if now == was:
+            return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = even_join(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
-        edges = saved(small, "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == was:
-            return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        was = now
+        before, edges, was = edges, saved(small, "links"), now
+        discard(before)
     raise RuntimeError(f"links did not settle in {max_rounds} rounds")
 
 
